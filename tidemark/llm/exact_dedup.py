@@ -5,8 +5,7 @@ digests; only documents whose digest occurs again can have a copy, and only thei
 three stages, each of which compares the full text beside the digest: copies within a task (the partial side of the
 first aggregate), copies within one salt of a digest (its final side), and the winners of all salts (the second
 aggregate). A digest that a third of all rows share so never meets in one task before it has been reduced to one row
-per task and then one row per salt; the join that picks the documents out has plain shuffles on both sides, which
-adaptive execution splits where a digest is hot.
+per task and then one row per salt; the join that picks the documents out is salted in the same way.
 
 A document finds its group by the digest alone; only where two different texts had one digest (none is known for
 SHA-256) the text itself is joined as well. No texts travel for that lookup.
@@ -31,9 +30,10 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = _digested(docs, id_col, text_col)
     digests = lasting(rows.select("id", "sha"))
     again = lasting(digests.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sha"))
+    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = (
-        rows.join(again, "sha", "left_semi")
-        .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+        rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+        .join(again, ["sha", "salt"], "left_semi")
         .groupBy("sha", "salt", "norm")
         .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     )
