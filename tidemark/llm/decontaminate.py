@@ -59,13 +59,14 @@ def hits(
     offsets = F.explode(F.sequence(F.lit(1), F.size("words") - gram + 1))
     grams = wins.select("words", offsets.alias("s")).select(F.xxhash64(F.slice("words", F.col("s"), gram)).alias("h")).distinct()
     few = grams.limit(broadcast_grams + 1).count() <= broadcast_grams
-    places = F.sequence(F.lit(0), F.size("w") - gram, F.lit(step))
+    places = F.when(F.size("w") >= gram, F.sequence(F.lit(0), F.size("w") - gram, F.lit(step)))
     probes = F.transform(places, lambda i: F.xxhash64(F.slice("w", i + 1, F.lit(gram))))
-    probed = rows.where(F.size("w") >= least).withColumn("probes", probes)
+    # The outer kind: a filter on the array's size would be pushed below and split the text again for every probe.
+    probed = rows.withColumn("probes", probes)
     if few:
-        found = probed.select("id", "key", "w", F.posexplode("probes").alias("k", "h")).join(F.broadcast(grams), "h", "left_semi")
+        found = probed.select("id", "key", "w", F.posexplode_outer("probes").alias("k", "h")).join(F.broadcast(grams), "h", "left_semi")
     else:
-        at = probed.select("id", "key", F.posexplode("probes").alias("k", "h")).join(grams, "h", "left_semi")
+        at = probed.select("id", "key", F.posexplode_outer("probes").alias("k", "h")).join(grams, "h", "left_semi")
         at = at.groupBy("id", "key").agg(F.collect_set("k").alias("ks")).select(F.col("id").alias("i"), F.col("key").alias("j"), "ks")
         found = rows.join(at, (F.col("key") == F.col("j")) & F.col("id").eqNullSafe(F.col("i")))
         found = found.select("id", "key", "w", F.explode("ks").alias("k"))
