@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, packing
+from tidemark.llm import decontaminate, exact_dedup, language_id, packing, quality, secrets
 from tidemark.llm.common import read
 
 
@@ -39,6 +39,41 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _crc_part(parts: int) -> Column:
+    """crc32 of the id as text, modulo parts."""
+    return F.crc32(F.col("id").cast("string")) % parts
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    rules = quality.fit(docs, labels, learn=_crc_part(5) != 0)
+    scored = quality.score(docs.withColumnRenamed("doc_id", "id"), rules, "id")
+    return scored.select(
+        F.col("id").alias("doc_id"), (_crc_part(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def language_model(docs: DataFrame) -> language_id.Model | None:
+    return language_id.fit(docs, learn=_crc_part(4) != 2)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = language_id.predict(docs.withColumnRenamed("doc_id", "id"), language_model(docs), "id")
+    return found.select(F.col("id").alias("doc_id"), (_crc_part(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
+    base = F.filter("spans", lambda x: x["kind"] != "owned")
+    live = F.size(F.filter("spans", lambda x: x["verdict"] == "live")).cast("long").alias("n_live")
+    return found.select(
+        "doc_id", of("assign"), of("access"), of("hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), live
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(read(spark, sf_dir, "documents"))
 
@@ -46,7 +81,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_decontamination": op4_decontamination,
+    "op7_quality": op7_quality,
+    "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_secrets": op10_secrets,
 }
 
 #: Words of a text as decontamination sees them, in DuckDB.
