@@ -35,3 +35,32 @@ def lasting(df: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Rows of a few bytes that may be broadcast; beyond that, joins shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def if_few(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows with a broadcast hint if they are no more than `most`, else as they are."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not in the one column of dropped (written already: it is counted first)."""
+    gone = dropped.toDF("__gone")
+    return docs.join(if_few(gone), docs[id_col] == gone["__gone"], "left_anti")
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, heavy: int = 1000) -> DataFrame:
+    """rows left joined with table, one row per key there, on key; keys with more than `heavy` rows are joined apart.
+
+    There is at most one such key in `heavy` rows, so the table of these is small beside rows; it is broadcast behind
+    a check of its size. Both frames are read twice.
+    """
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > heavy).select(key)
+    hot = if_few(lasting(hot))
+    return (
+        rows.join(hot, key, "left_anti").join(table, key, "left")
+        .unionByName(rows.join(if_few(table.join(hot, key, "left_semi")), key, "inner"))
+    )

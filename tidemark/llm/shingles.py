@@ -79,10 +79,8 @@ def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
             s = np.sort(grams[a : b - k + 1])
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
         elif b > a:
-            h = np.uint64(int(b - a) * 0x51ED27)
-            for j in range(b - a):
-                h = h + words[a + j] * _SHINGLE[j + k]
-            out.append(mix(np.array([h], dtype=np.uint64)))
+            whole = (words[a:b] * _SHINGLE[k : k + b - a]).sum(keepdims=True, dtype=np.uint64)
+            out.append(mix(whole + np.uint64(b - a)))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
