@@ -140,9 +140,10 @@ def postings(docs: DataFrame, common: pd.DataFrame, text_col: str = "text", k: i
     def shared(parts):
         import pyarrow as pa
 
-        table = pa.Table.from_batches(list(parts))
-        if not len(table):
+        parts = [x for x in parts if len(x)]
+        if not parts:
             return
+        table = pa.Table.from_batches(parts)
         token, key, known = (table.column(c).to_numpy() for c in ("token", "class", "known"))
         order = np.lexsort((key, token))
         token, key, known = token[order], key[order], known[order]

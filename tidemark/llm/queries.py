@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, secrets
+from tidemark.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, secrets, suffix_dedup
 from tidemark.llm.common import read
 
 
@@ -43,6 +43,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def _crc_part(parts: int) -> Column:
     """crc32 of the id as text, modulo parts."""
     return F.crc32(F.col("id").cast("string")) % parts
@@ -86,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_decontamination": op4_decontamination,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality": op7_quality,
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,

@@ -34,7 +34,7 @@ _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _POW: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POW or len(_POW["r"]) < n:
         size = max(n, 1 << 20)
         for name, base in (("r", _R), ("i", _R_INV)):
@@ -55,7 +55,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     solid = ~_WHITE[buf]
     edge = np.diff(solid.view(np.int8), prepend=np.int8(0))
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    r, inv = _powers(len(buf) + 1)
+    r, inv = powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum(_T[buf] * r[: len(buf)], out=total[1:])
     words = mix((total[stop] - total[start]) * inv[start] + (stop - start).astype(np.uint64))
