@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, secrets, suffix_dedup
+from tidemark.llm import decontaminate, exact_dedup, html_text, jaccard_join, language_id, packing, quality, secrets, suffix_dedup
 from tidemark.llm.common import read
 
 
@@ -43,6 +43,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_decontamination": op4_decontamination,
+    "op5_html_text": op5_html_text,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality": op7_quality,
     "op8_language_id": op8_language_id,
