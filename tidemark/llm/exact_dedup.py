@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, lasting
+from tidemark.llm.common import ascii_lower, lasting, without
 
 SALTS = 16
 
@@ -61,8 +61,8 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of docs, all columns, whose id is their group's keep_id."""
-    keep = copy_groups(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
+    found = lasting(copy_groups(docs, id_col, text_col, salts))
+    return without(docs, found.where("NOT kept").select(id_col), id_col)
 
 
 def _digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
