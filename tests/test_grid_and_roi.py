@@ -1,0 +1,104 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions import grid
+from tidemark.functions.projections import PLAIN, CRSError, project, to_equal_area, to_utm, unproject
+from tidemark.operators import roi
+
+
+def one(spark, *columns):
+    return spark.range(1).select(*columns).first()
+
+
+def test_origin_and_bounds(spark):
+    at = lambda lon, lat: tuple(one(spark, grid.cell_col(F.lit(lon), F.lit(lat)), grid.cell_row(F.lit(lat), F.lit(lon))))
+    assert at(grid.ORIGIN_X, grid.ORIGIN_Y) == (0, 0)
+    assert at(grid.ORIGIN_X - 1e-6, 50.0)[0] == -1
+    for odd in (float("nan"), float("inf"), float("-inf")):
+        assert at(odd, 50.0) == (-1, -1)
+        assert at(5.0, odd) == (-1, -1)
+    valid = lambda c, r: one(spark, grid.is_valid(F.lit(c), F.lit(r)))[0]
+    assert valid(0, 0) and valid(grid.WIDTH - 1, grid.HEIGHT - 1)
+    assert not valid(grid.WIDTH, 0) and not valid(0, grid.HEIGHT) and not valid(-1, 0)
+
+
+def test_pack(spark):
+    c = grid.pack_cell(F.lit(131_759), F.lit(69_719))
+    assert tuple(one(spark, grid.unpack_col(c), grid.unpack_row(c))) == (131_759, 69_719)
+
+
+def test_cell_areas_sum_to_the_sphere_band(spark):
+    band = spark.range(grid.HEIGHT).select(F.sum(grid.equal_area_km2(F.col("id"))).alias("x")).first()[0] * 360 * 1200
+    top, bottom = to_equal_area(0.0, grid.ORIGIN_Y, PLAIN)[1], to_equal_area(0.0, grid.ORIGIN_Y - grid.HEIGHT / 1200, PLAIN)[1]
+    width = 2 * to_equal_area(180.0, 0.0, PLAIN)[0]
+    assert band == pytest.approx((top - bottom) * width / 1e6, rel=1e-9)
+
+
+@pytest.mark.parametrize("epsg", [3035, 6933, 32632, 32733])
+def test_projections_invert(epsg):
+    lat = -33.0 if epsg == 32733 else 52.3
+    lon = 18.0 if epsg == 32733 else 9.5
+    assert unproject(*project(lon, lat, epsg, PLAIN), epsg) == pytest.approx((lon, lat), abs=1e-8)
+
+
+def test_known_points():
+    assert project(10.0, 52.0, 3035, PLAIN) == pytest.approx((4_321_000, 3_210_000), abs=1e-3)
+    assert to_utm(9.0, 0.0, 32632, PLAIN) == pytest.approx((500_000, 0), abs=1e-6)
+    with pytest.raises(CRSError):
+        project(0, 0, 28992, PLAIN)
+
+
+@pytest.mark.parametrize(
+    "rings",
+    [
+        [[(10.0, 49.4), (10.6, 49.45), (10.2, 50.0)]],
+        [[(10.011, 49.513), (10.371, 49.513), (10.371, 49.887), (10.011, 49.887)]],
+        [[(9.0, 49.0), (11.0, 49.0), (11.0, 51.0), (9.0, 51.0)]],
+        [[(10.2001, 49.8001), (10.2002, 49.8001), (10.2002, 49.8002)]],
+        [[(10.0, 49.4), (10.6, 49.4), (10.6, 50.0), (10.0, 50.0)], [(10.2, 49.6), (10.4, 49.6), (10.3, 49.8)]],
+    ],
+)
+def test_mask_equals_a_dense_test(spark, rings):
+    r = random.Random(3)
+    c0, r0 = round((10.0 - grid.ORIGIN_X) * 1200), round((grid.ORIGIN_Y - 50.0) * 1200)
+    cells = [(c0 + r.randrange(-100, 900), r0 + r.randrange(-100, 800)) for _ in range(2000)]
+    region = roi.from_rings(rings)
+    center = lambda c, w: (grid.ORIGIN_X + (c + 0.5) * grid.RESOLUTION, grid.ORIGIN_Y - (w + 0.5) * grid.RESOLUTION)
+    want = sorted(x for x in cells if roi.point_inside(*center(*x), region.rings))
+    found = region.mask(spark.createDataFrame(cells, "col int, row int"))
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def test_many_edges_take_the_udf(spark):
+    ring = [(10 + 0.3 * math.cos(t / 150 * math.pi), 50 + 0.2 * math.sin(t / 150 * math.pi)) for t in range(300)]
+    cells = spark.range(400).select((F.lit(68_000) + F.col("id") * 2).cast("int").alias("col"), F.lit(42_120).alias("row"))
+    region = roi.from_rings([ring])
+    expression = cells.where(roi.ray_cast(grid.center_lon(F.col("col")), grid.center_lat(F.col("row")), region.rings)).count()
+    assert region.mask(cells).count() == expression > 0
+
+
+def test_resolve_rules():
+    with pytest.raises(roi.RoiError):
+        roi.resolve()
+    with pytest.raises(roi.RoiError):
+        roi.resolve(point=(52, 6), bbox=(0, 0, 1, 1))
+    with pytest.raises(roi.RoiError):
+        roi.resolve(bbox=(1, 0, 0, 1))
+    hull = roi.from_rings([[(0, 0), (2, 0), (1, 0.5), (2, 2), (0, 2)]]).hull()
+    assert len(hull.rings[0]) == 4
+    assert roi.from_bbox((6, 52, 7, 53)).area_km2 == pytest.approx(7586, rel=0.01)
+
+
+def test_buffer_in_metres(spark):
+    """A cell's centre 1 km east of a box is inside a buffer of 1.1 km, and outside of 0.9 km."""
+    for lat in (0.0, 45.0, 60.0):
+        lon = 6.0 + 1000 / (111_320 * math.cos(math.radians(lat)))
+        cell = spark.range(1).select(grid.cell_col(F.lit(lon)).alias("col"), grid.cell_row(F.lit(lat)).alias("row")) if lat else None
+        if cell is None:
+            continue
+        box = roi.from_bbox((5.9, lat - 0.1, 6.0, lat + 0.1))
+        assert box.buffered(1150).mask(cell).count() == 1
+        assert box.buffered(850).mask(cell).count() == 0
