@@ -38,7 +38,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 #: Rows of a few bytes that may be broadcast; beyond that, joins shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def if_few(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -53,11 +53,14 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Data
 
 
 def look_up(rows: DataFrame, table: DataFrame, key: str, heavy: int = 1000) -> DataFrame:
-    """rows left joined with table, one row per key there, on key; keys with more than `heavy` rows are joined apart.
+    """rows left joined with table (written already), which has one row per key, on key.
 
-    There is at most one such key in `heavy` rows, so the table of these is small beside rows; it is broadcast behind
-    a check of its size. Both frames are read twice.
+    A table of few rows is broadcast. Else keys with more than `heavy` rows are joined apart: there is at most one of
+    them in `heavy` rows, so what the table has of these is small beside rows, and is broadcast behind a check.
     """
+    small = if_few(table)
+    if small is not table:
+        return rows.join(small, key, "left")
     hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > heavy).select(key)
     hot = if_few(lasting(hot))
     return (

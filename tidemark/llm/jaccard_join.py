@@ -6,12 +6,14 @@ first few. The order is: shingles not known to be common by hash, then the commo
 documents, block by block (a shingle is counted where a block has it twice), and the table of common ones keeps the
 COMMON most frequent; any order gives the same links, a good one gives few candidates.
 
-Skipping uses relations between sets, twice. Each shingle's index list has a pivot, the class with the least position;
-first the others are compared with their pivots only. What is linked to its pivot has its answers from it: within one
-component, nothing is compared again. Only classes outside of their pivot's component are then compared with the rest
-of the list, and there whole blocks of the list are skipped: a block is a range of set sizes and of positions, and a
-class looks only into those where the positions leave room for enough shared shingles. Candidates are verified on the
-full sets. So a group of very many near copies costs about one comparison for each.
+Short index lists, of up to SHORT classes, give all their pairs with the number of shared prefix shingles; a pair goes on
+only if that number, and what the rest of the sets can add, suffices. For the other lists, skipping uses relations between
+sets, twice. Each list has a pivot, the class with the least position; first the others are compared with their pivots
+only. What is linked to its pivot has its answers from it: within one component, nothing is compared again. Only classes
+outside of their pivot's component are then compared with the rest of the list, and there whole blocks of the list are
+skipped: a block is a range of set sizes and of positions, and a class looks only into those where the positions leave
+room for enough shared shingles. Candidates are verified on the full sets. So a group of very many near copies costs about
+one comparison for each.
 
 Equal sets and shared shingles are told by 64-bit hashes (of a class: mixed over the set); sets are compared shingle by
 shingle on these. No list of a common shingle meets in one task: its rows are dealt by class, and pivots are aggregated.
@@ -41,6 +43,8 @@ COMMON_FROM = 6
 BLOCK_SHINGLES = 1 << 22
 #: Set sizes of one block differ by up to this factor, positions by up to this part of the set's size.
 SIZE_STEP, POSITION_STEP = 1.1, 1 / 18
+SHORT = 64
+PAIRS = 1 << 20
 HEAVY_PIVOT = 256
 
 
@@ -106,10 +110,12 @@ def common_shingles(counted: DataFrame, most: int = COMMON) -> pd.DataFrame:
     return total.orderBy(F.desc("n"), "token").limit(most).toPandas().sort_values("token")
 
 
-def postings(docs: DataFrame, common: pd.DataFrame, text_col: str = "text", k: int = K) -> DataFrame:
-    """Index lists without those of one class only: rows (token, class, n, pos) of each class's prefix.
+def postings(docs: DataFrame, common: pd.DataFrame, text_col: str = "text", k: int = K, short: int = SHORT) -> tuple[DataFrame, DataFrame]:
+    """The index lists of the classes' prefixes, without those of one class only.
 
-    pos is the position of the token in the class's set, in the common order; n is the set's size.
+    First the long lists (and all of common shingles) as rows (token, class, n, pos): pos is the position of the token in
+    the class's set, in the common order, and n the set's size. Then the pairs of the short lists as rows (a, b, c, n, m):
+    two classes, the number of their common tokens, their sizes.
     """
     tokens, counts = common["token"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
 
@@ -144,29 +150,71 @@ def postings(docs: DataFrame, common: pd.DataFrame, text_col: str = "text", k: i
         if not parts:
             return
         table = pa.Table.from_batches(parts)
-        token, key, known = (table.column(c).to_numpy() for c in ("token", "class", "known"))
+        token, key, size, pos, known = (table.column(c).to_numpy() for c in ("token", "class", "n", "pos", "known"))
         order = np.lexsort((key, token))
-        token, key, known = token[order], key[order], known[order]
-        new = np.concatenate(([True], token[1:] != token[:-1]))
-        single = np.concatenate(([True], (key[1:] != key[:-1]) | new[1:]))  # a class once in a list
-        of = np.cumsum(new) - 1
-        keep = single & ((np.bincount(of[single], minlength=of[-1] + 1)[of] > 1) | known)
-        yield from table.take(pa.array(order[keep])).drop_columns(["known"]).to_batches()
+        token, key, size, pos, known = token[order], key[order], size[order], pos[order], known[order]
+        once = np.concatenate(([True], (key[1:] != key[:-1]) | (token[1:] != token[:-1])))
+        token, key, size, pos, known = token[once], key[once], size[once], pos[once], known[once]
+        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        members = np.diff(np.append(first, len(token)))
+        long = np.repeat(members > short, members) | known
+        zero = np.zeros(np.count_nonzero(long), dtype=np.int64)
+        yield _batch(token[long], key[long], zero, size[long], pos[long])
+        for m in range(2, short + 1):
+            lists = first[(members == m) & ~known[first]]
+            x, y = np.triu_indices(m, 1)
+            for at in range(0, len(lists), max(1, PAIRS // len(x))):
+                at = lists[at : at + max(1, PAIRS // len(x)), None]
+                left, right = (at + x).ravel(), (at + y).ravel()  # by key within a list, so left < right
+                fits = (size[left] * SHARE[1] >= size[right] * SHARE[0]) & (size[right] * SHARE[1] >= size[left] * SHARE[0])
+                left, right = left[fits], right[fits]
+                order = np.lexsort((key[right], key[left]))
+                left, right = left[order], right[order]
+                new = np.flatnonzero(np.concatenate(([True], (key[left][1:] != key[left][:-1]) | (key[right][1:] != key[right][:-1])))) if len(left) else left
+                count = np.diff(np.append(new, len(left)))
+                left, right = left[new], right[new]
+                yield _batch(key[left], key[right], count, size[left], size[right])
 
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(prefixes, "token long, class long, n long, pos long, known boolean")
     dealt = found.repartition(F.when(F.col("known"), F.xxhash64("class", "token")).otherwise(F.col("token")))
-    return lasting(dealt.mapInArrow(shared, "token long, class long, n long, pos long"))
+    both = lasting(dealt.mapInArrow(shared, "a long, b long, c long, n long, m long"))
+    lists = both.where("c = 0").select(F.col("a").alias("token"), F.col("b").alias("class"), "n", F.col("m").alias("pos"))
+    return lists, both.where("c > 0")
+
+
+def _batch(*columns: np.ndarray):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["a", "b", "c", "n", "m"])
+
+
+def promising(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of short lists whose shared prefix tokens, with those of long lists and the sets' rests, may suffice.
+
+    All shared tokens up to the end of the prefix that ends first are in both prefixes; after it, that set has 4/5 of
+    its tokens left, less one.
+    """
+    p, q = SHARE
+    counted = lasting(pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("n").alias("n"), F.max("m").alias("m")))
+    in_long = lasting(lists.groupBy("class").agg(F.count(F.lit(1)).alias("long")))
+    for side in ("a", "b"):
+        of = in_long.select(F.col("class").alias(side), F.col("long").alias(f"long_{side}"))
+        counted = look_up(counted, of, side)
+    more = F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0)))
+    rest = F.ceil(F.greatest("n", "m") * p / q) - 1
+    return counted.where(F.col("c") + more + rest >= least_overlap(F.col("n"), F.col("m"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id reachable by links, its own included)."""
     rows, counted = shingle_classes(docs, id_col, text_col, k)
     classes = lasting(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep")))
-    lists = postings(docs, common_shingles(counted), text_col, k)
+    lists, short = postings(docs, common_shingles(counted), text_col, k)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     pivots = lasting(lists.groupBy("token").agg(F.min(F.struct("pos", "class", "n")).alias("p")).select("token", "p.*"))
-    first = lasting(_possible(lists.alias("x").join(pivots.alias("y"), "token"), "x.class <> y.class"))
+    of_lists = _possible(lists.alias("x").join(pivots.alias("y"), "token"), "x.class <> y.class")
+    first = lasting(of_lists.unionByName(promising(short, lists)).distinct())
     links = lasting(linked(first, source, classes, k))
     labels = components(links)
 
