@@ -7,7 +7,7 @@ windows have equal anchors, and neighbouring windows mostly share theirs; such a
 
 Runs whose anchor occurs once are dropped. Where all runs of an anchor are equal as a whole, all their windows are
 repeated, and no text is needed. For the rest, one run of each distinct content is fetched, and the block's suffixes
-are sorted by their first LENGTH bytes (ranks of 8, 16, ... bytes, doubled). In suffix order, the previous smaller
+are sorted by their first LENGTH bytes (ranks of 8, 24, 72, ... bytes). In suffix order, the previous smaller
 position with a common prefix of LENGTH gives an earlier match (the longest previous factor is long enough), and the
 next one a later match. An anchor with more than HOT contents is not gathered in one task; its windows become rows that
 are counted by hash.
@@ -31,7 +31,7 @@ from tidemark.llm.shingles import _T, mix, powers
 LENGTH = 200
 GRAM = 32
 HOT = 4096
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 19
 PIECE = 1 << 21
 
 _RANGES = "array<struct<a:int,b:int>>"
@@ -232,13 +232,14 @@ def _suffix_matcher(length: int):
 
     def run(parts):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         parts = [x for x in parts if len(x)]
         if not parts:
             return
         table = pa.Table.from_batches(parts)
         table = table.take(pa.array(np.argsort(table.column("anchor").to_numpy(), kind="stable")))
-        anchor, size = table.column("anchor").to_numpy(), np.array([len(x.as_py()) for x in table.column("raw")])
+        anchor, size = table.column("anchor").to_numpy(), pc.binary_length(table.column("raw")).to_numpy()
         edge = np.append(np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1]))), len(anchor))
         total, a = np.concatenate(([0], np.cumsum(size))), 0
         for k in range(1, len(edge)):
@@ -253,7 +254,10 @@ def _judged(table, length: int):
     import pyarrow as pa
 
     raw, count = table.column("raw").to_pylist(), table.column("c").to_numpy()
-    order = sorted(range(len(raw)), key=lambda i: tuple((v is not None, v or 0) for v in (table.column(c)[i].as_py() for c in ("id", "uid", "start"))))
+    ids = table.column("id")
+    place = [ids.is_valid().to_numpy(), ids.fill_null(0).to_numpy(), table.column("uid").to_numpy(), table.column("start").to_numpy()]
+    order = np.lexsort(place[::-1])
+    keys = table.column("key").to_numpy()[order]
     sizes = np.array([len(raw[i]) for i in order])
     begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     buf = np.frombuffer(b"".join(raw[i] for i in order), dtype=np.uint8)
@@ -266,30 +270,42 @@ def _judged(table, length: int):
     earlier, later = np.zeros(len(rank), dtype=bool), np.zeros(len(rank), dtype=bool)
     earlier[suffixes[1:]] = same  # previous smaller position
     later[suffixes[:-1]] = same  # next one
-    repeated = earlier | later | (count[np.array(order)] > 1)[of]
+    repeated = earlier | later | (count[order] > 1)[of]
     bounds = np.cumsum(n) - n
-    rows = [(table.column("key")[i].as_py(), _ranges(repeated[s : s + m]), _ranges(earlier[s : s + m])) for i, s, m in zip(order, bounds, n, strict=True)]
+    dup, before = zip(*((_ranges(repeated[s : s + m]), _ranges(earlier[s : s + m])) for s, m in zip(bounds, n, strict=True)), strict=True)
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    keys, dup, before = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(dup, kind), pa.array(before, kind)], names=["key", "dup", "later"])
 
 
 def _ranks(buf: np.ndarray, length: int) -> np.ndarray:
-    """For each position the rank of its first `length` bytes, among all positions; doubling from 8 bytes."""
+    """For each position the rank of its first `length` bytes, among all positions: ranks of 8 bytes, then of
+    three (in very large blocks, two) such pieces, and so on."""
     padded = np.concatenate((buf, np.zeros(length + 8, dtype=np.uint8)))
     rank = np.zeros(len(buf) + length, dtype=np.uint64)
     for j in range(8):
         rank = (rank << np.uint64(8)) | padded[j : j + len(rank)]
-    have = 8
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+    have, rank = 8, _dense(rank)
+    three = len(rank) < 1 << 21  # three ranks fit in 63 bits
     while have < length:
-        step = min(have, length - have)
-        pair = (rank[: len(rank) - step] << np.uint64(32)) | rank[step:]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
-        have += step
+        if three:
+            new = min(3 * have, length)
+            a, b = min(have, new - have), new - have
+            rank = (rank[: len(rank) - b] << np.uint64(42)) | (rank[a : len(rank) - b + a] << np.uint64(21)) | rank[b:]
+        else:
+            new = min(2 * have, length)
+            rank = (rank[: len(rank) - new + have] << np.uint64(32)) | rank[new - have :]
+        have, rank = new, _dense(rank)
     return rank[: len(buf)]
 
 
+def _dense(keys: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys)
+    ordered = keys[order]
+    out = np.empty(len(keys), dtype=np.uint64)
+    out[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
+    return out
+
+
 def _ranges(mask: np.ndarray) -> list[dict]:
     edge = np.flatnonzero(np.diff(mask.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     return [{"a": int(a), "b": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
