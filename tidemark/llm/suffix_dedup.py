@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import if_few, lasting, look_up
+from tidemark.llm.common import BROADCAST_ROWS, if_few, lasting, look_up
 from tidemark.llm.shingles import _T, mix, powers
 
 LENGTH = 200
@@ -136,29 +136,35 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = _source(docs, id_col, text_col)
     runs = window_runs(source, length, gram)
     place = F.struct("id", "uid", "start")
-    anchors = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("content").alias("low"), F.max("content").alias("high"), F.min(place).alias("first"))
-    anchors = lasting(anchors.where("c > 1"))
-    found = lasting(look_up(runs, anchors, "anchor").where("c > 1"))
-    whole = found.where("low = high")
+    firsts = [F.min(place).alias("first")] if keep_first else []
+    anchors = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), (F.min("content") == F.max("content")).alias("whole"), *firsts)
+    anchors = lasting(anchors.where("c > 1").drop("c"))
+    found = lasting(look_up(runs, anchors, "anchor").where("whole IS NOT NULL"))
+    whole = found.where("whole")
     if keep_first:
         whole = whole.where(place != F.col("first"))
-    mixed = found.where("low <> high").drop("c", "low", "high", "first").withColumn("key", F.xxhash64("anchor", "content"))
+    mixed = found.where("NOT whole").drop("whole", "first").withColumn("key", F.xxhash64("anchor", "content"))
 
-    distinct = lasting(mixed.groupBy("key", "anchor", "content").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "uid", "start", "n")).alias("r")))
+    distinct = mixed.groupBy("key", "anchor", "content").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "uid", "start", "n")).alias("r"))
+    distinct = lasting(distinct.drop("content"))
     many = lasting(distinct.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"))
-    texts = _fetched(source, distinct, length).join(if_few(many.withColumn("hot", F.lit(True))), "anchor", "left")
-    texts = lasting(texts)
-    cold = texts.where("hot IS NULL").repartition("anchor").mapInArrow(_suffix_matcher(length), f"key long, dup {_RANGES}, later {_RANGES}")
-    wins = texts.where("hot").mapInArrow(_window_rows(length), "key long, i int, c long, id long, uid long, start long, win long")
-    classes = lasting(wins.groupBy("win").agg(F.sum("c").alias("total"), F.min(F.struct("id", "uid", "start")).alias("first")))
-    judged = look_up(wins, classes.where("total > 1"), "win").where("total IS NOT NULL")
-    one = F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b"))
-    heavy = judged.groupBy("key").agg(F.collect_list(one).alias("dup"), F.collect_list(F.when(F.struct("id", "uid", "start") != F.col("first"), one)).alias("later"))
-    ranges = lasting(cold.unionByName(heavy).join(distinct.select("key", "r"), "key"))
+    texts = _fetched(source, distinct, length)
+    cold = texts.join(if_few(many), "anchor", "left_anti").repartition("anchor").mapInArrow(_suffix_matcher(length), f"key long, dup {_RANGES}, later {_RANGES}")
+    if not many.isEmpty():
+        wins = texts.join(if_few(many), "anchor", "left_semi").dropDuplicates(["key"])
+        wins = lasting(wins.mapInArrow(_window_rows(length), "key long, i int, c long, id long, uid long, start long, win long"))
+        classes = lasting(wins.groupBy("win").agg(F.sum("c").alias("total"), F.min(F.struct("id", "uid", "start")).alias("first")))
+        judged = look_up(wins, classes.where("total > 1"), "win").where("total IS NOT NULL")
+        one = F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b"))
+        heavy = judged.groupBy("key").agg(F.collect_list(one).alias("dup"), F.collect_list(F.when(F.struct("id", "uid", "start") != F.col("first"), one)).alias("later"))
+        cold = cold.unionByName(heavy)
+    ranges = cold.join(distinct.select("key", "r"), "key") if keep_first else cold.drop("later")
+    ranges = lasting(ranges)
 
     ranged = look_up(mixed, ranges, "key")
-    here = F.struct("id", "uid", "start", "n") == F.col("r")
-    chosen = F.when(here, F.col("later")).otherwise(F.col("dup")) if keep_first else F.col("dup")
+    chosen = F.col("dup")
+    if keep_first:
+        chosen = F.when(F.struct("id", "uid", "start", "n") == F.col("r"), F.col("later")).otherwise(chosen)
     parts = ranged.select("id", "uid", "start", F.explode(chosen).alias("x"))
     spans = parts.select("id", "uid", (F.col("start") + F.col("x.a")).alias("a"), (F.col("start") + F.col("x.b") - 1 + length).alias("b"))
     return spans.unionByName(whole.select("id", "uid", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + length).alias("b")))
@@ -167,46 +173,57 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
                    keep_first: bool = False, hot: int = HOT) -> DataFrame:
     """One row per document: id, n_bytes, spans (maximal removed runs of bytes, end exclusive), kept (the other bytes)."""
-    import pandas as pd
-
     found = repeated_spans(docs, id_col, text_col, length, gram, keep_first, hot)
-    by_row = lasting(found.groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("cut")))
+    spans = found.groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("cut"))
+    by_row = lasting(spans.mapInArrow(_merged, "uid long, cut array<struct<a:long,b:long>>"))
     size = by_row.agg(F.sum(F.size("cut"))).first()[0] or 0
-    by_row = if_few(by_row) if size <= 2_000_000 else by_row
+    by_row = if_few(by_row) if size <= BROADCAST_ROWS else by_row
 
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for text, spans in zip(rows.iloc[:, 0], rows.iloc[:, 1], strict=True):
-            raw, merged = (text or "").encode("utf-8", "surrogatepass"), []
-            for s in spans if spans is not None else ():
-                if merged and s["a"] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], int(s["b"]))
-                else:
-                    merged.append([int(s["a"]), int(s["b"])])
-            edges = [0, *(x for s in merged for x in s), len(raw)]
-            kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            out.append((len(raw), [{"a": a, "b": b} for a, b in merged], kept))
-        return pd.DataFrame(out, columns=["n_bytes", "spans", "kept"])
+    def cut(text: str | None, spans: list[dict] | None) -> bytes:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        edges = [0, *(x for s in spans or () for x in (s["a"], s["b"])), len(raw)]
+        return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
     def run(parts):
         import pyarrow as pa
 
-        schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("kept", pa.binary())])
         for part in parts:
-            rows = cut(pd.DataFrame({"text": part.column(1).to_pylist(), "cut": part.column(2).to_pylist()}))
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(rows[c], t) for c, t in zip(schema.names[1:], schema.types[1:], strict=True))], schema=schema)
+            texts, spans = part.column(1).to_pylist(), part.column(2).to_pylist()
+            kept = [cut(t, x) for t, x in zip(texts, spans, strict=True)]
+            sizes = [len(k) + sum(s["b"] - s["a"] for s in x or ()) for k, x in zip(kept, spans, strict=True)]
+            kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+            cols = [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array([x or [] for x in spans], kind), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "n_bytes", "spans", "kept"])
 
     rows = _source(docs, id_col, text_col).join(by_row, "uid", "left").select("id", "text", "cut")
     return rows.mapInArrow(run, "id long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary").withColumnRenamed("id", id_col)
 
 
+def _merged(parts):
+    """Sorted spans that touch or overlap as one."""
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    for part in parts:
+        out = []
+        for spans in part.column(1).to_pylist():
+            merged = []
+            for s in spans:
+                if merged and s["a"] <= merged[-1]["b"]:
+                    merged[-1]["b"] = max(merged[-1]["b"], s["b"])
+                else:
+                    merged.append(s)
+            out.append(merged)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, kind)], names=["uid", "cut"])
+
+
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.withColumn("uid", F.xxhash64("id", "text"))
 
 
 def _fetched(source: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
-    """distinct with the bytes of each row's run."""
+    """distinct with the bytes of each row's run; repeated documents give repeated rows."""
     asked = distinct.groupBy("r.uid").agg(F.collect_list(F.struct("key", "anchor", "c", "r.id", "r.start", "r.n")).alias("runs"))
     asked = lasting(asked)
 
@@ -223,8 +240,7 @@ def _fetched(source: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "anchor", "c", "id", "uid", "start", "raw"])
 
     rows = source.join(if_few(asked), "uid").select("uid", "text", "runs")
-    found = rows.mapInArrow(run, "key long, anchor long, c long, id long, uid long, start long, raw binary")
-    return found.dropDuplicates(["key"])
+    return rows.mapInArrow(run, "key long, anchor long, c long, id long, uid long, start long, raw binary")
 
 
 def _suffix_matcher(length: int):
@@ -238,6 +254,7 @@ def _suffix_matcher(length: int):
         if not parts:
             return
         table = pa.Table.from_batches(parts)
+        table = table.take(pa.array(np.unique(table.column("key").to_numpy(), return_index=True)[1]))
         table = table.take(pa.array(np.argsort(table.column("anchor").to_numpy(), kind="stable")))
         anchor, size = table.column("anchor").to_numpy(), pc.binary_length(table.column("raw")).to_numpy()
         edge = np.append(np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1]))), len(anchor))
