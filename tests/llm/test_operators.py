@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, decontaminate, exact_dedup, html_text, jaccard_join, language_id, packing, quality, secrets, suffix_dedup
+from tidemark.llm import components, decontaminate, exact_dedup, html_text, jaccard_join, language_id, licenses, packing, quality, secrets, suffix_dedup
 from tidemark.llm import queries as Q
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -369,3 +369,62 @@ def test_secrets(spark):
     assert [x[:3] for x in found[3][0]] == [("owned", 10, 50)] and found[3][0][0][3] == "live"
     assert {x[3] for x in found[10][0] if x[0] == "assign"} == {"example"} and not any(x[0] == "owned" for x in found[10][0])
     assert secrets.scan(df.where("false")).count() == 0
+
+
+def test_patience_alignment():
+    r = random.Random(5)
+    for _ in range(200):
+        xs = [r.randrange(30) for _ in range(r.randrange(25))]
+        best = []
+        for i, x in enumerate(xs):
+            best.append(1 + max((best[j] for j in range(i) if xs[j] < x), default=0))
+        got = [xs[i] for i in licenses.increasing(xs)]
+        assert len(got) == max(best, default=0) and all(a < b for a, b in zip(got, got[1:]))
+        a, b = ([r.choice("abcdefgh") for _ in range(r.randrange(12))] for _ in range(2))
+        pairs = licenses.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(p < q and x < y for (p, x), (q, y) in zip(pairs, pairs[1:]))
+    # the and of are not unique outside, but in the gaps between x, y and z
+    assert len(licenses.align("the x of the y of z".split(), "the x of the y of z".split())) == 7
+    assert licenses.align([], ["a"]) == []
+
+
+def test_licenses(spark, docs, none):
+    ready = [licenses.template(*t) for t in licenses.TEMPLATES]
+    prose = texts(9, 20)
+    r = random.Random(3)
+
+    def worn(text):
+        """One word in twenty is another, and a line is added."""
+        words = text.split()
+        for i in range(3, len(words), 20):
+            words[i] = "changed"
+        words.insert(len(words) // 2, "Copyright 2020 Someone Else")
+        return " ".join(words)
+
+    rows, want = [], {}
+    for k, (name, text, _) in enumerate(licenses.TEMPLATES):
+        long = len(text.split()) > 20
+        rows.append((100 + k, f"{prose[k % 20]} {worn(text) if long else text} {prose[(k + 1) % 20]}"))
+        want[100 + k] = [name]
+    twice = "Released under the MIT License. "
+    rows += [(1, twice * 2), (2, "é " * 5000 + twice + "ö " * 5000 + "Licensed under CC BY-NC 4.0."), (3, twice * 700)]
+    want |= {1: ["MIT"] * 2, 2: ["MIT", "CC-BY-NC-4.0"], 3: ["MIT"] * 700}
+    rows += [(4, "released under the Apache License"), (5, None), (6, ""), (7, "mit license under the released"), (None, twice), (7, "mit license under the released")]
+    want |= {4: [], 5: [], 6: [], 7: [], None: ["MIT"]}
+    rows += [(1000 + k, t) for k, t in enumerate(prose)]
+    want |= {1000 + k: [] for k in range(len(prose))}
+    r.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(1)).withColumn("findings", F.lit("clash"))
+    found = licenses.scan(frame).collect()
+    assert len(found) == len(rows)
+    by_id = dict(rows)
+    for x in found:
+        assert [f.license for f in x.findings] == want[x.doc_id], x.doc_id
+        spans = [by_id[x.doc_id][f.start : f.stop] for f in x.findings]
+        assert all(f.coverage >= 0.8 and f.density >= 0.5 for f in x.findings) and all(spans)
+        assert [f.asDict() for f in x.findings] == licenses.findings(by_id[x.doc_id], ready, sift=False)  # the sieve drops nothing
+    (mit,) = [x.findings for x in found if x.doc_id is None]
+    assert twice[mit[0].start : mit[0].stop] == "Released under the MIT License"
+    assert licenses.scan(docs).count() == docs.count()
+    assert licenses.scan(none).count() == 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, html_text, jaccard_join, language_id, packing, quality, secrets, suffix_dedup
+from tidemark.llm import decontaminate, exact_dedup, html_text, jaccard_join, language_id, licenses, packing, quality, secrets, suffix_dedup
 from tidemark.llm.common import read
 
 
@@ -31,6 +31,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    spans = F.transform("findings", lambda x: F.concat_ws(":", x["license"], x["start"], x["stop"]))
+    return found.select(
+        "doc_id", F.size("findings").cast("long").alias("n_findings"), F.array_join(F.array_sort(F.array_distinct("findings.license")), ",").alias("licenses"),
+        F.coalesce(F.array_max("findings.coverage"), F.lit(0.0)).alias("coverage"), F.array_join(spans, ",").alias("spans"),
+    )
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -97,6 +106,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_licenses": op2_licenses,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_decontamination": op4_decontamination,
     "op5_html_text": op5_html_text,
