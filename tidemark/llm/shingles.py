@@ -86,7 +86,7 @@ def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
     return out
 
 
-def batches(texts, most_bytes: int = 4 << 20):
+def batches(texts, most_bytes: int = 1 << 20):
     """Slices (a, b) of texts of about most_bytes characters each, at least one text each, so that memory stays bounded."""
     a = size = 0
     for i, t in enumerate(texts):
