@@ -295,7 +295,7 @@ def linked(pairs: DataFrame, source: DataFrame, classes: DataFrame, k: int = K)
 
         for part in parts:
             keep, left, right = [], part.column(2).to_pylist(), part.column(3).to_pylist()
-            for a, b in batches([x + y for x, y in zip(left, right, strict=True)]):
+            for a, b in batches(left, right):
                 for x, y in zip(shingle_sets(left[a:b], k), shingle_sets(right[a:b], k), strict=True):
                     same = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(SHARE[1] * same >= SHARE[0] * (len(x) + len(y) - same))

@@ -86,14 +86,14 @@ def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
     return out
 
 
-def batches(texts, most_bytes: int = 1 << 20):
-    """Slices (a, b) of texts of about most_bytes characters each, at least one text each, so that memory stays bounded."""
+def batches(*columns, most_bytes: int = 1 << 20):
+    """Slices (a, b) of rows with about most_bytes characters in these columns, at least one row each, so that memory stays bounded."""
     a = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t is not None else 0
+    for i, row in enumerate(zip(*columns, strict=True)):
+        n = sum(len(t) for t in row if t is not None)
         if i > a and size + n > most_bytes:
             yield a, i
             a, size = i, 0
         size += n
-    if len(texts) > a:
-        yield a, len(texts)
+    if len(columns[0]) > a:
+        yield a, len(columns[0])
