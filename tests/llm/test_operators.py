@@ -280,6 +280,28 @@ def test_repeated_bytes(docs, none, length, hot):
         assert suffix_dedup.remove_repeats(none, length=length).count() == 0
 
 
+def test_repeats_of_a_text_that_is_alone_in_its_batch(spark):
+    r = random.Random(12)
+    make = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    rows = []
+    for _ in range(10):  # batches of two rows: the third copy of a passage stands alone in its batch, as does the third text with a gram
+        p, g = make(320), make(40)
+        rows += [make(90) + p, p + make(70), make(50) + p + make(30), make(300)]
+        rows += [make(250) + g + make(250), make(240) + g + make(250), make(250) + g + make(240), make(300)]
+    rows = list(enumerate(rows))
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "2"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted((x.doc_id, x.n_bytes, [tuple(s) for s in x.spans], bytes(x.kept)) for x in found) == repeats(rows, 200)
+    assert sum(len(x.spans) > 0 for x in found) == 30
+
+
 def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 300)
     r = random.Random(9)

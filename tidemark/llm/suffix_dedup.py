@@ -99,7 +99,12 @@ def _pieces(texts: list[str | None], length: int):
 
 
 def window_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Runs whose anchor may occur again, of documents (id, uid, text): rows (anchor, content, id, uid, start, n)."""
+    """Runs whose anchor may occur again, of documents (id, uid, text): rows (anchor, content, id, uid, start, n).
+
+    Runs whose anchor occurs again in their own list of pieces stay in any case and are dealt freely; one row without
+    windows (n = 0) tells the anchor's partition of them, where runs that are alone in their list meet.
+    """
+    names = ["anchor", "content", "id", "uid", "start", "n", "known"]
 
     def run(parts):
         import pyarrow as pa
@@ -109,9 +114,12 @@ def window_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
             for pieces in _pieces(texts, length):
                 doc, start, n, anchor, content = text_runs([x for _, _, x in pieces], length, gram)
                 row, offset = (np.array([x[k] for x in pieces], dtype=np.int64)[doc] for k in (0, 1))
-                _, of, count = np.unique(anchor, return_inverse=True, return_counts=True)
+                several, of, count = np.unique(anchor, return_inverse=True, return_counts=True)
                 cols = [pa.array(anchor), pa.array(content), pa.array([ids[i] for i in row], pa.int64()), pa.array(uids[row]), pa.array(start + offset), pa.array(n), pa.array(count[of] > 1)]
-                yield pa.RecordBatch.from_arrays(cols, names=["anchor", "content", "id", "uid", "start", "n", "known"])
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+                told = several[count > 1]
+                zero = pa.array(np.zeros(len(told), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(told), zero, pa.nulls(len(told), pa.int64()), zero, zero, zero, pa.array(np.zeros(len(told), dtype=bool))], names=names)
 
     def again(parts):
         import pyarrow as pa
@@ -120,7 +128,7 @@ def window_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
         if parts:
             table = pa.Table.from_batches(parts)
             _, of, count = np.unique(table.column("anchor").to_numpy(), return_inverse=True, return_counts=True)
-            keep = (count[of] > 1) | table.column("known").to_numpy()
+            keep = ((count[of] > 1) | table.column("known").to_numpy()) & (table.column("n").to_numpy() > 0)
             yield from table.filter(pa.array(keep)).drop_columns(["known"]).to_batches()
 
     schema = "anchor long, content long, id long, uid long, start long, n long"
