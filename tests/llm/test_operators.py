@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import components, decontaminate, exact_dedup, html_text, jaccard_join, language_id, licenses, packing, quality, secrets, suffix_dedup
 from tidemark.llm import queries as Q
+from tidemark.llm.common import look_up
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 VOWELS = {"en": "the and of ing er on th re", "de": "der und sch ich ein ung ö ü", "fr": "le la que é è eau ment ou"}
@@ -146,6 +147,15 @@ def test_near_duplicates_by_pivots(spark, monkeypatch, short, common):
     assert sorted(map(tuple, jaccard_join.near_duplicates(df).collect())) == closed(rows)
 
 
+def test_look_up_keeps_rows_of_hot_keys(spark):
+    keys = [1] * 9 + [2] * 9 + [3, 4, 5] + [None] * 9
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    table = spark.createDataFrame([(1, "a"), (3, "b"), (6, "c"), (7, "d")], "k long, v string")
+    want = sorted((i, k, {1: "a", 3: "b"}.get(k)) for i, k in enumerate(keys))
+    for most in (3, 4):  # beyond `most`, key 2 is hot and not in the table
+        assert sorted((x.i, x.k, x.v) for x in look_up(rows, table, "k", heavy=5, most=most).collect()) == want
+
+
 def test_components(spark):
     r = random.Random(7)
     links = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 160)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)] + [(5, 5), (None, 1)]

@@ -52,18 +52,18 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Data
     return docs.join(if_few(gone), docs[id_col] == gone["__gone"], "left_anti")
 
 
-def look_up(rows: DataFrame, table: DataFrame, key: str, heavy: int = 1000) -> DataFrame:
+def look_up(rows: DataFrame, table: DataFrame, key: str, heavy: int = 1000, most: int = BROADCAST_ROWS) -> DataFrame:
     """rows left joined with table (written already), which has one row per key, on key.
 
-    A table of few rows is broadcast. Else keys with more than `heavy` rows are joined apart: there is at most one of
+    A table of up to `most` rows is broadcast. Else keys with more than `heavy` rows are joined apart: there is at most one of
     them in `heavy` rows, so what the table has of these is small beside rows, and is broadcast behind a check.
     """
-    small = if_few(table)
+    small = if_few(table, most)
     if small is not table:
         return rows.join(small, key, "left")
     hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > heavy).select(key)
     hot = if_few(lasting(hot))
     return (
         rows.join(hot, key, "left_anti").join(table, key, "left")
-        .unionByName(rows.join(if_few(table.join(hot, key, "left_semi")), key, "inner"))
+        .unionByName(rows.join(hot, key, "left_semi").join(if_few(table.join(hot, key, "left_semi")), key, "left"))
     )
