@@ -460,3 +460,34 @@ def test_licenses(spark, docs, none):
     assert twice[mit[0].start : mit[0].stop] == "Released under the MIT License"
     assert licenses.scan(docs).count() == docs.count()
     assert licenses.scan(none).count() == 0
+
+
+def test_licenses_with_inserted_words():
+    ready = [licenses.template(*t) for t in licenses.TEMPLATES]
+    found = lambda text: [(x["license"], text[x["start"] : x["stop"]]) for x in licenses.findings(text, ready)]
+    prose = texts(9, 3)
+    for notice in ("Released under the terms of the MIT License", "Licensed under the terms of the MIT License", "released x under y the z MIT w License"):
+        assert found(f"{prose[0]} {notice} {prose[1]}") == [("MIT", notice)]
+    mit = licenses._MIT.split()
+    for at in (40, 90, 130):  # inserted passages of a quarter to almost the whole of the template
+        for n in (45, 100, 150):
+            text = " ".join(mit[:at] + [f"i{k}" for k in range(n)] + mit[at:])
+            assert found(f"{prose[0]} {text} {prose[1]}") == [("MIT", text.rstrip("."))]
+    assert found(" ".join(mit[:80] + [f"i{k}" for k in range(300)] + mit[80:])) == []
+
+
+def test_licenses_against_all_stretches():
+    t, r, hits = licenses.template("MIT", "Released under the MIT License.", "mit license"), random.Random(8), 0
+    for _ in range(3000):
+        words = [r.choice(["x", "y", *t.words]) if r.random() < 0.4 else t.words[i % 5] for i in range(r.randint(4, 14))]
+        if r.random() < 0.7:
+            for _ in range(r.randint(0, 5)):
+                words.insert(r.randrange(len(words)), r.choice(["of", "terms", "the"]))
+        got, want = licenses.findings(" ".join(words), [t]), False
+        for a in range(len(words)):
+            pairs = licenses.align(words[a : a + 10], t.words)
+            if pairs and t.telling <= {t.words[j] for _, j in pairs}:
+                want |= len(pairs) >= 4 and 2 * len(pairs) >= pairs[-1][0] - pairs[0][0] + 1
+        assert got or not want, words
+        hits += want
+    assert hits > 100

@@ -6,7 +6,9 @@ in the same way, where other words are unique; beside an anchor, equal neighbour
 the template's words that match, density the share of matching words from the first to the last of them in the text.
 
 Words of a notice that stands twice in a text are not unique in it, so the alignment is made for each region of the
-text in which the template's word pairs stand in about the template's order. A template is found where coverage and
+text in which the template's word pairs stand in about the template's order, and for chains of neighbouring regions, as
+far as the density allows a notice to be stretched by inserted words. Between the findings, every stretch of that length
+that holds enough of the template's words, in any order, is aligned as well. A template is found where coverage and
 density reach their thresholds and its telling words (the license's name and version) match. Of overlapping findings the
 one with most matching words stays, then the best coverage, then the first name.
 
@@ -106,6 +108,7 @@ class Template(NamedTuple):
     telling: set[str]
     rare_first: list[tuple[str, int]]
     pairs: dict[tuple[str, str], list[int]]
+    need: dict[str, int]
 
 
 def template(license: str, text: str, telling: str) -> Template:
@@ -114,7 +117,7 @@ def template(license: str, text: str, telling: str) -> Template:
     for k, pair in enumerate(zip(words, words[1:])):
         pairs[pair].append(k)
     rare_first = sorted(Counter(words).items(), key=lambda x: (-len(x[0]), x[0]))
-    return Template(license, words, set(telling.split()), rare_first, dict(pairs))
+    return Template(license, words, set(telling.split()), rare_first, dict(pairs), dict(rare_first))
 
 
 def increasing(xs: list[int]) -> list[int]:
@@ -174,11 +177,12 @@ def possible(low: str, t: Template, coverage: float) -> bool:
     return True
 
 
-def regions(words: list[str], t: Template) -> list[tuple[int, int]]:
-    """Stretches of the text where the template's word pairs point to about the same beginning."""
+def regions(words: list[str], t: Template, density: float = DENSITY) -> list[tuple[int, int]]:
+    """Stretches of the text where the template's word pairs point to about the same beginning, and chains of them."""
     n, slack = len(t.words), max(1, len(t.words) // 4)
+    reach = stretch(t, density, len(words))
     starts = sorted({p - k for p, pair in enumerate(zip(words, words[1:])) for k in t.pairs.get(pair, ())})
-    out, k = [], 0
+    out, groups, k = [], [], 0
     while k < len(starts):
         first = last = starts[k]
         while k < len(starts) and starts[k] - last <= slack:
@@ -187,9 +191,42 @@ def regions(words: list[str], t: Template) -> list[tuple[int, int]]:
         if last - first > n:  # many copies in a row
             out += [(x - slack, x + n + slack) for x in range(first, last + 1, slack)]
         out.append((first - slack, last + n + slack))
+        groups.append((first, last))
+    for i, (first, _) in enumerate(groups):
+        for begin, last in groups[i + 1 :]:
+            if begin - first > reach:
+                break
+            out.append((first - slack, min(last, first + reach) + n + slack))
     return list(dict.fromkeys((max(0, x), min(len(words), y)) for x, y in out))
 
 
+def stretch(t: Template, density: float, most: int) -> int:
+    """The most words that a notice of the template can span."""
+    return min(most, int(len(t.words) / density + 1e-9)) if density > 0 else most
+
+
+def crowded(words: list[str], t: Template, lo: int, hi: int, coverage: float, density: float):
+    """Stretches from lo to hi, as long as a notice can be, that hold enough of the template's words and the telling ones."""
+    least, length = len(t.words) * coverage - 1e-9, stretch(t, density, hi - lo)
+    hits = [p for p in range(lo, hi) if words[p] in t.need]
+    if len(hits) < least:
+        return
+    have, total, begin, end = Counter(), 0, 0, 0
+    for a in sorted({lo, *(p + 1 for p in hits[:-1]), *(max(lo, p - length + 1) for p in hits)}):  # where the words held change
+        while end < len(hits) and hits[end] < a + length:
+            w = words[hits[end]]
+            have[w] += 1
+            total += have[w] <= t.need[w]
+            end += 1
+        while hits[begin] < a:
+            w = words[hits[begin]]
+            total -= have[w] <= t.need[w]
+            have[w] -= 1
+            begin += 1
+        if total >= least and all(have[w] for w in t.telling):
+            yield a, min(a + length, hi)
+
+
 def findings(text: str | None, templates: list[Template], coverage: float = COVERAGE, density: float = DENSITY, sift: bool = True) -> list[dict]:
     """Licenses of a text: license, start and stop in code points (end exclusive), matched words, coverage, density."""
     low = (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
@@ -198,15 +235,30 @@ def findings(text: str | None, templates: list[Template], coverage: float = COVE
         return []
     places = [m.span() for m in re.finditer(WORD, low)]
     words, found = [low[a:b] for a, b in places], []
+    known = set(words)
+
+    def judge(t: Template, a: int, b: int) -> tuple[int, int] | None:
+        pairs = align(words[a:b], t.words)
+        if not pairs or not t.telling <= {t.words[j] for _, j in pairs}:
+            return None
+        first, last = a + pairs[0][0], a + pairs[-1][0]
+        covered, dense = len(pairs) / len(t.words), len(pairs) / (last - first + 1)
+        if covered < coverage or dense < density:
+            return None
+        found.append({"license": t.license, "start": places[first][0], "stop": places[last][1], "matched": len(pairs), "coverage": covered, "density": dense})
+        return first, last + 1
+
     for t in wanted:
-        for a, b in regions(words, t):
-            pairs = align(words[a:b], t.words)
-            if not pairs or not t.telling <= {t.words[j] for _, j in pairs}:
-                continue
-            first, last = a + pairs[0][0], a + pairs[-1][0]
-            covered, dense = len(pairs) / len(t.words), len(pairs) / (last - first + 1)
-            if covered >= coverage and dense >= density:
-                found.append({"license": t.license, "start": places[first][0], "stop": places[last][1], "matched": len(pairs), "coverage": covered, "density": dense})
+        if sift and not t.telling <= known:
+            continue
+        spans = sorted(x for a, b in regions(words, t, density) if (x := judge(t, a, b)))
+        lo = 0
+        for first, last in (*spans, (len(words), len(words))):
+            at = lo
+            for a, b in crowded(words, t, lo, first, coverage, density):
+                if a >= at and (x := judge(t, a, b)):
+                    at = x[1]
+            lo = max(lo, last)
     kept, begins = [], []
     for x in sorted(found, key=lambda x: (-x["matched"], -x["coverage"], x["license"], x["start"], x["stop"])):
         k = bisect_left(begins, x["stop"])  # the kept ones are apart, so only the last that begins before x ends can overlap
