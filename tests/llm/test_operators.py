@@ -380,6 +380,26 @@ def test_exact_dedup_compares_texts_of_one_digest(docs, monkeypatch):
     assert sorted(map(tuple, found)) == sorted((d, max(groups[lower(t)]), len(groups[lower(t)])) for d, t in pairs(docs))
 
 
+def test_stages_drop_rows_and_not_ids(spark):
+    t = texts(11, 12)
+    long = [x for x in texts(13, 40) if len(x.split()) > 60]
+    near = [long[0], long[0] + " changed"], [long[1], long[1] + " changed"]
+    rows = [
+        (1, t[0]), (2, t[0]), (None, t[0]), (1, t[1]),  # the id 1 loses its copy and keeps its other text
+        (3, t[2]), (3, t[2]), (3, t[2].upper()), (None, t[3]), (None, t[3]), (4, None), (None, ""),
+    ]
+    kept = exact_dedup.deduplicate(spark.createDataFrame(rows, SCHEMA.split(", lang")[0])).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((r.doc_id, lower(r.text or "")) for r in kept), key=key) == sorted([(2, lower(t[0])), (1, lower(t[1])), (3, lower(t[2])), (None, lower(t[3])), (4, "")], key=key)
+    rows = [
+        (1, near[0][0]), (2, near[0][1]), (None, near[0][0]), (2, long[2]), (1, near[0][0]),
+        (None, near[1][0]), (None, near[1][1]), (None, near[1][0]), (5, ""), (5, ""),
+    ]
+    kept = [tuple(r) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(x for x in kept if x[0]) == sorted([(1, near[0][0]), (2, long[2]), (5, ""), (5, "")])
+    assert len([x for x in kept if x[0] is None]) == 1 and {x for x in kept if x[0] is None} < {(None, x) for x in near[1]}
+
+
 def test_secrets(spark):
     r = random.Random(6)
     key = lambda n, s="0123456789abcdef": "".join(r.choice(s) for _ in range(n))

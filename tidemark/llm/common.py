@@ -46,10 +46,21 @@ def if_few(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is not in the one column of dropped (written already: it is counted first)."""
-    gone = dropped.toDF("__gone")
-    return docs.join(if_few(gone), docs[id_col] == gone["__gone"], "left_anti")
+def without(docs: DataFrame, dropped: DataFrame, row: Column, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id (null is an id, too) and row key are not in dropped (id, key; written already)."""
+    return docs.join(if_few(dropped.toDF("__gone", "__key")), _same_row(row, id_col), "left_anti")
+
+
+def once(docs: DataFrame, repeated: DataFrame, row: Column, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, of those whose id and row key are in repeated (id, key; written already) one each."""
+    if repeated.isEmpty():
+        return docs
+    several = docs.join(if_few(repeated.toDF("__gone", "__key")), _same_row(row, id_col), "left_semi").withColumn("__key", row)
+    return without(docs, repeated, row, id_col).unionByName(several.dropDuplicates([id_col, "__key"]).drop("__key"))
+
+
+def _same_row(row: Column, id_col: str) -> Column:
+    return F.col(id_col).eqNullSafe(F.col("__gone")) & (row == F.col("__key"))
 
 
 def look_up(rows: DataFrame, table: DataFrame, key: str, heavy: int = 1000, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -12,15 +12,16 @@ SHA-256) the text itself is joined as well. No texts travel for that lookup.
 
 Cases: a null text counts as empty; empty texts are one group; repeated rows (same doc_id and text) are copies like
 any other, each with a row in the result, and all of them are kept where their doc_id is; a null doc_id loses against
-any other; an empty table gives no rows; other columns are not looked at.
+any other; an empty table gives no rows; other columns are not looked at. `deduplicate` drops rows, not ids: it leaves
+one row of each group, also of rows repeated with their id and of null ids, and a row that shares its id with a copy.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, lasting, without
+from tidemark.llm.common import ascii_lower, lasting, once, without
 
 SALTS = 16
 
@@ -60,11 +61,17 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of docs, all columns, whose id is their group's keep_id."""
-    found = lasting(copy_groups(docs, id_col, text_col, salts))
-    return without(docs, found.where("NOT kept").select(id_col), id_col)
+    """Of each group of equal texts one row, all columns: one with the group's keep_id."""
+    found = copy_groups(docs, id_col, text_col, salts)
+    found = lasting(found.where("group_size > 1").select(F.col(id_col).alias("id"), F.xxhash64(id_col, "text_sha256").alias("row"), "kept"))
+    row = F.xxhash64(F.col(id_col), F.sha2(_norm(text_col), 256))
+    again = lasting(found.where("kept").groupBy("id", "row").count().where("count > 1").select("id", "row"))
+    return once(without(docs, found.where("NOT kept").select("id", "row"), row, id_col), again, row, id_col)
+
+
+def _norm(text_col: str) -> Column:
+    return ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def _digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("sha", F.sha2("norm", 256))
+    return docs.select(F.col(id_col).alias("id"), _norm(text_col).alias("norm")).withColumn("sha", F.sha2("norm", 256))

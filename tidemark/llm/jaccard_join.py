@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import if_few, lasting, look_up, without
+from tidemark.llm.common import if_few, lasting, look_up, once, without
 from tidemark.llm.components import components
 from tidemark.llm.shingles import batches, mix, shingle_sets
 
@@ -62,7 +62,7 @@ def least_overlap(a: Column, b: Column) -> Column:
 
 
 def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, n_shingles, class) of all documents, and (token, n) of shingles that blocks have more than once."""
+    """Rows (id, n_shingles, class, row) of all documents, row a hash of id and text, and (token, n) of shingles that blocks have more than once."""
 
     def run(parts):
         import pyarrow as pa
@@ -76,7 +76,7 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             keep = counts > 1
             tokens, counts = tokens[keep].view(np.int64), counts[keep]
             none = pa.nulls(len(tokens), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(counts.astype(np.int64)), none, pa.array(tokens)], names=["id", "n", "class", "token"])
+            yield pa.RecordBatch.from_arrays([none, pa.array(counts.astype(np.int64)), none, pa.array(tokens), none], names=["id", "n", "class", "token", "row"])
 
         for part in parts:
             texts = part.column(1).to_pylist()
@@ -94,14 +94,13 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     yield from common()
                     held, seen, size = [], set(), 0
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(sizes), pa.int64())],
-                names=["id", "n", "class", "token"],
+                [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(sizes), pa.int64()), part.column(2)],
+                names=["id", "n", "class", "token", "row"],
             )
         yield from common()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    both = lasting(rows.mapInArrow(run, "id long, n long, class long, token long"))
-    return both.where("token IS NULL").select("id", F.col("n").alias("n_shingles"), "class"), both.where("token IS NOT NULL").select("token", "n")
+    both = lasting(_source(docs, id_col, text_col).mapInArrow(run, "id long, n long, class long, token long, row long"))
+    return both.where("token IS NULL").select("id", F.col("n").alias("n_shingles"), "class", "row"), both.where("token IS NOT NULL").select("token", "n")
 
 
 def common_shingles(counted: DataFrame, most: int = COMMON) -> pd.DataFrame:
@@ -207,10 +206,15 @@ def promising(pairs: DataFrame, lists: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id reachable by links, its own included)."""
+    return _labelled(docs, id_col, text_col, k).select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """Rows (id, n_shingles, class, row, label, component_id): label is that of the component, null without shingles."""
     rows, counted = shingle_classes(docs, id_col, text_col, k)
-    classes = lasting(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep")))
+    classes = lasting(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.min("row").alias("row")))
     lists, short = postings(docs, common_shingles(counted), text_col, k)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = _source(docs, id_col, text_col)
 
     pivots = lasting(lists.groupBy("token").agg(F.min(F.struct("pos", "class", "n")).alias("p")).select("token", "p.*"))
     of_lists = _possible(lists.alias("x").join(pivots.alias("y"), "token"), "x.class <> y.class")
@@ -228,16 +232,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = classes.join(labels, "class", "left").select("class", "rep", F.coalesce("label", "class").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = lasting(named.join(least, "label").select("class", "component_id"))
-    return look_up(rows, of_class, "class").select(
-        F.col("id").alias(id_col), "n_shingles", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    of_class = lasting(named.join(least, "label").select("class", "label", "component_id"))
+    return look_up(rows, of_class, "class")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """The rows of docs, all columns, but those linked, directly or not, to a document with a smaller id."""
-    found = lasting(near_duplicates(docs, id_col, text_col, k))
-    return without(docs, found.where(f"`{id_col}` <> component_id").select(id_col), id_col)
+    """Of each component one row of docs, all columns: one with the smallest id. Rows without shingles all stay."""
+    found = lasting(_labelled(docs, id_col, text_col, k).where("label IS NOT NULL").select("id", "row", "label"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+    groups = lasting(found.groupBy("label").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "best"))
+    of_group = lasting(look_up(found, groups, "label").where("best IS NOT NULL").select("id", "row", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("row") == F.col("best.row"))).alias("kept")))
+    again = lasting(of_group.where("kept").groupBy("id", "row").count().where("count > 1").select("id", "row"))
+    row = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    return once(without(docs, of_group.where("NOT kept").select("id", "row"), row, id_col), again, row, id_col)
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.withColumn("row", F.xxhash64("id", "text"))
 
 
 def _possible(pairs: DataFrame, where: str) -> DataFrame:
@@ -276,7 +288,7 @@ def linked(pairs: DataFrame, source: DataFrame, classes: DataFrame, k: int = K)
     """
     ids = lasting(pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n")))
     asked = lasting(ids.join(classes, "class"))
-    texts = source.join(if_few(asked), F.col("id") == F.col("rep")).select("class", "n", "text").dropDuplicates(["class"])
+    texts = source.join(if_few(asked), "row").select("class", "n", "text").dropDuplicates(["class"])
     copies = F.ceil(F.col("n") / HEAVY_PIVOT).cast("int")
     texts = texts.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)))
     heavy = asked.where(copies > 1).select("class", copies.alias("copies"))
