@@ -1,5 +1,7 @@
 """Small worked examples of the engine's rules."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +206,16 @@ def test_places_and_exceedance(spark):
     assert {r.threshold: r.total for r in exposure.exceedance(counts).collect()} == {1: 8.0, 3: 6.0}
 
 
+def test_places_in_the_far_north(spark):
+    row = round((grid.ORIGIN_Y - 84.0) * 1200)
+    lon, lat = grid.ORIGIN_X + (COL + 0.5) / 1200, grid.ORIGIN_Y - (row + 0.5) / 1200
+    places = spark.createDataFrame([(k, lon + k / 1200, lat) for k in range(40)], "place long, lon double, lat double")
+    cells = spark.createDataFrame([(COL + 80 + k, row, k) for k in range(200)], tables.LAKE)
+    reach = 1000 / (111_320 / 1200 * math.cos(math.radians(lat)))  # in columns, about 103
+    want = {p: sum(abs(80 + k - p) <= reach for k in range(200)) for p in range(40)}
+    assert {r.place: r.n_events for r in exposure.near_count(places, cells, 1000).collect()} == want
+
+
 def test_vector_files_and_legacy_dictionary(spark, tmp_path):
     (tmp_path / "t.geojson").write_text('{"features":[{"properties":{"id":"T","name":"n"},"geometry":{"type":"Polygon","coordinates":[[[10,50],[11,50],[11,51],[10,51],[10,50]]]}}]}')
     tile = tables.read_tiles(spark, str(tmp_path / "t.geojson")).first()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,16 +27,19 @@ def overlay(cells: DataFrame, shapes: DataFrame) -> DataFrame:
 def near_count(places: DataFrame, cells: DataFrame, metres: float) -> DataFrame:
     """Distinct events within a distance of each place (place, lon, lat); cells have flood_id.
 
-    Both sides are dealt into squares at least as wide as the distance; a place looks into its own and the eight around.
+    Both sides are dealt into squares at least as wide as the distance, in bands of latitude each with its own width; a
+    place looks into its own and the eight around.
     """
     size_lat = metres / 110_000
     at = cells.withColumn("x", grid.center_lon(F.col("col"))).withColumn("y", grid.center_lat(F.col("row")))
-    size_lon = size_lat / math.cos(math.radians(72))  # wide enough up to this latitude
-    square = lambda x, size: F.floor(x / F.lit(size)).cast("long")
-    at = at.withColumn("sx", square(F.col("x"), size_lon)).withColumn("sy", square(F.col("y"), size_lat))
+    far = F.least(F.greatest(F.abs(F.col("sy") - 1), F.abs(F.col("sy") + 2)) * F.lit(size_lat), F.lit(90.0))  # places that look into the band
+    size_lon = F.when(F.cos(F.radians(far)) > size_lat / 720, F.lit(size_lat) / F.cos(F.radians(far))).otherwise(720.0)
+    band = lambda y: F.floor(F.col(y) / F.lit(size_lat)).cast("long")
+    square = lambda x: F.floor(F.col(x) / size_lon).cast("long")
+    at = at.withColumn("sy", band("y")).withColumn("sx", square("x"))
     around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
-    mine = places.withColumn("sx", square(F.col("lon"), size_lon)).withColumn("sy", square(F.col("lat"), size_lat))
-    mine = mine.withColumn("sx", around("sx")).withColumn("sy", around("sy"))
+    mine = places.withColumn("sy", band("lat")).withColumn("sy", around("sy"))
+    mine = mine.withColumn("sx", square("lon")).withColumn("sx", around("sx"))
     dx = (F.col("x") - F.col("lon")) * F.lit(grid.METRES_PER_DEGREE) * F.cos(F.radians("lat"))
     dy = (F.col("y") - F.col("lat")) * F.lit(grid.METRES_PER_DEGREE)
     close = mine.join(at, ["sx", "sy"]).where(dx * dx + dy * dy <= float(metres) ** 2)
