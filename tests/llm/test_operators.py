@@ -511,3 +511,12 @@ def test_licenses_against_all_stretches():
         assert got or not want, words
         hits += want
     assert hits > 100
+
+
+def test_html_elements_left_open_take_no_text():
+    text = lambda page: " ".join(t for _, t, _ in html_text.blocks(page, html_text.Paths()))
+    for tag in ('<svg width="1"/>', "<object data=x>", "<canvas>", "<template-card>", "<style-guide>", "<select/>"):
+        assert text(f"<p>before {tag} after</p><p>last</p>") == "before after last", tag
+    for name in ("svg", "object", "select", "script", "title", "template"):
+        assert text(f"<p>before</p><{name} a=b>gone</{name}><p>after</p>") == "before after", name
+    assert text("<p>before</p><script>gone <p>gone</p>") == "before"

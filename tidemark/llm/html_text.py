@@ -8,7 +8,7 @@ backward sums) to labelled pages; Viterbi decoding gives the most likely sequenc
 made here, from a seed, by drawing page layouts whose blocks are known (`labelled_pages`).
 
 Cases: a null page counts as empty and has no text; a page of boilerplate alone too; a tag or comment that is cut off at
-the end is dropped; unknown and badly nested tags are tolerated; repeated rows get the same text; null ids are kept; an
+the end is dropped; elements like svg that are closed at once or left open take no text with them; unknown and badly nested tags are tolerated; repeated rows get the same text; null ids are kept; an
 empty table gives no rows; other columns are not looked at.
 """
 
@@ -29,7 +29,8 @@ BLOCK = set(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-DROPPED = "script|style|noscript|template|iframe|textarea|select|svg|object|canvas|title"
+RAW = "script|style|textarea|title"  # to the end of the page where they are left open
+DROPPED = "noscript|template|iframe|select|svg|object|canvas"
 GROUPS_OF_ROWS = [({"li"}, {"ul", "ol", "menu"}), ({"dt", "dd"}, {"dl"}), ({"tr"}, {"table"}), ({"td", "th"}, {"tr", "table"})]
 
 # Words in class and id, by what they tend to hold.
@@ -49,7 +50,7 @@ WORDS = {
 _GROUP = {w: g for g, words in WORDS.items() for w in words.split()}
 
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({DROPPED})\b(?:[^>]*)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[/!?a-zA-Z][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<({DROPPED})(?=[\s/>])[^>]*(?<!/)>.*?</\2\s*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[/!?a-zA-Z][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -120,19 +121,17 @@ def blocks(page: str | None, paths: Paths):
             size += len(piece)
             linked += len(piece) if links else 0
         at = m.end()
-        tag = m[3]
+        tag = m[4]
         if not tag:
-            if m[1] or m[0].startswith("<!--"):
-                continue
             continue
         tag = tag.lower()
         if tag == "a":
-            links = 0 if m[2] else 1
+            links = 0 if m[3] else 1
             continue
         if tag not in BLOCK:
             continue
         end()
-        if m[2]:
+        if m[3]:
             if tag in stack:
                 while stack.pop() != tag:
                     numbers.pop()
@@ -150,7 +149,7 @@ def blocks(page: str | None, paths: Paths):
                 if k >= 0 and stack[k] in same:
                     del stack[k:], numbers[k + 1 :]
         stack.append(tag)
-        numbers.append(paths.below(numbers[-1], tag, m[4].strip()))
+        numbers.append(paths.below(numbers[-1], tag, m[5].strip()))
     if at < len(page):
         piece = page[at:]
         held.append(piece)
