@@ -520,3 +520,20 @@ def test_html_elements_left_open_take_no_text():
     for name in ("svg", "object", "select", "script", "title", "template"):
         assert text(f"<p>before</p><{name} a=b>gone</{name}><p>after</p>") == "before after", name
     assert text("<p>before</p><script>gone <p>gone</p>") == "before"
+
+
+def test_packing_looks_at_all_sequences():
+    r = random.Random(14)
+    for _ in range(60):
+        sizes = [r.randint(1, 99) for _ in range(r.randint(20, 60))]
+        rows, used = packing.pack_block(sizes, 100, 1.0, 0.01)
+        room, cost, want = [100] * (sum(sizes) // 100) + [1 << k for k in range(6, -1, -1) if sum(sizes) % 100 >> k & 1], [0.0] * used, []
+        for n, d in sorted((-n, d) for d, n in enumerate(sizes)):
+            start, n = 0, -n
+            while n:
+                k = min((k for k in range(used) if room[k] >= n), key=lambda k: (cost[k], k), default=None)
+                k = min((k for k in range(used) if room[k]), key=lambda k: (cost[k], k)) if k is None else k
+                piece = min(n, room[k])
+                want.append((d, start, piece, k))
+                room[k], cost[k], start, n = room[k] - piece, cost[k] + piece + 0.01 * piece * piece, start + piece, n - piece
+        assert [x[:4] for x in rows] == want

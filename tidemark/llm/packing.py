@@ -4,7 +4,7 @@ Each task packs its own documents, block by block (a block ends after about BLOC
 shuffled and memory is bounded by the block and the longest document. In a block, whole sequences are cut off the
 front of documents longer than a sequence. The rest are taken in descending estimated cost, LINEAR * n + QUADRATIC * n²
 (a projection term and the attention within a document), and each goes to the sequence of the lowest cost so far that
-still has room for it; where none of the cheapest few has, it is cut and fills the cheapest ones. The block's last
+still has room for it; where none has, it is cut and fills the cheapest ones. The block's last
 tokens, fewer than a sequence, go into sequences of power-of-two lengths, so that no sequence needs padding.
 
 Token ids are those of the byte-level BPE vocabulary in the given rank file; special strings in a text become
@@ -28,8 +28,6 @@ SEQUENCE = 2048
 END_ID = 1
 BLOCK_TOKENS = 1 << 21
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-#: So many of the cheapest sequences are tried before a document is cut.
-TRIED = 4
 
 _SCHEMA = "id long, start long, length long, token_bytes binary, doc_tokens long, sequence_id long, offset long"
 
@@ -104,24 +102,44 @@ def pack_block(sizes: list[int], length: int, linear: float, quadratic: float) -
     room = [length] * (total // length)
     tail = total % length
     room += [1 << k for k in range(tail.bit_length() - 1, -1, -1) if tail >> k & 1]
-    fill, heap = [0] * len(room), [(0.0, k) for k in range(len(room))]
+    fill, none = [0] * len(room), (float("inf"), -1)
+    heaps, width = [[] for _ in range(length + 1)], 1 << length.bit_length()
+    least = [none] * (2 * width)  # a tree over the room left, of the cheapest sequence
+
+    def changed(left: int):
+        i = left + width
+        least[i] = heaps[left][0] if heaps[left] else none
+        while i := i // 2:
+            least[i] = min(least[2 * i], least[2 * i + 1])
+
+    def cheapest(left: int) -> tuple[float, int]:
+        i = left + width
+        found = least[i]
+        while i > 1:
+            if i % 2 == 0:
+                found = min(found, least[i + 1])
+            i //= 2
+        return found
+
+    for k, size in enumerate(room):
+        heaps[size].append((0.0, k))
+    for size in set(room):
+        changed(size)
     for doc, start, n in sorted(rest, key=lambda x: (-x[2], x[0])):
         while n:
-            tried = []
-            while heap and len(tried) < TRIED:
-                tried.append(heapq.heappop(heap))
-                if room[tried[-1][1]] - fill[tried[-1][1]] >= n:
-                    break
-            fits = room[tried[-1][1]] - fill[tried[-1][1]] >= n
-            cost, k = tried.pop(-1 if fits else 0)
-            for other in tried:
-                heapq.heappush(heap, other)
-            piece = min(n, room[k] - fill[k])
+            cost, k = cheapest(n)
+            if k < 0:
+                cost, k = cheapest(1)
+            left = room[k] - fill[k]
+            heapq.heappop(heaps[left])
+            changed(left)
+            piece = min(n, left)
             rows.append((doc, start, piece, used + k, fill[k]))
             fill[k] += piece
             start, n = start + piece, n - piece
             if fill[k] < room[k]:
-                heapq.heappush(heap, (cost + linear * piece + quadratic * piece * piece, k))
+                heapq.heappush(heaps[left - piece], (cost + linear * piece + quadratic * piece * piece, k))
+                changed(left - piece)
     return rows, used + len(room)
 
 
