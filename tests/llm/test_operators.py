@@ -386,11 +386,11 @@ def test_stages_drop_rows_and_not_ids(spark):
     near = [long[0], long[0] + " changed"], [long[1], long[1] + " changed"]
     rows = [
         (1, t[0]), (2, t[0]), (None, t[0]), (1, t[1]),  # the id 1 loses its copy and keeps its other text
-        (3, t[2]), (3, t[2]), (3, t[2].upper()), (None, t[3]), (None, t[3]), (4, None), (None, ""),
+        (3, t[6]), (3, t[6]), (3, t[6].upper()), (None, t[3]), (None, t[3]), (4, None), (None, ""),
     ]
     kept = exact_dedup.deduplicate(spark.createDataFrame(rows, SCHEMA.split(", lang")[0])).collect()
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
-    assert sorted(((r.doc_id, lower(r.text or "")) for r in kept), key=key) == sorted([(2, lower(t[0])), (1, lower(t[1])), (3, lower(t[2])), (None, lower(t[3])), (4, "")], key=key)
+    assert sorted(((r.doc_id, lower(r.text or "")) for r in kept), key=key) == sorted([(2, lower(t[0])), (1, lower(t[1])), (3, lower(t[6])), (None, lower(t[3])), (4, "")], key=key)
     rows = [
         (1, near[0][0]), (2, near[0][1]), (None, near[0][0]), (2, long[2]), (1, near[0][0]),
         (None, near[1][0]), (None, near[1][1]), (None, near[1][0]), (5, ""), (5, ""),
