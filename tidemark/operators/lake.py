@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import grid
-
-
-def lasting(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the folder of spark.checkpoint.dir; without one, as in tests, in a temporary folder."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+from tidemark.plans.scratch import lasting
 
 
 def wet(value: Column, nodata: Column | float | None = None, max_depth: float | None = None) -> Column:
@@ -52,7 +43,7 @@ def build_cells(lake: DataFrame) -> DataFrame:
 def number_combos(cells: DataFrame) -> DataFrame:
     """The distinct lists, numbered densely from 1 in their order, without gathering them in one task.
 
-    Lists are range-partitioned and sorted, and checkpointed so that a partition keeps its rows; each row's number is
+    Lists are range-partitioned and sorted, and written with their places so that these stay; each row's number is
     its place in its partition plus the sizes of the partitions before.
     """
     ranged = cells.select("flood_ids").distinct().repartitionByRange("flood_ids").sortWithinPartitions("flood_ids")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import grid
 from tidemark.functions.text import when_label
-from tidemark.operators.lake import lasting
+from tidemark.plans.scratch import lasting, release
 
 
 def recurrence_grid(index: DataFrame, combos: DataFrame, event_id: int | None = None) -> DataFrame:
@@ -72,13 +72,14 @@ def regions(index: DataFrame) -> DataFrame:
     below = pieces.select(F.col("run").alias("other"), "combo_id", (F.col("row") - 1).alias("row"), F.col("first").alias("f"), F.col("last").alias("l"))
     links = pieces.join(below, ["combo_id", "row"]).where("first <= l AND f <= last").select("run", "other")
     links = lasting(links.union(links.select("other", "run")))
-    labels = pieces.select("run", F.col("run").alias("label"))
+    labels, before = pieces.select("run", F.col("run").alias("label")), links.limit(0)
     while True:
         near = links.join(labels.withColumnRenamed("run", "other"), "other").groupBy("run").agg(F.min("label").alias("near"))
         stepped = lasting(labels.join(near, "run", "left").select("run", F.col("label").alias("before"), F.least("label", F.coalesce("near", "label")).alias("label")))
         jump = stepped.select(F.col("run").alias("label"), F.col("label").alias("next"))
         done = lasting(stepped.join(jump, "label").select("run", "before", F.least("label", "next").alias("label")))
-        labels = done.select("run", "label")
+        release(stepped, before)
+        labels, before = done.select("run", "label"), done
         if done.where("before <> label").isEmpty():
             break
     joined = pieces.join(labels, "run")

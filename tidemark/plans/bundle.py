@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import grid
 from tidemark.operators import lake as ops
+from tidemark.plans.scratch import lasting, release
 from tidemark.sources import tables
 
 FINGERPRINT = {"origin_x": grid.ORIGIN_X, "origin_y": grid.ORIGIN_Y, "resolution": grid.RESOLUTION, "width_px": grid.WIDTH, "height_px": grid.HEIGHT}
@@ -31,11 +32,12 @@ def export_plan(lake: DataFrame) -> DataFrame:
 def build(lake: DataFrame, path: str, inventory: DataFrame | None = None) -> dict:
     """Writes index, dictionary and events, and the manifest last: a path without a manifest is not an index."""
     spark = lake.sparkSession
-    cells = ops.lasting(ops.build_cells(lake))
-    combos = ops.lasting(ops.number_combos(cells))
+    cells = lasting(ops.build_cells(lake))
+    combos = lasting(ops.number_combos(cells))
     tables.write_index(ops.build_pixel_combo(cells, combos), path)
     tables.write_dictionary(combos, path)
     tables.write_events(ops.build_events(combos, inventory), path)
+    release(cells, combos)
     manifest = {
         "cache_schema_version": tables.CACHE_SCHEMA_VERSION, "dictionary_schema_version": tables.DICTIONARY_SCHEMA_VERSION, "grid": FINGERPRINT,
         "n_combos": tables.read_dictionary(spark, path).count(), "n_cells": tables.read_index(spark, path).count(),

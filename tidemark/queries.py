@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from tidemark.functions import grid
 from tidemark.functions import text as T
 from tidemark.functions.projections import PLAIN, to_utm
 from tidemark.operators import catalog, depth, exposure, hazard, inventory, lake, recurrence, roi
+from tidemark.plans import bundle, scratch
+from tidemark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,11 +78,24 @@ def _cells(spark: SparkSession, sf: str) -> DataFrame:
     return lake.build_cells(_lake(spark, sf))
 
 
+_BUILT: dict[tuple[str, str], str] = {}
+
+
 def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """pixel_combo and the dictionary. The cells are written once, as both of them are made from these."""
-    cells = lake.lasting(_cells(spark, sf))
-    combos = lake.lasting(lake.number_combos(cells))
-    return lake.build_pixel_combo(cells, combos), combos
+    """pixel_combo and the dictionary, read from an index that is built once per application and folder of tables."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _BUILT:
+        path = f"{scratch.folder(spark)}/index-{uuid.uuid4().hex}"
+        bundle.build(_lake(spark, sf), path, _events(spark, sf))
+        _BUILT[key] = path
+    index, combos, _ = bundle.open_index(spark, _BUILT[key])
+    return index.select("col", "row", "combo_id"), combos
+
+
+def _flood_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The events that the index holds beside the cells."""
+    _index(spark, sf)
+    return tables.read_events(spark, _BUILT[spark.sparkContext.applicationId, sf])
 
 
 def _tiles(spark: SparkSession) -> DataFrame:
@@ -139,7 +155,7 @@ def _floods(where: str, region: roi.Roi, source: str = "placed", events: str = "
 
 def _catalogue(spark, sf, region=BOX, **when) -> DataFrame:
     index, combos = _index(spark, sf)
-    return catalog.floods(index, combos, _events(spark, sf), region, **when)
+    return catalog.floods(index, combos, _flood_events(spark, sf), region, **when)
 
 
 # The lake and the index.
@@ -366,7 +382,7 @@ def _(spark, sf):
         FROM (SELECT combo_id, unnest(flood_ids) AS global_id FROM combos) JOIN flood_events USING (global_id) GROUP BY 1)
     SELECT combo_id, count, CASE WHEN len(d) = 1 THEN d[1] ELSE substr(d[1], 1, 4) || '-' || substr(d[-1], 1, 4) END AS "when", array_to_string(d, '<br>') AS events FROM x""")
 def _(spark, sf):
-    return recurrence.combo_labels(_index(spark, sf)[1], _events(spark, sf))
+    return recurrence.combo_labels(_index(spark, sf)[1], _flood_events(spark, sf))
 
 
 @query("footprints", f"""{_WITH}, x AS (SELECT unnest(flood_ids) AS event_id, "row" FROM cells),
@@ -374,7 +390,7 @@ def _(spark, sf):
     SELECT event_id, start_date AS date, cells, extent_km2, CAST(date_diff('day', CAST(start_date AS DATE), CAST(end_date AS DATE)) AS INTEGER) AS duration_days
     FROM y JOIN flood_events ON event_id = global_id""")
 def _(spark, sf):
-    return recurrence.footprints(*_index(spark, sf), _events(spark, sf))
+    return recurrence.footprints(*_index(spark, sf), _flood_events(spark, sf))
 
 
 @query("valid_bounds", f"{_WITH} SELECT min(col) AS min_col, max(col) AS max_col, min(\"row\") AS min_row, max(\"row\") AS max_row FROM cells")
@@ -391,7 +407,7 @@ def _(spark, sf):
 @query("recurrence_regions")
 def _(spark, sf):
     index, combos = _index(spark, sf)
-    return recurrence.recurrence_regions(index, combos, _events(spark, sf))
+    return recurrence.recurrence_regions(index, combos, _flood_events(spark, sf))
 
 
 # Depth.
