@@ -65,8 +65,8 @@ def runs(index: DataFrame) -> DataFrame:
 def regions(index: DataFrame) -> DataFrame:
     """Regions of touching cells (by sides) of one combo: (region, combo_id, cells, rows and columns they span).
 
-    Runs of neighbouring rows are linked where they overlap; labels then sink to the least run of a region, with pointer
-    jumping, until nothing changes.
+    Runs of neighbouring rows are linked where they overlap; labels then sink to the least run of a region, by telling
+    them to the runs that labels name and by pointer jumping, in about as many rounds as the logarithm of its size.
     """
     pieces = lasting(runs(index))
     below = pieces.select(F.col("run").alias("other"), "combo_id", (F.col("row") - 1).alias("row"), F.col("first").alias("f"), F.col("last").alias("l"))
@@ -75,7 +75,10 @@ def regions(index: DataFrame) -> DataFrame:
     labels, before = pieces.select("run", F.col("run").alias("label")), links.limit(0)
     while True:
         near = links.join(labels.withColumnRenamed("run", "other"), "other").groupBy("run").agg(F.min("label").alias("near"))
-        stepped = lasting(labels.join(near, "run", "left").select("run", F.col("label").alias("before"), F.least("label", F.coalesce("near", "label")).alias("label")))
+        told = labels.join(near, "run", "left").withColumn("near", F.coalesce("near", "label"))
+        own = told.select("run", F.least("label", "near").alias("label"), F.col("label").alias("before"))
+        hooks = told.where("near < label").select(F.col("label").alias("run"), F.col("near").alias("label"), F.lit(None).cast("long").alias("before"))
+        stepped = lasting(own.unionByName(hooks).groupBy("run").agg(F.min("label").alias("label"), F.max("before").alias("before")))
         jump = stepped.select(F.col("run").alias("label"), F.col("label").alias("next"))
         done = lasting(stepped.join(jump, "label").select("run", "before", F.least("label", "next").alias("label")))
         release(stepped, before)

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _PATH = "_scratch_path"
+#: Files of a small table, and rows of a file where their number is bounded.
+LEAST_FILES, FILE_ROWS = 8, 50_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,10 +37,16 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
-def lasting(df: DataFrame) -> DataFrame:
-    """df written to this application's folder and read back."""
+def lasting(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df written to this application's folder and read back.
+
+    rows: a bound on the number of rows, where one is known; a small table then goes into a few files, however many
+    partitions a shuffle has.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     setattr(out, _PATH, path)
