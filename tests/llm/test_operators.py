@@ -156,6 +156,17 @@ def test_look_up_keeps_rows_of_hot_keys(spark):
         assert sorted((x.i, x.k, x.v) for x in look_up(rows, table, "k", heavy=5, most=most).collect()) == want
 
 
+def test_components_of_a_long_chain(spark):
+    """Sizes that the planner estimates must not grow with the rounds: they would end in numbers of millions of digits."""
+    n = 2000
+    ids = list(range(n))
+    random.Random(3).shuffle(ids)
+    links = spark.createDataFrame([(ids[i], ids[i + 1]) for i in range(n - 1)], "a long, b long")
+    found = components.components(links)
+    assert sorted(map(tuple, found.collect())) == [(i, 0) for i in range(n)]
+    assert int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10_000_000
+
+
 def test_components(spark):
     r = random.Random(7)
     links = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 160)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)] + [(5, 5), (None, 1)]
@@ -290,6 +301,21 @@ def test_repeated_bytes(docs, none, length, hot):
         assert suffix_dedup.remove_repeats(none, length=length).count() == 0
 
 
+@pytest.mark.parametrize("length", [5, 8, 20, 60, 200])
+def test_longest_previous_factors(length):
+    import numpy as np
+
+    r = random.Random(length)
+    text = bytes(r.choice(b"ab") for _ in range(500))
+    text = text + text[100:400] + bytes(r.choice(b"abc") for _ in range(200))
+    places = sorted(r.sample(range(len(text) - length), 200))
+    found, sources = suffix_dedup.longest_previous_factors(np.frombuffer(text, dtype=np.uint8), np.array(places), length)
+    for k, p in enumerate(places):
+        common = [next((n for n in range(length) if text[p + n] != text[q + n]), length) for q in places[:k]]
+        assert found[k] == max(common, default=0)
+        assert not found[k] or common[sources[k]] == found[k]
+
+
 def test_repeats_of_a_text_that_is_alone_in_its_batch(spark):
     r = random.Random(12)
     make = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))

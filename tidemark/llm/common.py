@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.scratch import lasting, release
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -22,28 +22,24 @@ def row_hash(*columns: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in columns])
 
 
-def lasting(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the folder that spark.checkpoint.dir names.
-
-    Only where that setting is absent (a local session, as in tests) a temporary folder is set.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Rows of a few bytes that may be broadcast; beyond that, joins shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes that may be broadcast (in memory, about twice that); beyond that, joins shuffle.
+BROADCAST_BYTES = 8_000_000
+
 
+def if_few(rows: DataFrame, most: int = BROADCAST_BYTES, weight: Column | None = None) -> DataFrame:
+    """rows with a broadcast hint if they have no more than `most` bytes, else as they are.
 
-def if_few(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """rows with a broadcast hint if they are no more than `most`, else as they are."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+    weight: the bytes of a row, to be given where columns have no fixed width; by default 8 for each column.
+    """
+    if weight is None:
+        few = rows.limit(most // (8 * len(rows.columns)) + 1).count() <= most // (8 * len(rows.columns))
+    else:
+        few = (rows.agg(F.sum(weight.cast("long"))).first()[0] or 0) <= most
+    return F.broadcast(rows) if few else rows
 
 
 def without(docs: DataFrame, dropped: DataFrame, row: Column, id_col: str = "doc_id") -> DataFrame:
@@ -63,18 +59,21 @@ def _same_row(row: Column, id_col: str) -> Column:
     return F.col(id_col).eqNullSafe(F.col("__gone")) & (row == F.col("__key"))
 
 
-def look_up(rows: DataFrame, table: DataFrame, key: str, heavy: int = 1000, most: int = BROADCAST_ROWS) -> DataFrame:
+def look_up(rows: DataFrame, table: DataFrame, key: str, heavy: int = 1000, most: int = BROADCAST_BYTES, weight: Column | None = None) -> DataFrame:
     """rows left joined with table (written already), which has one row per key, on key.
 
-    A table of up to `most` rows is broadcast. Else keys with more than `heavy` rows are joined apart: there is at most one of
+    A table of up to `most` bytes (weight: those of a row) is broadcast. Else keys with more than `heavy` rows are joined apart: there is at most one of
     them in `heavy` rows, so what the table has of these is small beside rows, and is broadcast behind a check.
     """
-    small = if_few(table, most)
+    small = if_few(table, most, weight)
     if small is not table:
         return rows.join(small, key, "left")
     hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > heavy).select(key)
     hot = if_few(lasting(hot))
     return (
         rows.join(hot, key, "left_anti").join(table, key, "left")
-        .unionByName(rows.join(hot, key, "left_semi").join(if_few(table.join(hot, key, "left_semi")), key, "left"))
+        .unionByName(rows.join(hot, key, "left_semi").join(if_few(table.join(hot, key, "left_semi"), weight=weight), key, "left"))
     )
+
+
+__all__ = ["ascii_lower", "if_few", "lasting", "look_up", "once", "read", "release", "row_hash", "without"]

@@ -30,7 +30,8 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, keep_id (the largest id of its group), group_size, kept, text_sha256."""
     rows = _digested(docs, id_col, text_col)
     digests = lasting(rows.select("id", "sha"))
-    again = lasting(digests.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sha"))
+    total = digests.count()
+    again = lasting(digests.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sha"), total)
     again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = (
         rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))

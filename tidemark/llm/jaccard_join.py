@@ -15,8 +15,8 @@ skipped: a block is a range of set sizes and of positions, and a class looks onl
 room for enough shared shingles. Candidates are verified on the full sets. So a group of very many near copies costs about
 one comparison for each.
 
-Equal sets and shared shingles are told by 64-bit hashes (of a class: mixed over the set); sets are compared shingle by
-shingle on these. No list of a common shingle meets in one task: its rows are dealt by class, and pivots are aggregated.
+Shared shingles are told by 64-bit hashes, and sets are compared shingle by shingle on these; equal sets by two such hashes,
+mixed over the set. No list of a common shingle meets in one task: its rows are dealt by class, and pivots are aggregated.
 
 Cases: null or empty texts, and texts without words, have no shingles and are linked with nothing; a text of fewer than
 K words is one shingle; repeated rows are linked with each other (equal sets) unless empty; rows with a null id take
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import if_few, lasting, look_up, once, without
+from tidemark.llm.common import if_few, lasting, look_up, once, release, without
 from tidemark.llm.components import components
 from tidemark.llm.shingles import batches, mix, shingle_sets
 
@@ -44,15 +44,21 @@ BLOCK_SHINGLES = 1 << 22
 #: Set sizes of one block differ by up to this factor, positions by up to this part of the set's size.
 SIZE_STEP, POSITION_STEP = 1.1, 1 / 18
 SHORT = 64
-PAIRS = 1 << 20
+PAIRS = 1 << 18
+#: Rows of sorted lists that a task judges at once.
+LIST_ROWS = 1 << 17
 HEAVY_PIVOT = 256
 
 
-def class_key(shingles: np.ndarray) -> int:
-    """A signed 64-bit hash of a set."""
+def class_keys(shingles: np.ndarray) -> tuple[int, int]:
+    """Two independent signed 64-bit hashes of a set."""
     with np.errstate(over="ignore"):
-        total = mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles)) * np.uint64(0x9E3779B97F4A7C15)
-    return int(mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
+        mixed = mix(shingles)
+        n = np.uint64(len(shingles))
+        one = mixed.sum(dtype=np.uint64) + n * np.uint64(0x9E3779B97F4A7C15)
+        two = mix(mixed + np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64) + n
+    first, second = mix(np.array([one, two], dtype=np.uint64)).view(np.int64)
+    return int(first), int(second)
 
 
 def least_overlap(a: Column, b: Column) -> Column:
@@ -61,12 +67,17 @@ def least_overlap(a: Column, b: Column) -> Column:
     return F.expr("0") + F.ceil((a + b) * F.lit(p) / F.lit(p + q))
 
 
-def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, n_shingles, class, row) of all documents, row a hash of id and text, and (token, n) of shingles that blocks have more than once."""
+def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> tuple[DataFrame, DataFrame, frozenset]:
+    """Rows (id, n_shingles, class, row) of all documents, row a hash of id and text; (token, n) of shingles that blocks
+    have more than once; and the first hashes that different sets share, whose classes go by the second hash.
+
+    About n²/2**65 hashes clash among n sets, so that set stays small at any size.
+    """
 
     def run(parts):
         import pyarrow as pa
 
+        names = ["id", "n", "class", "other", "token", "row"]
         held, seen, size = [], set(), 0
 
         def common():
@@ -76,59 +87,64 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             keep = counts > 1
             tokens, counts = tokens[keep].view(np.int64), counts[keep]
             none = pa.nulls(len(tokens), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(counts.astype(np.int64)), none, pa.array(tokens), none], names=["id", "n", "class", "token", "row"])
+            yield pa.RecordBatch.from_arrays([none, pa.array(counts.astype(np.int64)), none, none, pa.array(tokens), none], names=names)
 
         for part in parts:
-            texts = part.column(1).to_pylist()
             sizes, keys = [], []
-            for a, b in batches(texts):
-                for s in shingle_sets(texts[a:b], k):
-                    key = class_key(s) if len(s) else None
+            for (texts,) in batches(part.column(1)):
+                for s in shingle_sets(texts, k):
+                    key = class_keys(s) if len(s) else (None, None)
                     sizes.append(len(s))
                     keys.append(key)
-                    if key is not None and key not in seen:
+                    if len(s) and key not in seen:
                         seen.add(key)
                         held.append(s)
                         size += len(s)
                 if size > BLOCK_SHINGLES:
                     yield from common()
                     held, seen, size = [], set(), 0
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(sizes), pa.int64()), part.column(2)],
-                names=["id", "n", "class", "token", "row"],
-            )
+            cols = [pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), *cols, pa.nulls(len(sizes), pa.int64()), part.column(2)], names=names)
         yield from common()
 
-    both = lasting(_source(docs, id_col, text_col).mapInArrow(run, "id long, n long, class long, token long, row long"))
-    return both.where("token IS NULL").select("id", F.col("n").alias("n_shingles"), "class", "row"), both.where("token IS NOT NULL").select("token", "n")
+    both = lasting(_source(docs, id_col, text_col).mapInArrow(run, "id long, n long, class long, other long, token long, row long"))
+    rows = both.where("token IS NULL").select("id", F.col("n").alias("n_shingles"), "class", "other", "row")
+    clashes = rows.groupBy("class").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b")
+    clashing = frozenset(r[0] for r in clashes.select("class").collect())
+    if clashing:
+        rows = rows.withColumn("class", F.when(F.col("class").isin(*clashing), F.col("other")).otherwise(F.col("class")))
+    return rows.drop("other"), both.where("token IS NOT NULL").select("token", "n"), clashing
 
 
-def common_shingles(counted: DataFrame, most: int = COMMON) -> pd.DataFrame:
-    """The `most` most frequent shingles with their counts, ordered by token: a table of bounded size."""
+def common_shingles(counted: DataFrame, most: int | None = None) -> pd.DataFrame:
+    """The `most` (COMMON) most frequent shingles with their counts, ordered by token: a table of bounded size."""
     total = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_FROM)
-    return total.orderBy(F.desc("n"), "token").limit(most).toPandas().sort_values("token")
+    return total.orderBy(F.desc("n"), "token").limit(COMMON if most is None else most).toPandas().sort_values("token")
 
 
-def postings(docs: DataFrame, common: pd.DataFrame, text_col: str = "text", k: int = K, short: int = SHORT) -> tuple[DataFrame, DataFrame]:
+def postings(docs: DataFrame, common: pd.DataFrame, text_col: str = "text", k: int = K, clashing: frozenset = frozenset(), short: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The index lists of the classes' prefixes, without those of one class only.
 
     First the long lists (and all of common shingles) as rows (token, class, n, pos): pos is the position of the token in
     the class's set, in the common order, and n the set's size. Then the pairs of the short lists as rows (a, b, c, n, m):
-    two classes, the number of their common tokens, their sizes.
+    two classes, the number of their common tokens, their sizes. Lists come sorted to the tasks that judge them, which
+    hold a bounded number of rows.
     """
+    short = SHORT if short is None else short
     tokens, counts = common["token"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
 
     def prefixes(parts):
         import pyarrow as pa
 
         for part in parts:
-            texts, seen = part.column(0).to_pylist(), set()
-            for a, b in batches(texts):
+            seen = set()
+            for (texts,) in batches(part.column(0)):
                 out = []
-                for s in shingle_sets(texts[a:b], k):
-                    if not len(s) or (key := class_key(s)) in seen:
+                for s in shingle_sets(texts, k):
+                    if not len(s) or (keys := class_keys(s)) in seen:
                         continue
-                    seen.add(key)
+                    seen.add(keys)
+                    key = keys[1] if keys[0] in clashing else keys[0]
                     signed = s.view(np.int64)
                     at = np.minimum(np.searchsorted(tokens, signed), max(len(tokens) - 1, 0))
                     known = tokens[at] == signed if len(tokens) else np.zeros(len(s), dtype=bool)
@@ -142,24 +158,14 @@ def postings(docs: DataFrame, common: pd.DataFrame, text_col: str = "text", k: i
                     cols = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
                     yield pa.RecordBatch.from_arrays(cols, names=["token", "class", "n", "pos", "known"])
 
-    def shared(parts):
-        import pyarrow as pa
-
-        parts = [x for x in parts if len(x)]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        token, key, size, pos, known = (table.column(c).to_numpy() for c in ("token", "class", "n", "pos", "known"))
-        order = np.lexsort((key, token))
-        token, key, size, pos, known = token[order], key[order], size[order], pos[order], known[order]
-        once = np.concatenate(([True], (key[1:] != key[:-1]) | (token[1:] != token[:-1])))
-        token, key, size, pos, known = token[once], key[once], size[once], pos[once], known[once]
+    def judged(token, key, size, pos, known):
+        """Long lists and pairs of whole lists in sorted order; a list that was begun as a long one comes flagged as known."""
         first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         members = np.diff(np.append(first, len(token)))
         long = np.repeat(members > short, members) | known
         zero = np.zeros(np.count_nonzero(long), dtype=np.int64)
         yield _batch(token[long], key[long], zero, size[long], pos[long])
-        for m in range(2, short + 1):
+        for m in range(2, min(short, members.max()) + 1):
             lists = first[(members == m) & ~known[first]]
             x, y = np.triu_indices(m, 1)
             for at in range(0, len(lists), max(1, PAIRS // len(x))):
@@ -167,15 +173,49 @@ def postings(docs: DataFrame, common: pd.DataFrame, text_col: str = "text", k: i
                 left, right = (at + x).ravel(), (at + y).ravel()  # by key within a list, so left < right
                 fits = (size[left] * SHARE[1] >= size[right] * SHARE[0]) & (size[right] * SHARE[1] >= size[left] * SHARE[0])
                 left, right = left[fits], right[fits]
+                if not len(left):
+                    continue
                 order = np.lexsort((key[right], key[left]))
                 left, right = left[order], right[order]
-                new = np.flatnonzero(np.concatenate(([True], (key[left][1:] != key[left][:-1]) | (key[right][1:] != key[right][:-1])))) if len(left) else left
+                new = np.flatnonzero(np.concatenate(([True], (key[left][1:] != key[left][:-1]) | (key[right][1:] != key[right][:-1]))))
                 count = np.diff(np.append(new, len(left)))
                 left, right = left[new], right[new]
                 yield _batch(key[left], key[right], count, size[left], size[right])
 
+    def shared(parts):
+        held, rows, begun, last = [], 0, None, None  # begun: the long list that goes on; last: its last class
+
+        def work(final):
+            nonlocal held, rows, begun, last
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            token, key = cols[:2]
+            new = np.concatenate(([last is None or (token[0], key[0]) != last], (key[1:] != key[:-1]) | (token[1:] != token[:-1])))
+            cols = [c[new] for c in cols]
+            held, rows = [], 0
+            if not len(cols[0]):
+                return
+            token = cols[0]
+            cols[4] |= token == begun if begun is not None else False
+            cut = len(token) if final else int(np.searchsorted(token, token[-1]))
+            if len(token) - cut > short or (not final and token[-1] == begun):  # the list is long already: its rows go on
+                cols[4][cut:] = True
+                begun, last, cut = token[-1], (token[-1], cols[1][-1]), len(token)
+            elif cut < len(token):
+                held, rows, last = [[c[cut:] for c in cols]], len(token) - cut, None
+            if cut:
+                yield from judged(*(c[:cut] for c in cols))
+
+        for part in parts:
+            if len(part):
+                held.append([part.column(c).to_numpy(zero_copy_only=False).copy() for c in ("token", "class", "n", "pos", "known")])
+                rows += len(part)
+                if rows >= LIST_ROWS:
+                    yield from work(False)
+        if held:
+            yield from work(True)
+
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(prefixes, "token long, class long, n long, pos long, known boolean")
-    dealt = found.repartition(F.when(F.col("known"), F.xxhash64("class", "token")).otherwise(F.col("token")))
+    dealt = found.repartition(F.when(F.col("known"), F.xxhash64("class", "token")).otherwise(F.col("token"))).sortWithinPartitions("token", "class")
     both = lasting(dealt.mapInArrow(shared, "a long, b long, c long, n long, m long"))
     lists = both.where("c = 0").select(F.col("a").alias("token"), F.col("b").alias("class"), "n", F.col("m").alias("pos"))
     return lists, both.where("c > 0")
@@ -194,8 +234,8 @@ def promising(pairs: DataFrame, lists: DataFrame) -> DataFrame:
     its tokens left, less one.
     """
     p, q = SHARE
-    counted = lasting(pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("n").alias("n"), F.max("m").alias("m")))
-    in_long = lasting(lists.groupBy("class").agg(F.count(F.lit(1)).alias("long")))
+    counted = lasting(pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("n").alias("n"), F.max("m").alias("m")), pairs.count())
+    in_long = lasting(lists.groupBy("class").agg(F.count(F.lit(1)).alias("long")), lists.count())
     for side in ("a", "b"):
         of = in_long.select(F.col("class").alias(side), F.col("long").alias(f"long_{side}"))
         counted = look_up(counted, of, side)
@@ -211,38 +251,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """Rows (id, n_shingles, class, row, label, component_id): label is that of the component, null without shingles."""
-    rows, counted = shingle_classes(docs, id_col, text_col, k)
-    classes = lasting(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.min("row").alias("row")))
-    lists, short = postings(docs, common_shingles(counted), text_col, k)
+    rows, counted, clashing = shingle_classes(docs, id_col, text_col, k)
+    held = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    classes = lasting(rows.where("class IS NOT NULL").groupBy("class").agg(F.min(held).alias("r")).select("class", F.col("r.id").alias("rep"), F.col("r.row").alias("row")), rows.count())
+    lists, short = postings(docs, common_shingles(counted), text_col, k, clashing)
     source = _source(docs, id_col, text_col)
 
-    pivots = lasting(lists.groupBy("token").agg(F.min(F.struct("pos", "class", "n")).alias("p")).select("token", "p.*"))
-    of_lists = _possible(lists.alias("x").join(pivots.alias("y"), "token"), "x.class <> y.class")
-    first = lasting(of_lists.unionByName(promising(short, lists)).distinct())
-    links = lasting(linked(first, source, classes, k))
-    labels = components(links)
+    n = lists.count()
+    pivots = lasting(lists.groupBy("token").agg(F.min(F.struct("pos", "class", "n")).alias("p")).select("token", "p.*"), n)
+    to_pivot = look_up(lists, pivots.select("token", F.struct("class", "n", "pos").alias("y")), "token", weight=F.lit(40))
+    of_lists = _possible(to_pivot.select(F.struct("class", "n", "pos").alias("x"), "y"), "x.class <> y.class")
+    likely = promising(short, lists)
+    first = lasting(of_lists.unionByName(likely).distinct(), n + short.count())
+    found = lasting(linked(first, source, classes, k))
+    labels = components(found)
 
     labelled = look_up(lists, labels, "class").withColumn("label", F.coalesce("label", "class"))
-    of_pivot = look_up(pivots, labels, "class").select("token", F.coalesce("label", "class").alias("of_pivot"))
-    outside = labelled.join(of_pivot, "token").where("label <> of_pivot").drop("of_pivot")
+    of_pivot = lasting(look_up(pivots, labels, "class").select("token", F.coalesce("label", "class").alias("of_pivot")), n)
+    outside = look_up(labelled, of_pivot, "token").where("label <> of_pivot").drop("of_pivot")
     second = _possible(_looking(outside).alias("x").join(_blocked(labelled).alias("y"), ["token", "size", "part"]), "x.label <> y.label")
     second = lasting(second.join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(linked(second, source, classes, k))
-    labels = components(lasting(links))
+    more = lasting(linked(second, source, classes, k))
+    labels = components(found.unionByName(more))
+    release(first, second, found, more, pivots, of_pivot)
 
     named = classes.join(labels, "class", "left").select("class", "rep", F.coalesce("label", "class").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = lasting(named.join(least, "label").select("class", "label", "component_id"))
+    of_class = lasting(named.join(least, "label").select("class", "label", "component_id"), classes.count())
     return look_up(rows, of_class, "class")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """Of each component one row of docs, all columns: one with the smallest id. Rows without shingles all stay."""
     found = lasting(_labelled(docs, id_col, text_col, k).where("label IS NOT NULL").select("id", "row", "label"))
+    rows = found.count()
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
-    groups = lasting(found.groupBy("label").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "best"))
-    of_group = lasting(look_up(found, groups, "label").where("best IS NOT NULL").select("id", "row", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("row") == F.col("best.row"))).alias("kept")))
-    again = lasting(of_group.where("kept").groupBy("id", "row").count().where("count > 1").select("id", "row"))
+    groups = lasting(found.groupBy("label").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "best"), rows)
+    of_group = lasting(look_up(found, groups, "label").where("best IS NOT NULL").select("id", "row", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("row") == F.col("best.row"))).alias("kept")), rows)
+    again = lasting(of_group.where("kept").groupBy("id", "row").count().where("count > 1").select("id", "row"), rows)
     row = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
     return once(without(docs, of_group.where("NOT kept").select("id", "row"), row, id_col), again, row, id_col)
 
@@ -286,18 +332,19 @@ def linked(pairs: DataFrame, source: DataFrame, classes: DataFrame, k: int = K)
     Texts of the classes in question are picked out of source and travel to their pairs. A class in very many pairs
     is copied to as many places as it has HEAVY_PIVOT pairs.
     """
-    ids = lasting(pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n")))
-    asked = lasting(ids.join(classes, "class"))
-    texts = source.join(if_few(asked), "row").select("class", "n", "text").dropDuplicates(["class"])
+    n = 2 * pairs.count()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     copies = F.ceil(F.col("n") / HEAVY_PIVOT).cast("int")
-    texts = texts.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)))
-    heavy = asked.where(copies > 1).select("class", copies.alias("copies"))
-    heavy = if_few(lasting(heavy))
+    asked = lasting(ids.join(classes, "class").select("class", copies.alias("copies"), F.col("rep").alias("rep"), F.col("row").alias("asked_row")), n)
+    same = (F.col("row") == F.col("asked_row")) & F.col("id").eqNullSafe(F.col("rep"))
+    texts = source.join(if_few(asked), same).select("class", "copies", "text").dropDuplicates(["class"])
+    texts = texts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    heavy = if_few(lasting(asked.where("copies > 1").select("class", "copies"), n // HEAVY_PIVOT))
     other = {"a": "b", "b": "a"}
     for side in ("a", "b"):
         of = heavy.select(F.col("class").alias(side), F.col("copies").alias(f"copies_{side}"))
         salt = F.pmod(F.xxhash64(other[side]), F.coalesce(f"copies_{side}", F.lit(1))).cast("int")
-        pairs = pairs.join(F.broadcast(of) if heavy is not asked else of, side, "left").withColumn(f"salt_{side}", salt)
+        pairs = pairs.join(of, side, "left").withColumn(f"salt_{side}", salt)
     for side in ("a", "b"):
         mine = texts.select(F.col("class").alias(side), F.col("salt").alias(f"salt_{side}"), F.col("text").alias(f"text_{side}"))
         pairs = pairs.join(mine, [side, f"salt_{side}"])
@@ -306,9 +353,9 @@ def linked(pairs: DataFrame, source: DataFrame, classes: DataFrame, k: int = K)
         import pyarrow as pa
 
         for part in parts:
-            keep, left, right = [], part.column(2).to_pylist(), part.column(3).to_pylist()
-            for a, b in batches(left, right):
-                for x, y in zip(shingle_sets(left[a:b], k), shingle_sets(right[a:b], k), strict=True):
+            keep = []
+            for left, right in batches(part.column(2), part.column(3)):
+                for x, y in zip(shingle_sets(left, k), shingle_sets(right, k), strict=True):
                     same = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(SHARE[1] * same >= SHARE[0] * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))

@@ -87,13 +87,13 @@ def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
 
 
 def batches(*columns, most_bytes: int = 1 << 20):
-    """Slices (a, b) of rows with about most_bytes characters in these columns, at least one row each, so that memory stays bounded."""
-    a = size = 0
-    for i, row in enumerate(zip(*columns, strict=True)):
-        n = sum(len(t) for t in row if t is not None)
-        if i > a and size + n > most_bytes:
-            yield a, i
-            a, size = i, 0
-        size += n
-    if len(columns[0]) > a:
-        yield a, len(columns[0])
+    """Slices of rows of Arrow string columns as lists (one per column), with about most_bytes bytes together and at least
+    one row each, so that only a slice is held as Python strings."""
+    import pyarrow.compute as pc
+
+    size = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    upto, a = np.cumsum(size), 0
+    while a < len(upto):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most_bytes, side="right")))
+        yield [c.slice(a, b - a).to_pylist() for c in columns]
+        a = b
