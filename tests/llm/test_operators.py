@@ -1,6 +1,7 @@
 """The operators on documents against brute force, and the cases their docstrings define."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -86,6 +87,23 @@ def test_packing(spark, docs, none):
     assert packing.pack(none, **Q.tokenizer_files()).count() == 0
 
 
+def test_packing_ids_on_the_supplied_documents():
+    """The rank file gives the ids of the tokenizers file on whole documents of the test data, and on odd characters."""
+    public = pytest.importorskip("public_tokenizers")
+    parquet = pytest.importorskip("pyarrow.parquet")
+    from tokenizers import Tokenizer
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    some = [t or "" for t in parquet.read_table(path, columns=["text"])["text"].to_pylist()] if os.path.exists(path) else texts(5, 200)
+    r = random.Random(8)
+    some += ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(0xA0, 0x2000), r.randrange(0x1F300, 0x1F700), 10, 0x3000])) for _ in range(80)) for _ in range(300)]
+    tokenizer = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    files = Q.tokenizer_files()
+    encode = packing._encoder(files["ranks_path"], files["pattern"], tuple(files["special"].items()))
+    for t in some:
+        assert encode(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_packing_spreads_cost():
     sizes = [random.Random(3).randint(1, 900) for _ in range(400)]
     rows, used = packing.pack_block(sizes, 2048, 1.0, 1 / 2048)
@@ -449,6 +467,46 @@ def test_secrets(spark):
     assert secrets.scan(df.where("false")).count() == 0
 
 
+def test_ownership_against_plain_counts(spark):
+    """Verdicts of all spans of a table with hot values, null owners and repeated rows, against counting in Python."""
+    r = random.Random(11)
+    make = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    values = [make(40) for _ in range(12)] + ["a" * 40, make(33)]
+    rows = []
+    for i in range(300):
+        v = values[0] if i % 3 == 0 else r.choice(values)
+        owner = r.choice([None, "", "o1", "o2"]) if v in values[:4] else ("o1" if v in values[4:8] else r.choice("xyz"))
+        # the hot value in many texts of many owners; some values in the same few texts of one owner again and again
+        rows.append((i, f"{'' if v in values[6:8] else make(4)} {v} {v}", owner))
+    rows += [rows[0], rows[1], (900, None, "o1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    held = {}
+    for _, t, owner in rows:
+        for v in re.findall("[0-9a-f]{32,}", t or ""):
+            held.setdefault(v, (set(), set()))
+            held[v][0].add(owner or "")
+            held[v][1].add(t)
+    seen = set()
+    for row in secrets.scan(df).collect():
+        text = next(t for i, t, _ in rows if i == row.doc_id) or ""
+        assert [(s.start, s.stop) for s in row.spans] == [m.span() for m in re.finditer("[0-9a-f]{32,}", text)]
+        for s in row.spans:
+            v = text[s.start : s.stop]
+            owners, texts_ = map(len, held[v])
+            want = "example" if owners >= 3 or texts_ >= 8 else "live" if owners == 1 and secrets.looks_random(v) else "unclear"
+            assert (s.owners, s.verdict) == (owners, want)
+            seen.add(want)
+    assert seen == {"example", "live", "unclear"} or seen == {"example", "live"}
+
+
+def test_candidates_are_found_in_linear_time():
+    """A dense text: a long token that is covered or not is told by one pass over both sorted lists."""
+    r = random.Random(4)
+    some = ["".join(r.choice("0123456789abcdef") for _ in range(40)) if i % 2 else "".join(r.choice("GHIJKLMN0123456789") for _ in range(24)) for i in range(4000)]
+    found = secrets.candidates(" ".join(some), secrets._patterns())
+    assert [v for _, _, _, v in found] == [v for v in some if re.search(r"\d", v) and re.search("[A-Za-z]", v)]
+
+
 def test_patience_alignment():
     r = random.Random(5)
     for _ in range(200):

@@ -3,8 +3,9 @@
 Base matches are searched in whole texts, leftmost and without overlaps for each kind: assignments of passwords and
 tokens, access keys and long hexadecimal strings. Beside them, mixed tokens of TOKEN_LENGTH characters or more are
 candidates of the method. Each candidate's value is hashed, and for each hash the distinct repositories and owners
-over the corpus are counted. A value that SHARED or more of them hold is a widely copied example; one that a single
-owner holds and whose characters look random is a live-looking credential. Live-looking mixed tokens that no base match
+over the corpus are counted. A value that SHARED or more owners hold, or COPIED or more repositories of whatever owners, is a
+widely copied example; one that a single owner holds, in fewer repositories, and whose characters look random is a
+live-looking credential. Where a table knows no repositories, each different text counts as one. Live-looking mixed tokens that no base match
 covers are added as spans of kind `owned`; base spans always stay.
 
 Counting is skew-safe: values are reduced to distinct (value, repository, owner) rows before they meet, so a value
@@ -30,7 +31,7 @@ from tidemark.llm.common import lasting
 KINDS = ["assign", "access", "hex", "owned"]
 TOKEN_LENGTH = 20
 ENTROPY = 3.6
-SHARED = 3
+SHARED, COPIED = 3, 8
 SALTS = 16
 
 # The base patterns, each with the least length of what it must match.
@@ -67,13 +68,27 @@ def candidates(text: str, patterns: dict[str, re.Pattern]) -> list[tuple[str, in
     longs = list(patterns["long"].finditer(text))
     if any(len(m[0]) >= HEX_LENGTH for m in longs):
         found += [("hex", *m.span(), m[0]) for m in patterns["hex"].finditer(text)]
-    covered = [(a, b) for _, a, b, _ in found]
+    covered, at = _merged((a, b) for _, a, b, _ in found), 0
     for m in longs:
-        if not any(a < m.end() and m.start() < b for a, b in covered) and re.search(r"\d", m[0]) and re.search("[A-Za-z]", m[0]):
+        while at < len(covered) and covered[at][1] <= m.start():
+            at += 1
+        free = at == len(covered) or m.end() <= covered[at][0]
+        if free and re.search(r"\d", m[0]) and re.search("[A-Za-z]", m[0]):
             found.append(("owned", *m.span(), m[0]))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def _merged(spans) -> list[tuple[int, int]]:
+    """Sorted spans, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def looks_random(value: str) -> bool:
     """Whether the characters' entropy, against the most that the length allows, is that of a generated string."""
     counts = Counter(value)
@@ -98,15 +113,16 @@ def _found(parts):
 
 def scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository: Column | None = None, owner: Column | None = None,
-    shared: int = SHARED, salts: int = SALTS,
+    shared: int = SHARED, copied: int = COPIED, salts: int = SALTS,
 ) -> DataFrame:
     """One row per document: id, spans (kind, start, stop, value, random, owners, verdict), sorted by start.
 
-    Base spans have the verdict `example` (SHARED owners or more), `live` (one owner, random) or `unclear`; of the
-    mixed tokens only live ones are there.
+    Base spans have the verdict `example` (`shared` owners or `copied` repositories, or more), `live` (one owner, random) or
+    `unclear`; of the mixed tokens only live ones are there. Without `owner` that is the column source, and without
+    `repository` a hash of the text.
     """
-    repository = F.col("source") if repository is None else repository
-    owner = repository if owner is None else owner
+    repository = F.xxhash64(text_col) if repository is None else repository
+    owner = F.col("source") if owner is None else owner
     rows = docs.select(F.col(id_col).alias("id"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), F.col(text_col).alias("text"))
     found = lasting(rows.mapInArrow(_found, f"id long, repository string, owner string, spans array<struct<{_SPAN.replace(' ', ':').replace(',:', ', ')}>>"))
     held = found.select("repository", "owner", F.explode("spans.value").alias("value")).distinct()
@@ -117,8 +133,7 @@ def scan(
     each = found.where("size(spans) > 0").select("id", uid.alias("uid"), F.explode("spans").alias("s")).distinct()
     each = each.withColumn("value", F.col("s.value")).withColumn("salt", F.pmod("uid", F.lit(salts)).cast("int"))
     owned = owned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    holders = F.greatest("owners", "repositories")
-    verdict = F.when(holders >= shared, "example").when((F.col("owners") == 1) & F.col("s.random"), "live").otherwise("unclear")
+    verdict = F.when((F.col("owners") >= shared) | (F.col("repositories") >= copied), "example").when((F.col("owners") == 1) & F.col("s.random"), "live").otherwise("unclear")
     judged = each.join(owned, ["value", "salt"]).select("id", "uid", "s.*", "owners", verdict.alias("verdict"))
     judged = judged.where("kind <> 'owned' OR verdict = 'live'").withColumn("place", _place())
     by_row = judged.groupBy("id", "uid").agg(F.sort_array(F.collect_list(F.struct("start", "place", "kind", "stop", "value", "random", "owners", "verdict"))).alias("judged"))
