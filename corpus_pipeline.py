@@ -6,12 +6,10 @@ the next stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, exact_dedup, jaccard_join, language_id
-from tidemark.llm.common import lasting, read
+from tidemark.llm.common import lasting, read, release
 from tidemark.llm.queries import language_model, packed
 
 
@@ -55,18 +53,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of sf_dir; what a stage returns is written and read again before the next one.
 
-    The files go to the folder that spark.checkpoint.dir names; where it names none, checkpoints take their place.
+    The files go to the folder that spark.checkpoint.dir names, and those of a stage go when the next one's are written.
     """
     docs = read(spark, sf_dir, "documents")
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    at = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}" if folder else None
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        if at:
-            out.write.parquet(f"{at}/{k}-{name}")
-            docs = spark.read.parquet(f"{at}/{k}-{name}")
-        else:
-            docs = lasting(out)
+        kept = lasting(out)
+        release(docs)
+        docs = kept
     return docs

@@ -11,7 +11,7 @@ covers are added as spans of kind `owned`; base spans always stay.
 Counting is skew-safe: values are reduced to distinct (value, repository, owner) rows before they meet, so a value
 copied into a third of all rows is some rows per task; the counts come back by a join on rows of a few bytes, salted.
 
-Cases: a null text counts as empty and has no spans; a null repository or owner is one of its own; repeated rows each
+Cases: a null text counts as empty and has no spans; a null repository or owner counts as the empty one; repeated rows each
 get a row in the result and count as one owner; a null id is kept; an empty table gives no rows; other columns are not
 looked at.
 """
