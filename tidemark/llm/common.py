@@ -22,6 +22,19 @@ def row_hash(*columns: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in columns])
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that go to a Python worker at once; Spark's own bound is 64 MB, which each of several buffers then holds.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after its session's Arrow batches have been bounded to BATCH_BYTES, unless it has a bound of its own."""
+    conf = df.sparkSession.conf
+    if str(conf.get(_BATCH, "64m")).lower() in ("64m", "64mb", "67108864", "67108864b"):
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -76,4 +89,4 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, heavy: int = 1000, most
     )
 
 
-__all__ = ["ascii_lower", "if_few", "lasting", "look_up", "once", "read", "release", "row_hash", "without"]
+__all__ = ["ascii_lower", "bounded_batches", "if_few", "lasting", "look_up", "once", "read", "release", "row_hash", "without"]

@@ -35,7 +35,7 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = (
         rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-        .join(again, ["sha", "salt"], "left_semi")
+        .join(again.hint("merge"), ["sha", "salt"], "left_semi")  # one plan at all sizes: no table of digests in memory
         .groupBy("sha", "salt", "norm")
         .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     )

@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_batches
+
 # Tag names.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set(
@@ -184,7 +186,7 @@ def extract(pages: DataFrame, field: Field | None = None, html_col: str = "html"
         return pd.Series([main_text(p if isinstance(p, str) else None, field, paths, cache) for p in rows], dtype="str")
 
     run.__annotations__ = {"rows": pd.Series, "return": pd.Series}
-    return pages.select(*keep, F.pandas_udf(run, "string")(F.col(html_col)).alias("text"))
+    return bounded_batches(pages).select(*keep, F.pandas_udf(run, "string")(F.col(html_col)).alias("text"))
 
 
 def main_text(page: str | None, field: Field, paths: Paths, cache: dict) -> str:

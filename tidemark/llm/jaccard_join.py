@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import if_few, lasting, look_up, once, release, without
+from tidemark.llm.common import bounded_batches, if_few, lasting, look_up, once, release, without
 from tidemark.llm.components import components
 from tidemark.llm.shingles import batches, mix, shingle_sets
 
@@ -294,7 +294,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.withColumn("row", F.xxhash64("id", "text"))
 
 

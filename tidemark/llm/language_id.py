@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_batches
+
 ORDER = 4
 BINS = 1 << 15
 SAMPLE = 400
@@ -62,7 +64,7 @@ def presence(text: str, order: int = ORDER, bins: int = BINS) -> np.ndarray:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None,
         sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """Learns from the rows of docs with a language for which `learn` holds; None if there is none."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if learn is None else learn))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -78,14 +80,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, lang_pred, score (0 to 1)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_scorer(model), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, whose language is known."""
     predicted = F.pandas_udf(_series_scorer(model), "string")
-    return docs.where(predicted(F.col(text_col)) != UNKNOWN)
+    return bounded_batches(docs).where(predicted(F.col(text_col)) != UNKNOWN)
 
 
 def _bits(parts):

@@ -29,6 +29,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_batches
+
 COVERAGE, DENSITY = 0.8, 0.5
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -281,5 +283,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             found = [findings(text.as_py(), ready, coverage, density) for text in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], names=["id", "findings"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id long, findings {_FINDING}").withColumnRenamed("id", id_col)

@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_batches
+
 SEQUENCE = 2048
 END_ID = 1
 BLOCK_TOKENS = 1 << 21
@@ -85,7 +87,7 @@ def pack(
         if held:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, _SCHEMA).withColumnRenamed("id", id_col)
 
 

@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_batches
 from tidemark.llm.shingles import batches, word_hashes
 
 SAMPLE = 12_000
@@ -32,14 +33,16 @@ STATS = [
 ]
 
 
-def statistics(texts: list[str | None]) -> np.ndarray:
-    """A row of STATS for each text."""
-    out = np.zeros((len(texts), len(STATS)))
-    for a, b in batches(texts):
-        words, first = word_hashes(texts[a:b])
-        for i in range(a, b):
-            out[i] = _of_text((texts[i] or "").encode("utf-8", "surrogatepass"), words[first[i - a] : first[i - a + 1]])
-    return out
+def statistics(texts) -> np.ndarray:
+    """A row of STATS for each text of an Arrow string column or a list."""
+    import pyarrow as pa
+
+    texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+    out = [np.zeros((0, len(STATS)))]
+    for (some,) in batches(texts):
+        words, first = word_hashes(some)
+        out.append(np.array([_of_text((t or "").encode("utf-8", "surrogatepass"), words[a:b]) for t, a, b in zip(some, first[:-1], first[1:], strict=True)]))
+    return np.concatenate(out)
 
 
 def _classes() -> np.ndarray:
@@ -70,10 +73,10 @@ def add_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         import pyarrow as pa
 
         for part in parts:
-            found = statistics(part.column(1).to_pylist())
+            found = statistics(part.column(1))
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(x) for x in found.T)], names=["id", *STATS])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, " + ", ".join(f"{x} double" for x in STATS)).withColumnRenamed("id", id_col)
 
 

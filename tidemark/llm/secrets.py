@@ -26,7 +26,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lasting
+from tidemark.llm.common import bounded_batches, lasting
 
 KINDS = ["assign", "access", "hex", "owned"]
 TOKEN_LENGTH = 20
@@ -123,7 +123,7 @@ def scan(
     """
     repository = F.xxhash64(text_col) if repository is None else repository
     owner = F.col("source") if owner is None else owner
-    rows = docs.select(F.col(id_col).alias("id"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"), F.col(text_col).alias("text"))
     found = lasting(rows.mapInArrow(_found, f"id long, repository string, owner string, spans array<struct<{_SPAN.replace(' ', ':').replace(',:', ', ')}>>"))
     held = found.select("repository", "owner", F.explode("spans.value").alias("value")).distinct()
     owned = held.groupBy("value").agg(

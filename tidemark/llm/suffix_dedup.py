@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lasting, look_up
+from tidemark.llm.common import bounded_batches, lasting, look_up
 from tidemark.llm.shingles import _T, batches, mix, powers
 
 LENGTH = 200
@@ -277,7 +277,7 @@ def _merged(parts):
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     return rows.withColumn("uid", F.xxhash64("id", "text"))
 
 
