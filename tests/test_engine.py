@@ -224,3 +224,42 @@ def test_vector_files_and_legacy_dictionary(spark, tmp_path):
     old = tables.read_legacy_dictionary(spark, str(tmp_path / "d.json"))
     assert (old.first().combo_id, old.first().flood_ids) == (1, [10])
     assert catalog.legacy_events(old, events(spark)).count() == 1
+
+
+def test_ledger_runs_keep_their_order(spark, tmp_path):
+    """Files are read by size and name; the run that wrote a line says which is the last."""
+    path = str(tmp_path / "ledger")
+    line = "global_id long, filename string, download_status string, process_status string, points long"
+    tables.append_ledger(spark.createDataFrame([(1, "a", "ok", "complete", 5)], line), path)
+    tables.append_ledger(spark.createDataFrame([(1, "a", "failed", None, 0)], line), path)
+    tables.append_ledger(spark.createDataFrame([(k, "a" * 50, "ok", "complete", 7) for k in (1, 2, 3)], line).repartition(3), path)
+    found = {r.global_id: (r.process_status, r.points) for r in inventory.latest(tables.read_ledger(spark, path)).collect()}
+    assert found == {1: ("complete", 7), 2: ("complete", 7), 3: ("complete", 7)}
+
+
+def test_a_rerun_leaves_no_cell_twice(spark, tmp_path):
+    path = str(tmp_path / "lake")
+    cells = spark.createDataFrame([(k, k % 3, 1 + k % 2, "2020") for k in range(20)], "col int, row int, flood_id long, year string")
+    tables.write_lake(cells, path)
+    tables.write_lake(cells.where("flood_id = 1"), path)
+    want = sorted((r.col, r.row, r.flood_id) for r in cells.collect())
+    assert sorted(map(tuple, tables.read_lake(spark, path).collect())) == want
+
+
+def test_geojson_features(spark, tmp_path):
+    import json
+
+    ring = [[(10.0, 50.0), (11.0, 50.0), (11.0, 51.0), (10.0, 50.0)]]
+    rows = spark.createDataFrame([(1, "a", ring), (2, "b", None)], f"event_id long, name string, geometry {tables.RINGS}")
+    path = str(tmp_path / "c.geojson")
+    tables.write_catalogue(rows, path)
+    found = sorted((json.loads(r.value) for r in spark.read.text(path).collect()), key=lambda f: f["properties"]["event_id"])
+    assert found[0] == {"type": "Feature", "properties": {"event_id": 1, "name": "a"}, "geometry": {"type": "Polygon", "coordinates": [[list(p) for p in ring[0]]]}}
+    assert found[1] == {"type": "Feature", "properties": {"event_id": 2, "name": "b"}, "geometry": None}
+
+
+def test_regions_of_a_long_snake_take_few_rounds(spark):
+    """A region that winds through many rows: labels reach its least run in about the logarithm of its length."""
+    rows = [(c, r, 1) for r in range(0, 200, 2) for c in range(8)] + [(7 if r % 4 == 1 else 0, r, 1) for r in range(1, 200, 2)] + [(20, 5, 1), (9, 9, 2)]
+    found = recurrence.regions(spark.createDataFrame(rows, "col int, row int, combo_id long")).collect()
+    assert sorted((r.combo_id, r.cells) for r in found) == [(1, 1), (1, 900), (2, 1)]

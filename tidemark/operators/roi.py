@@ -199,14 +199,16 @@ def point_inside(x: float, y: float, rings) -> bool:
 
 def ray_cast(lon: Column, lat: Column, rings) -> Column:
     """The even-odd rule as one expression: the number of edges to the right of the point."""
-    crossings = F.lit(0)
+    terms = [F.lit(0)]
     for ring in rings:
         for (x0, y0), (x1, y1) in _edges(ring):
             if y0 != y1:
                 spans = (F.lit(y0) > lat) != (F.lit(y1) > lat)
                 right = lon < F.lit(x1 - x0) * (lat - F.lit(y0)) / F.lit(y1 - y0) + F.lit(x0)
-                crossings = crossings + (spans & right).cast("int")
-    return crossings % 2 == 1
+                terms.append((spans & right).cast("int"))
+    while len(terms) > 1:  # pairs of pairs: a chain of sums is as deep as it is long, and the planner recurses
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2], strict=False)] + terms[len(terms) // 2 * 2 :]
+    return terms[0] % 2 == 1
 
 
 def _ray_cast_udf(rings):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +26,12 @@ def read_lake(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_lake(cells: DataFrame, path: str) -> None:
-    """cells (col, row, flood_id, year) by year; the committer makes the write atomic."""
-    cells.write.mode("append").partitionBy("year").parquet(path)
+    """cells (col, row, flood_id, year) by year and event; the committer makes the write atomic.
+
+    A rerun replaces the folders of the events it has, so it leaves no cell twice; other events stay as they are.
+    """
+    placed = cells.withColumn("event", F.col("flood_id")).repartition("event", F.floor(F.col("row") / TILE))  # a large event is many tasks
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "event").parquet(path)
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -80,14 +85,25 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Ledger lines in the order written (column line); torn lines are left out."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    rows = lines.select("line", F.from_json("value", LEDGER).alias("r")).select("line", "r.*")
-    return rows.where("global_id IS NOT NULL")
+    """Ledger lines with the order written (column line: the run, then the place in it); torn lines are left out.
+
+    The run is the number that append_ledger put into the line; lines without one are of a single file, before all others.
+    """
+    lines = spark.read.text(path).withColumn("place", F.monotonically_increasing_id())
+    rows = lines.select("place", F.from_json("value", LEDGER + ", run long").alias("r")).select("place", "r.*").where("global_id IS NOT NULL")
+    return rows.select(F.struct(F.coalesce("run", F.lit(0)).alias("run"), "place").alias("line"), *[c for c in rows.columns if c not in ("run", "place")])
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+    """Adds the lines of one run, numbered after those that are there: files have no order of their own."""
+    spark = rows.sparkSession
+    try:
+        last = spark.read.schema("run long").json(path).agg(F.max("run")).first()[0]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        last = None
+    rows.withColumn("run", F.lit((last or 0) + 1).cast("long")).write.mode("append").json(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -126,16 +142,28 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_catalogue(catalogue: DataFrame, path: str) -> None:
-    """CSV, JSON or Parquet by the path's ending; CSV goes without the geometry."""
+    """CSV, JSON lines, GeoJSON features (one a line) or Parquet by the path's ending; CSV goes without the geometry."""
     flat = catalogue.drop("geometry")
     if path.endswith(".csv"):
         flat.write.mode("overwrite").csv(path, header=True)
-    elif path.endswith((".json", ".geojson")):
+    elif path.endswith(".geojson"):
+        features(catalogue).write.mode("overwrite").text(path)
+    elif path.endswith(".json"):
         catalogue.write.mode("overwrite").json(path)
     else:
         catalogue.write.mode("overwrite").parquet(path)
 
 
+def features(catalogue: DataFrame) -> DataFrame:
+    """One GeoJSON feature per row, as text. geometry, if there, holds rings as read_features gives them; else it is null."""
+    shape = F.lit("null")
+    if "geometry" in catalogue.columns:
+        rings = F.to_json(F.transform("geometry", lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"]))))
+        shape = F.coalesce(F.concat(F.lit('{"type":"Polygon","coordinates":'), rings, F.lit("}")), shape)
+    properties = F.to_json(F.struct(*[c for c in catalogue.columns if c != "geometry"]))
+    return catalogue.select(F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":'), shape, F.lit("}")).alias("value"))
+
+
 def json_records(catalogue: DataFrame) -> DataFrame:
     """One JSON record per row, without the geometry."""
     return catalogue.drop("geometry").select(F.to_json(F.struct("*")).alias("record"))
