@@ -17,6 +17,11 @@ def combo_counts(index: DataFrame, roi: Roi) -> DataFrame:
     return roi.mask(index).groupBy("combo_id").agg(F.count(F.lit(1)).alias("pixels"))
 
 
+def combo_listing(counts: DataFrame) -> DataFrame:
+    """combo_counts in the order of their combos, as a report shows them; joins take them as they are."""
+    return counts.orderBy("combo_id")
+
+
 def event_pixels(counts: DataFrame, combos: DataFrame) -> DataFrame:
     """Pixels per event: combos are counted before they are expanded. Combos that the dictionary lacks are dropped."""
     expanded = counts.join(combos, "combo_id").select("pixels", F.explode("flood_ids").alias("event_id"))
@@ -82,6 +87,17 @@ def attach_paths(catalogue: DataFrame, files: DataFrame, key: str) -> DataFrame:
     return named.join(files.select(F.col("filename").alias("crop"), "path"), "crop", "left").drop("crop")
 
 
+def has_path(catalogue: DataFrame) -> DataFrame:
+    """Rows whose crop is there: a path that is not null, not empty and no "nan"."""
+    path = F.trim(F.col("path").cast("string"))
+    return catalogue.where(path.isNotNull() & (path != "") & (F.lower(path) != "nan"))
+
+
+def median_by(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """The exact median of a value in each group."""
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("events"), F.round(F.median(value), 6).alias(f"median_{value}"))
+
+
 def downloadable(catalogue: DataFrame) -> DataFrame:
     return catalogue.where(F.col("download_url").isNotNull() & F.col("filename").isNotNull())
 

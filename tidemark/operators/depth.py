@@ -11,6 +11,21 @@ from tidemark.operators.roi import Roi
 HISTORIC_SCALE, HAZARD_SCALE = 0.01, 1.0
 
 
+#: More rasters than this are shown only when a limit is asked for.
+SHOWN_RASTERS = 4
+
+
+class DepthError(ValueError):
+    """More rasters than are shown unasked."""
+
+
+def guarded(catalogue: DataFrame, limit: int | None = None) -> DataFrame:
+    """The rows whose depths are to be fetched: all, if they are few, or the first by date; an error for many without a limit."""
+    if limit is None and catalogue.limit(SHOWN_RASTERS + 1).count() > SHOWN_RASTERS:
+        raise DepthError(f"more than {SHOWN_RASTERS} rasters; give limit=")
+    return catalogue if limit is None else catalogue.orderBy("date", "event_id").limit(limit)
+
+
 def depth_scale(collection: Column) -> Column:
     return F.when(collection == "hazard", HAZARD_SCALE).otherwise(HISTORIC_SCALE)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.roi import Roi, RoiError
+from tidemark.operators.roi import Roi, RoiError, meets_box
 
 #: Return periods in years.
 RETURN_PERIODS = (10, 20, 50, 75, 100, 200, 500)
@@ -27,11 +27,12 @@ def tile_filename(period: Column, tile_id: Column, name: Column) -> Column:
 
 
 def touching(tiles: DataFrame, roi: Roi) -> DataFrame:
-    """Tiles whose box meets the region's; the tile table is small (some hundred rows), the region is a constant."""
+    """Tiles whose box meets the region; the tile table is small (some hundred rows), the region is a constant."""
     x0, y0, x1, y1 = roi.bounds
     if not (roi.rings or roi.point):
         raise RoiError("the region is empty")
-    return tiles.where((F.col("minx") <= x1) & (F.col("maxx") >= x0) & (F.col("miny") <= y1) & (F.col("maxy") >= y0))
+    near = tiles.where((F.col("minx") <= x1) & (F.col("maxx") >= x0) & (F.col("miny") <= y1) & (F.col("maxy") >= y0))
+    return near if roi._box() else near.where(meets_box(roi, *[F.col(c) for c in ("minx", "miny", "maxx", "maxy")]))
 
 
 def needed_files(tiles: DataFrame, roi: Roi, periods: int | list[int] | None = None) -> DataFrame:
@@ -50,6 +51,21 @@ def catalogue(tiles: DataFrame, roi: Roi, periods: int | list[int] | None = None
     )
 
 
+def manifest(tiles: DataFrame, base_url: str, model_version: str = "v1", before: dict | None = None) -> dict:
+    """What a publication of the hazard layer pins: the address, the version, the return periods and the rules of names.
+
+    Records of mirrored tiles in the manifest before are kept.
+    """
+    made = {
+        "collection": "hazard", "model_version": model_version,
+        "provenance": {
+            "hazard_base_url": base_url, "return_periods": list(RETURN_PERIODS), "n_tiles": tiles.count(),
+            "tile_filename_template": "ID{id}_{name}_RP{rp}_depth.tif", "tile_url_template": base_url + "RP{rp}/{filename}",
+        },
+    }
+    return made | {k: before[k] for k in ("mirror",) if before and k in before}
+
+
 def tiles_bounds(tiles: DataFrame) -> DataFrame:
     return tiles.agg(F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
 

@@ -35,6 +35,22 @@ def process_status(pixels: DataFrame, has_crs: bool = True) -> DataFrame:
     return counted.select("flood_id", status.alias("status"), F.col("points"))
 
 
+def outcomes(asked: DataFrame, pixels: DataFrame, cached: DataFrame | None = None) -> DataFrame:
+    """One row (flood_id, status, points) per asked raster (flood_id, has_crs), whatever became of it.
+
+    complete: cells from this run; cached: cells from an earlier one (flood_id, points); empty: read, but nothing wet;
+    missing_file: no pixels at all; missing_crs: cannot be placed. Only complete and cached have points.
+    """
+    read = process_status(pixels).select("flood_id", F.col("status").alias("found"), F.col("points").alias("n"))
+    rows = asked.join(read, "flood_id", "left")
+    before = F.lit(None).cast("long")
+    if cached is not None:
+        rows, before = rows.join(cached.select("flood_id", F.col("points").alias("before")), "flood_id", "left"), F.col("before")
+    status = F.when(before.isNotNull(), "cached").when(F.col("found").isNull(), "missing_file").when(~F.coalesce("has_crs", F.lit(False)), "missing_crs").otherwise(F.col("found"))
+    told = rows.select("flood_id", status.alias("status"), "n", before.alias("b"))
+    return told.select("flood_id", "status", F.when(F.col("status") == "cached", F.col("b")).when(F.col("status") == "complete", F.col("n")).otherwise(0).alias("points"))
+
+
 def build_cells(lake: DataFrame) -> DataFrame:
     """Every cell with the sorted distinct list of its events; partial aggregates run before the shuffle."""
     return lake.groupBy("col", "row").agg(F.array_sort(F.collect_set("flood_id")).alias("flood_ids"))

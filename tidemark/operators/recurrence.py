@@ -37,7 +37,8 @@ def footprints(index: DataFrame, combos: DataFrame, events: DataFrame) -> DataFr
     found = by_event.groupBy("event_id").agg(F.sum("cells").alias("cells"), F.round(F.sum("km2"), 6).alias("extent_km2"))
     days = F.datediff(F.try_to_date("end_date", "yyyy-MM-dd"), F.try_to_date("start_date", "yyyy-MM-dd"))
     named = found.join(events, F.col("event_id") == F.col("global_id"))
-    return named.select("event_id", F.col("start_date").alias("date"), "cells", "extent_km2", days.alias("duration_days"))
+    shown = named.select("event_id", F.col("start_date").alias("date"), "cells", "extent_km2", days.alias("duration_days"))
+    return shown.orderBy("date", "event_id")
 
 
 def valid_bounds(cells: DataFrame) -> DataFrame:
@@ -62,8 +63,8 @@ def runs(index: DataFrame) -> DataFrame:
     return cut.select(grid.pack_cell(F.col("first"), F.col("row")).alias("run"), "combo_id", "row", "first", "last", "cells")
 
 
-def regions(index: DataFrame) -> DataFrame:
-    """Regions of touching cells (by sides) of one combo: (region, combo_id, cells, rows and columns they span).
+def labelled_runs(index: DataFrame) -> DataFrame:
+    """The runs with the region (touching cells, by sides, of one combo) that each belongs to.
 
     Runs of neighbouring rows are linked where they overlap; labels then sink to the least run of a region, by telling
     them to the runs that labels name and by pointer jumping, in about as many rounds as the logarithm of its size.
@@ -85,14 +86,28 @@ def regions(index: DataFrame) -> DataFrame:
         labels, before = done.select("run", "label"), done
         if done.where("before <> label").isEmpty():
             break
-    joined = pieces.join(labels, "run")
-    return joined.groupBy(F.col("label").alias("region"), "combo_id").agg(
+    return pieces.join(labels.withColumnRenamed("label", "region"), "run")
+
+
+def regions(index: DataFrame) -> DataFrame:
+    """Regions of touching cells of one combo: (region, combo_id, cells, rows and columns they span)."""
+    return labelled_runs(index).groupBy("region", "combo_id").agg(
         F.sum("cells").alias("cells"), F.min("row").alias("min_row"), F.max("row").alias("max_row"), F.min("first").alias("min_col"), F.max("last").alias("max_col")
     )
 
 
-def recurrence_regions(index: DataFrame, combos: DataFrame, events: DataFrame) -> DataFrame:
-    return regions(index).join(combo_labels(combos, events), "combo_id")
+def recurrence_regions(index: DataFrame, combos: DataFrame, events: DataFrame, event_id: int | None = None) -> DataFrame:
+    """Regions with the labels of their combos; of one event, those that it touches, each counted once."""
+    if event_id is None:
+        return regions(index).join(combo_labels(combos, events), "combo_id")
+    combos = event_membership(combos, event_id)
+    mine = index.join(combos.select("combo_id"), "combo_id", "left_semi")
+    return regions(mine).join(combo_labels(combos, events), "combo_id").withColumn("count", F.lit(1).cast("long"))
+
+
+def ids_of(combos: DataFrame) -> DataFrame:
+    """The events that the combos name, each once."""
+    return combos.select(F.explode("flood_ids").alias("event_id")).distinct()
 
 
 def coarser(grid_cells: DataFrame, factor: int) -> DataFrame:

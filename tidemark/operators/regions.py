@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import EXONYMS, SEARCH_CUTOFF, fold, name_variants, nuts_level, similarity
+from tidemark.functions.text import EXONYMS, GEOCODE_CUTOFF, SEARCH_CUTOFF, SUGGEST_CUTOFF, fold, name_variants, nuts_level, similarity
 
 
 def complete_columns(rows: DataFrame) -> DataFrame:
@@ -61,5 +62,42 @@ def _by_name(table: DataFrame, text: str) -> DataFrame:
     return found.distinct()
 
 
+class PlaceError(ValueError):
+    """No region has the name or the code; the message holds close ones."""
+
+
+def _close(keys: DataFrame, target: str, cutoff: float, n: int) -> list[str]:
+    scored = keys.distinct().withColumn("s", similarity(F.col("key"), target)).where(F.col("s") >= cutoff)
+    return [r.key for r in scored.orderBy(F.desc("s"), F.desc("key")).limit(n).collect()]  # the n closest are the feature
+
+
+def geocode(table: DataFrame, name: str, level: int | None = None) -> DataFrame:
+    """The regions that a place's name stands for: by its key, else by its exonym, else by the one closest key."""
+    target = _folded(name.split(",")[0])
+    index = variants(table)
+    keys = [k for k in (target, EXONYMS.get(target)) if k]
+    there = {r.key for r in index.where(F.col("key").isin(keys)).select("key").distinct().collect()}
+    found = next((k for k in keys if k in there), None)
+    if found is None:
+        found = next(iter(_close(index.select("key"), target, GEOCODE_CUTOFF, 1)), None)
+    rows = table.join(index.where(F.col("key") == found).select("NUTS_ID"), "NUTS_ID", "left_semi")
+    rows = rows if level is None else rows.where(F.col("LEVL_CODE") == level)
+    if found is None or rows.isEmpty():
+        raise PlaceError(f"no region {name!r}; close ones: {sorted(_close(index.select('key'), target, SUGGEST_CUTOFF, 5))}")
+    return rows
+
+
+def by_code(table: DataFrame, codes: str | Sequence[str]) -> DataFrame:
+    """The regions with these codes, each once; an error names the codes that there are not."""
+    asked = sorted({c.strip().upper() for c in ([codes] if isinstance(codes, str) else codes)})
+    rows = table.where(F.col("NUTS_ID").isin(asked)).dropDuplicates(["NUTS_ID"])
+    there = {r.NUTS_ID for r in rows.select("NUTS_ID").collect()}
+    if not asked:
+        raise PlaceError("no code is given")
+    if lacking := [c for c in asked if c not in there]:
+        raise PlaceError(f"no region {lacking}; close to the first: {_close(table.select(F.col('NUTS_ID').alias('key')), lacking[0], SUGGEST_CUTOFF, 5)}")
+    return rows
+
+
 def with_geometry(rows: DataFrame, geometries: DataFrame) -> DataFrame:
     return rows.join(geometries, "NUTS_ID", "left")

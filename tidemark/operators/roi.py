@@ -27,12 +27,25 @@ class RoiError(ValueError):
 
 @dataclass(frozen=True)
 class Roi:
-    """Rings in degrees, by the even-odd rule, or a point; with a distance in metres around it."""
+    """Rings in degrees, by the even-odd rule, or a point; with a distance in metres around it.
+
+    A union of several shapes holds the number of rings of each in parts: the rule is each shape's own, as they may overlap.
+    """
 
     rings: tuple[Ring, ...] = ()
     point: tuple[float, float] | None = None  # (lon, lat)
     buffer_m: float = 0.0
     mitre: bool = False
+    parts: tuple[int, ...] = ()
+
+    @property
+    def shapes(self) -> list[tuple[Ring, ...]]:
+        """The rings of each shape."""
+        out, at = [], 0
+        for n in self.parts or (len(self.rings),):
+            out.append(self.rings[at : at + n])
+            at += n
+        return out
 
     @property
     def bounds(self) -> tuple[float, float, float, float]:
@@ -67,14 +80,14 @@ class Roi:
     @property
     def key(self) -> str:
         """Eight hex digits that name the region."""
-        return hashlib.sha1(repr((self.rings, self.point, self.buffer_m)).encode()).hexdigest()[:8]
+        return hashlib.sha1(repr((self.rings, self.point, self.buffer_m, *([self.parts] if self.parts else []))).encode()).hexdigest()[:8]
 
     def envelope(self) -> Roi:
         x0, y0, x1, y1 = replace(self, buffer_m=0.0).bounds
         return replace(from_bbox((x0, y0, x1, y1)), buffer_m=self.buffer_m, mitre=True)
 
     def hull(self) -> Roi:
-        return replace(self, rings=(_hull([p for r in self.rings for p in r]),), mitre=True)
+        return replace(self, rings=(_hull([p for r in self.rings for p in r]),), mitre=True, parts=())
 
     def shaped(self, shape: str) -> Roi:
         if shape not in ("exact", "bbox", "envelope", "hull", "convex_hull"):
@@ -106,7 +119,12 @@ class Roi:
         if box and not self.buffer_m:
             x0, y0, x1, y1 = box
             return (lon > x0) & (lon < x1) & (lat > y0) & (lat < y1)
-        inside = ray_cast(lon, lat, self.rings) if sum(map(len, self.rings)) < EDGES else _ray_cast_udf(self.rings)(lon, lat)
+        few = sum(map(len, self.rings)) < EDGES
+        inside = F.lit(False)
+        for rings in self.shapes if few else ():
+            inside = inside | ray_cast(lon, lat, rings)
+        if not few:
+            inside = _ray_cast_udf(self.shapes)(lon, lat)
         return inside | _edge_within(lon, lat, self.rings, self.buffer_m) if self.buffer_m else inside
 
     def mask(self, cells: DataFrame) -> DataFrame:
@@ -138,7 +156,7 @@ class Roi:
         for r, c in tiles:
             x, y = grid.ORIGIN_X + c * side, grid.ORIGIN_Y - r * side
             crossed = any(max(p[0], q[0]) >= x and min(p[0], q[0]) <= x + side and max(p[1], q[1]) >= y - side and min(p[1], q[1]) <= y for ring in self.rings for p, q in _edges(ring))
-            if not crossed and point_inside(x + side / 2, y - side / 2, self.rings):
+            if not crossed and any(point_inside(x + side / 2, y - side / 2, rings) for rings in self.shapes):
                 out.append(r * 1000 + c)
         return out
 
@@ -170,6 +188,43 @@ def from_rings(rings, crs: int = 4326) -> Roi:
     return Roi(tuple(r[:-1] if r[0] == r[-1] else r for r in plain))
 
 
+def union(regions: list[Roi]) -> Roi:
+    """All that any of the regions holds; they are of rings and without a distance around them."""
+    if not regions or any(not r.rings or r.buffer_m for r in regions):
+        raise RoiError("a union is of one or more polygons")
+    if len(regions) == 1:
+        return regions[0]
+    return Roi(tuple(ring for r in regions for ring in r.rings), parts=tuple(len(rings) for r in regions for rings in r.shapes))
+
+
+def meets_box(region: Roi, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """Whether a region and a box have a point in common: a side passes the box, or one lies within the other.
+
+    A distance around the region widens the box, in degrees at its own latitude, by a little too much at its corners.
+    """
+    north = region.buffer_m / 110_000
+    east = F.lit(north) / F.greatest(F.cos(F.radians(F.greatest(F.abs(miny), F.abs(maxy)) + F.lit(north))), F.lit(0.01))
+    x0, y0, x1, y1 = minx - east, miny - F.lit(north), maxx + east, maxy + F.lit(north)
+    if not region.rings:
+        x, y = (F.lit(float(v)) for v in region.point)
+        return (x >= x0) & (x <= x1) & (y >= y0) & (y <= y1)
+    sides = F.array(*[F.struct(*[F.lit(float(v)).alias(k) for k, v in zip("abcd", (*p, *q), strict=True)]) for ring in region.rings for p, q in _edges(ring)])
+
+    def passes(e):  # the share of the side, from 0 to 1, that lies between the box's lines
+        def between(start, step, low, high):
+            at = lambda v: F.try_divide(v - start, step)
+            level = F.when((start >= low) & (start <= high), 0.0).otherwise(2.0)
+            return F.when(step == 0, level).otherwise(F.least(at(low), at(high))), F.when(step == 0, 1.0).otherwise(F.greatest(at(low), at(high)))
+
+        (a, b), (c, d) = between(e["a"], e["c"] - e["a"], x0, x1), between(e["b"], e["d"] - e["b"], y0, y1)
+        return F.greatest(a, c, F.lit(0.0)) <= F.least(b, d, F.lit(1.0))
+
+    inside = F.lit(False)
+    for rings in region.shapes:
+        inside = inside | ray_cast(minx, miny, rings)
+    return F.exists(sides, passes) | inside
+
+
 def _edges(ring):
     return zip(ring, (*ring[1:], ring[0]), strict=True)
 
@@ -211,16 +266,19 @@ def ray_cast(lon: Column, lat: Column, rings) -> Column:
     return terms[0] % 2 == 1
 
 
-def _ray_cast_udf(rings):
+def _ray_cast_udf(shapes):
     import numpy as np
 
-    edges = np.array([(*p, *q) for ring in rings for p, q in _edges(ring) if p[1] != q[1]])
+    sides = [np.array([(*p, *q) for ring in rings for p, q in _edges(ring) if p[1] != q[1]]) for rings in shapes]
 
     @F.pandas_udf("boolean")
     def inside(lon: pd.Series, lat: pd.Series) -> pd.Series:
         x, y, out = lon.to_numpy(), lat.to_numpy(), np.zeros(len(lon), dtype=bool)
-        for x0, y0, x1, y1 in edges:
-            out ^= ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
+        for edges in sides:
+            odd = np.zeros(len(lon), dtype=bool)
+            for x0, y0, x1, y1 in edges:
+                odd ^= ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
+            out |= odd
         return pd.Series(out)
 
     return inside

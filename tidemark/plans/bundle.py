@@ -82,6 +82,33 @@ def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     return tables.file_records(spark, path).where(~F.col("filename").startswith("_"))
 
 
+def seal(spark: SparkSession, path: str) -> dict:
+    """Puts size and checksum of each data file, by its path within the index, into the manifest."""
+    manifest = read_json(spark, f"{path}/manifest")
+    manifest["files"] = {r.name: {"size_bytes": r.size_bytes, "sha256": r.sha256} for r in _sealed(spark, path).toLocalIterator()}
+    write_json(spark, manifest, f"{path}/manifest")
+    return manifest
+
+
+def _sealed(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    within = F.element_at(F.split("path", f"/{path.rstrip('/').rsplit('/', 1)[-1]}/", 2), 2)
+    return files.select(within.alias("name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def validate_publication(spark: SparkSession, path: str, verify_checksums: bool = False) -> None:
+    """An error unless the manifest fits this engine and, if asked, each listed file is there with its checksum."""
+    manifest = read_json(spark, f"{path}/manifest")
+    validate_manifest(manifest)
+    if "files" not in manifest:
+        raise ManifestError("the manifest lists no files")
+    if verify_checksums:
+        listed = spark.createDataFrame([(k, v["sha256"]) for k, v in manifest["files"].items()], "name string, want string")
+        odd = listed.join(_sealed(spark, path), "name", "left").where("sha256 IS NULL OR sha256 <> want")
+        if bad := odd.select("name", F.col("sha256").isNull().alias("absent")).orderBy("name").first():
+            raise ManifestError(f"{bad.name} {'is missing' if bad.absent else 'has another checksum'}")
+
+
 def open_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """pixel_combo, dictionary and events of a checked index."""
     validate_manifest(read_json(spark, f"{path}/manifest"))

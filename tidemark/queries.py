@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import grid
 from tidemark.functions import text as T
 from tidemark.functions.projections import PLAIN, to_utm
-from tidemark.operators import catalog, depth, exposure, hazard, inventory, lake, recurrence, roi
-from tidemark.plans import bundle, scratch
+from tidemark.operators import catalog, depth, exposure, hazard, inventory, lake, recurrence, roi, shapes
+from tidemark.plans import bundle, download, location, scratch
 from tidemark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -404,12 +404,62 @@ def _(spark, sf):
     return recurrence.runs(_index(spark, sf)[0]).drop("run")
 
 
-@query("recurrence_regions")
+_LABELS = """combo_text AS (SELECT combo_id, count(*) AS count, list_sort(list_distinct(list(start_date))) AS d
+        FROM (SELECT combo_id, unnest(flood_ids) AS global_id FROM combos) JOIN flood_events USING (global_id) GROUP BY 1),
+    combo_label AS (SELECT combo_id, count, CASE WHEN len(d) = 1 THEN d[1] ELSE substr(d[1], 1, 4) || '-' || substr(d[-1], 1, 4) END AS "when",
+        array_to_string(d, '<br>') AS events FROM combo_text)"""
+
+
+def _regions(source: str = "pixel_combo") -> str:
+    """Runs with the label of their region: the least run that links lead to."""
+    return f"""{_WITH.replace("WITH", "WITH RECURSIVE", 1)}, islands AS (SELECT *, col - row_number() OVER (PARTITION BY "row", combo_id ORDER BY col) AS island FROM {source}),
+    pieces AS (SELECT CAST(min(col) AS BIGINT) * 4294967296 + "row" AS run, combo_id, "row", min(col) AS c0, max(col) AS c1, count(*) AS cells FROM islands GROUP BY combo_id, "row", island),
+    touch AS (SELECT a.run AS a, b.run AS b FROM pieces a JOIN pieces b ON a.combo_id = b.combo_id AND abs(a."row" - b."row") = 1 AND a.c0 <= b.c1 AND b.c0 <= a.c1),
+    reach(run, label) AS (SELECT run, run FROM pieces UNION SELECT b, label FROM reach JOIN touch ON run = a),
+    labelled AS (SELECT * FROM pieces JOIN (SELECT run, min(label) AS region FROM reach GROUP BY 1) USING (run)),
+    found AS (SELECT region, combo_id, CAST(sum(cells) AS BIGINT) AS cells, min("row") AS min_row, max("row") AS max_row, min(c0) AS min_col, max(c1) AS max_col FROM labelled GROUP BY 1, 2)"""
+
+
+@query("recurrence_regions", f"{_regions()}, {_LABELS} SELECT * FROM found JOIN combo_label USING (combo_id)")
 def _(spark, sf):
     index, combos = _index(spark, sf)
     return recurrence.recurrence_regions(index, combos, _flood_events(spark, sf))
 
 
+_OF_EVENT = _regions("(SELECT * FROM pixel_combo WHERE combo_id IN (SELECT combo_id FROM combos WHERE list_contains(flood_ids, 19963)))")
+
+
+@query("recurrence_regions_event", f"{_OF_EVENT}, {_LABELS} SELECT * REPLACE (CAST(1 AS BIGINT) AS count) FROM found JOIN combo_label USING (combo_id)")
+def _(spark, sf):
+    index, combos = _index(spark, sf)
+    return recurrence.recurrence_regions(index, combos, _flood_events(spark, sf), event_id=19963)
+
+
+@query("region_parts", f"""{_regions()}, stacked AS (SELECT *, "row" - row_number() OVER (PARTITION BY region, c0, c1 ORDER BY "row") AS pile FROM labelled)
+    SELECT region, combo_id, c0 AS min_col, c1 AS max_col, min("row") AS min_row, max("row") AS max_row FROM stacked GROUP BY region, combo_id, c0, c1, pile""")
+def _(spark, sf):
+    return shapes.region_parts(recurrence.labelled_runs(_index(spark, sf)[0]))
+
+
+@query("footprint_parts", f"""{_WITH}, wet AS (SELECT DISTINCT flood_id AS event_id, col, "row" FROM lake),
+    islands AS (SELECT *, col - row_number() OVER (PARTITION BY event_id, "row" ORDER BY col) AS island FROM wet),
+    strips AS (SELECT event_id, "row", min(col) AS min_col, max(col) AS max_col FROM islands GROUP BY event_id, "row", island),
+    stacked AS (SELECT *, "row" - row_number() OVER (PARTITION BY event_id, min_col, max_col ORDER BY "row") AS pile FROM strips)
+    SELECT event_id, min_col, max_col, min("row") AS min_row, max("row") AS max_row FROM stacked GROUP BY event_id, min_col, max_col, pile""")
+def _(spark, sf):
+    return shapes.footprint_parts(*_index(spark, sf))
+
+
+@query("event_ids", f"{_WITH} SELECT DISTINCT unnest(flood_ids) AS event_id FROM combos")
+def _(spark, sf):
+    return recurrence.ids_of(_index(spark, sf)[1])
+
+
+@query("combo_listing", f"{_WITH} SELECT combo_id, count(*) AS pixels FROM placed WHERE {_BOX} GROUP BY 1")
+def _(spark, sf):
+    return catalog.combo_listing(catalog.combo_counts(_index(spark, sf)[0], BOX))
+
+
 # Depth.
 
 _STATS = f"""count(*) FILTER (wet) AS n_pixels, round(coalesce(max(d) FILTER (wet), 0), 4) AS max_depth_m, round(coalesce(avg(d) FILTER (wet), 0), 4) AS mean_depth_m,
@@ -448,6 +498,23 @@ def _(spark, sf):
     return depth.summary(_depths(spark, sf), PIXEL_M2)
 
 
+@query("depth_median", f"""{_WITH}, each AS (SELECT flood_id, {_STATS} FROM (SELECT flood_id, value * 0.01::DOUBLE AS d, value > 0 AS wet FROM pixels) GROUP BY 1)
+    SELECT CAST(flood_id // 10 AS VARCHAR) AS year, count(*) AS events, round(median(p95_depth_m), 6) AS median_p95_depth_m FROM each GROUP BY 1""")
+def _(spark, sf):
+    each = depth.stats(_depths(spark, sf), PIXEL_M2).withColumn("year", F.floor(F.col("raster_id") / 10).cast("string"))
+    return catalog.median_by(each, "year", "p95_depth_m")
+
+
+_CROPS = f"""{_floods(_BOX, BOX)}, at AS (SELECT *, -46.8::DOUBLE + (col + 0.5::DOUBLE) * {grid.RESOLUTION!r}::DOUBLE AS lon, 85.1::DOUBLE - ("row" + 0.5::DOUBLE) * {grid.RESOLUTION!r}::DOUBLE AS lat FROM pixels),
+    crops AS (SELECT flood_id AS raster_id, col, "row", value, 'flood_' || date || '_id' || event_id || '_{BOX.key}.tif' AS crop, filename AS source, download_url
+              FROM at JOIN catalogue ON flood_id = event_id WHERE {_BOX} AND value <> 0 AND value <> -9999)"""
+
+
+@query("crop_historic", f"{_CROPS} SELECT * FROM crops".replace(", at AS", ", spots AS").replace("FROM at JOIN", "FROM spots JOIN"))
+def _(spark, sf):
+    return download.historic(_catalogue(spark, sf), _depths(spark, sf), BOX)
+
+
 @query("depth_hist", f"{_WITH} SELECT CAST(floor(value / 5.0) + 1 AS BIGINT) AS bin, count(*) AS pixels FROM pixels WHERE value >= 0 AND value < 50 GROUP BY 1")
 def _(spark, sf):
     return depth.histogram(_depths(spark, sf), 0, 50, 10)
@@ -496,6 +563,24 @@ def _(spark, sf):
     return hazard.gate(need, need.where("NOT (return_period = 100 AND tile_id = 'T4_1')"))
 
 
+@query("hazard_tiles", f"""{_WITH}, line AS (SELECT *, least(7.2::DOUBLE, maxx) AS r FROM tiles WHERE minx <= 7.2::DOUBLE AND maxx >= 6.12::DOUBLE AND miny <= 52.2::DOUBLE AND maxy >= 52.0::DOUBLE)
+    SELECT tile_id, name, minx, miny, maxx, maxy FROM line WHERE greatest(miny, 52.0::DOUBLE) <= 52.2::DOUBLE - 0.2::DOUBLE * (greatest(minx, 6.12::DOUBLE) - 6.12::DOUBLE) / 1.08::DOUBLE""")
+def _(spark, sf):
+    # The triangle is all below its long side, so a tile meets it where its lower left corner within the triangle's box does.
+    return hazard.touching(_tiles(spark), TRIANGLE)
+
+
+@query("raster_outcomes", f"""{_WITH}, read AS (SELECT flood_id, count(DISTINCT CAST(col AS BIGINT) * 1000000 + "row") AS n FROM pixels WHERE flood_id % 3 <> 1 GROUP BY 1)
+    SELECT d.flood_id, CASE WHEN d.flood_id % 5 = 2 THEN 'cached' WHEN n IS NULL THEN 'missing_file' WHEN year(d.seen) = 1995 THEN 'missing_crs' ELSE 'complete' END AS status,
+           CASE WHEN d.flood_id % 5 = 2 THEN 7 WHEN n IS NULL OR year(d.seen) = 1995 THEN 0 ELSE n END AS points
+    FROM (SELECT flood_id, min(seen) AS seen FROM pixels GROUP BY 1) d LEFT JOIN read USING (flood_id)""")
+def _(spark, sf):
+    rows = _pixels(spark, sf)
+    asked = rows.select("flood_id", (F.year("seen") != 1995).alias("has_crs")).distinct()
+    cached = asked.where("flood_id % 5 = 2").select("flood_id", F.lit(7).cast("long").alias("points"))
+    return lake.outcomes(asked, rows.where("flood_id % 3 <> 1"), cached)
+
+
 def _hazard_pixels(spark, sf) -> DataFrame:
     value = F.when(F.col("value") > 40, -9999.0).otherwise(F.col("value"))
     rows = _pixels(spark, sf).select(F.when(F.col("flood_id") % 2 == 0, 10).otherwise(100).alias("return_period"), F.col("flood_id").alias("source"), "col", "row", value.alias("value"))
@@ -694,7 +779,7 @@ def _(spark, sf):
     return exposure.area_by_region(_cells(spark, sf).select("col", "row"), units)
 
 
-_PLACES = f"places AS (SELECT DISTINCT l_partkey AS place, -46.8::DOUBLE + (63500 + l_partkey) * {grid.RESOLUTION!r}::DOUBLE AS plon, 85.1::DOUBLE - 39510 * {grid.RESOLUTION!r}::DOUBLE AS plat FROM lineitem WHERE l_partkey % 50 = 0)"
+_PLACES = f"places AS (SELECT DISTINCT l_partkey AS place, -46.8::DOUBLE + (63500 + l_partkey) * {grid.RESOLUTION!r}::DOUBLE AS plon, 85.1::DOUBLE - 39510 * {grid.RESOLUTION!r}::DOUBLE AS plat FROM lineitem)"
 
 
 @query("near_count", f"""{_WITH}, {_PLACES}, spots AS (SELECT DISTINCT flood_id, -46.8::DOUBLE + (col + 0.5::DOUBLE) * {grid.RESOLUTION!r}::DOUBLE AS lon, 85.1::DOUBLE - ("row" + 0.5::DOUBLE) * {grid.RESOLUTION!r}::DOUBLE AS lat FROM lake),
@@ -702,9 +787,8 @@ _PLACES = f"places AS (SELECT DISTINCT l_partkey AS place, -46.8::DOUBLE + (6350
               AND pow((lon - plon) * 111320.0::DOUBLE * cos(radians(plat)), 2) + pow((lat - plat) * 111320.0::DOUBLE, 2) <= 1000000 GROUP BY 1)
     SELECT place, coalesce(n, 0) AS n_events FROM places LEFT JOIN close USING (place)""")
 def _(spark, sf):
-    # Places stand at every fiftieth part: the table of places, not a share of the cells.
     lon = F.lit(grid.ORIGIN_X) + (F.lit(63500) + F.col("l_partkey")) * F.lit(grid.RESOLUTION)
-    places = _read(spark, sf, "lineitem").where("l_partkey % 50 = 0").select(F.col("l_partkey").alias("place"), lon.alias("lon"), F.lit(grid.ORIGIN_Y - 39510 * grid.RESOLUTION).alias("lat")).distinct()
+    places = _read(spark, sf, "lineitem").select(F.col("l_partkey").alias("place"), lon.alias("lon"), F.lit(grid.ORIGIN_Y - 39510 * grid.RESOLUTION).alias("lat")).distinct()
     return exposure.near_count(places, _lake(spark, sf).distinct(), 1000.0)
 
 
@@ -726,3 +810,78 @@ def _(spark, sf):
 @query("exceedance", f"{_WITH}, {_SEGMENTS} SELECT n_events AS threshold, round(sum(sum(length_km)) OVER (ORDER BY n_events DESC), 6) AS total FROM counted WHERE n_events > 0 GROUP BY 1")
 def _(spark, sf):
     return exposure.exceedance(exposure.segment_counts(_segments(spark, sf), _lake(spark, sf)))
+
+
+def _triangles(spark, sf) -> DataFrame:
+    """A triangle per nation; neighbours overlap."""
+    x = 6.12 + F.lit(0.04) * F.col("n_nationkey")
+    corner = lambda dx, y: F.struct((x + F.lit(dx)).alias("x"), F.lit(y).alias("y"))
+    return _read(spark, sf, "nation").select(F.col("n_name").alias("shape"), F.array(F.array(corner(0.0, 52.1801), corner(0.061, 52.1407), corner(0.013, 52.1013))).alias("rings"))
+
+
+_TRIANGLES = """corners AS (SELECT n_name AS shape, 6.12::DOUBLE + 0.04::DOUBLE * n_nationkey AS x FROM nation),
+    sides AS (SELECT shape, x AS x0, 52.1801::DOUBLE AS y0, x + 0.061::DOUBLE AS x1, 52.1407::DOUBLE AS y1 FROM corners
+              UNION ALL SELECT shape, x + 0.061::DOUBLE, 52.1407::DOUBLE, x + 0.013::DOUBLE, 52.1013::DOUBLE FROM corners
+              UNION ALL SELECT shape, x + 0.013::DOUBLE, 52.1013::DOUBLE, x, 52.1801::DOUBLE FROM corners),
+    held AS (SELECT shape, col, "row" FROM placed JOIN sides ON (y0 > lat) <> (y1 > lat) AND lon < (x1 - x0) * (lat - y0) / (y1 - y0) + x0
+             GROUP BY ALL HAVING count(*) % 2 = 1)"""
+
+
+@query("cells_in_polygons", f"{_WITH}, {_TRIANGLES} SELECT * FROM held")
+def _(spark, sf):
+    return shapes.cells_within(_index(spark, sf)[0].select("col", "row"), _triangles(spark, sf))
+
+
+@query("area_in_polygons", f"{_WITH}, {_TRIANGLES} SELECT shape, count(*) AS cells, round(sum({_KM2}), 6) AS area_km2 FROM held GROUP BY 1")
+def _(spark, sf):
+    return shapes.area_within(_index(spark, sf)[0], _triangles(spark, sf))
+
+
+@query("union_of_polygons", f"{_WITH}, {_TRIANGLES} SELECT DISTINCT col, \"row\" FROM held")
+def _(spark, sf):
+    return shapes.union_cells(_index(spark, sf)[0].select("col", "row"), _triangles(spark, sf))
+
+
+_STEP = f"{grid.RESOLUTION!r}::DOUBLE"
+
+
+@query("line_counts", f"""{_WITH}, ends AS (SELECT p_partkey AS shape, -46.8::DOUBLE + (63500.31::DOUBLE + p_partkey) * {_STEP} AS x0, 85.1::DOUBLE - 39500.17::DOUBLE * {_STEP} AS y0,
+        (7.3::DOUBLE + p_partkey % 11) * {_STEP} AS dx, -(23.7::DOUBLE + p_partkey % 5) * {_STEP} AS dy FROM part),
+    near AS (SELECT shape, flood_id, (-46.8::DOUBLE + col * {_STEP} - x0) / dx AS a, (-46.8::DOUBLE + (col + 1) * {_STEP} - x0) / dx AS b,
+                    (85.1::DOUBLE - "row" * {_STEP} - y0) / dy AS c, (85.1::DOUBLE - ("row" + 1) * {_STEP} - y0) / dy AS d
+             FROM ends JOIN (SELECT DISTINCT col, "row", flood_id FROM lake WHERE "row" < 39530) ON col - shape BETWEEN 63500 AND 63520),
+    hit AS (SELECT shape, count(DISTINCT flood_id) AS n FROM near WHERE greatest(a, c, 0) <= least(b, d, 1) GROUP BY 1)
+    SELECT shape, coalesce(n, 0) AS n_events FROM ends LEFT JOIN hit USING (shape)""")
+def _(spark, sf):
+    x = F.lit(grid.ORIGIN_X) + (F.lit(63500.31) + F.col("p_partkey")) * F.lit(grid.RESOLUTION)
+    y = F.lit(grid.ORIGIN_Y - 39500.17 * grid.RESOLUTION)
+    ends = _read(spark, sf, "part").select(
+        F.col("p_partkey").alias("shape"), x.alias("x0"), y.alias("y0"), (x + (F.lit(7.3) + F.col("p_partkey") % 11) * F.lit(grid.RESOLUTION)).alias("x1"),
+        (y - (F.lit(23.7) + F.col("p_partkey") % 5) * F.lit(grid.RESOLUTION)).alias("y1"),
+    )
+    return shapes.line_counts(ends, _lake(spark, sf)).select("shape", "n_events")
+
+
+def _boundaries(spark, sf) -> DataFrame:
+    """The regions below level 0 as overlapping boxes, level 0 without a shape of its own."""
+    rows = _nuts(spark, sf)
+    i = F.substring("NUTS_ID", 3, 1).try_cast("int")
+    west = F.lit(6.12) + F.lit(0.05) * (i - 1)
+    corner = lambda dx, y: F.struct((west + F.lit(dx)).alias("x"), F.lit(y).alias("y"))
+    ring = F.array(corner(0.0, 52.0), corner(0.07, 52.0), corner(0.07, 52.2), corner(0.0, 52.2))
+    return rows.withColumn("rings", F.when(i.isNotNull(), F.array(ring)))
+
+
+_TWO = "(lat > 52.0::DOUBLE AND lat < 52.2::DOUBLE AND ((lon > 6.12::DOUBLE AND lon < 6.19::DOUBLE) OR (lon > 6.17::DOUBLE AND lon < 6.24::DOUBLE)))"
+
+
+@query("floods_nuts", f"{_floods(_TWO, roi.from_bbox((6.12, 52.0, 6.24, 52.2)))} SELECT event_id, date, year FROM catalogue")
+def _(spark, sf):
+    return _catalogue(spark, sf, location.locate(spark, nuts=["NH1", "NH2"], boundaries=_boundaries(spark, sf))).select("event_id", "date", "year")
+
+
+@query("floods_region", f"{_floods(_TWO.replace('6.12', '0.0').replace('6.19', '0.0'), BOX)} SELECT event_id, date, year FROM catalogue")
+def _(spark, sf):
+    # A name with a changed letter, of 11 letters and a number: close enough to find NH2.
+    name = f"{_NAME} 2"
+    return _catalogue(spark, sf, location.locate(spark, region=name[:4] + "#" + name[5:], boundaries=_boundaries(spark, sf))).select("event_id", "date", "year")
