@@ -8,25 +8,59 @@ import sys
 from pyspark.sql import SparkSession
 
 from tidemark.functions.projections import CRSError
-from tidemark.operators import catalog, hazard, regions, roi
-from tidemark.plans import bundle
+from tidemark.operators import catalog, hazard, inventory, recurrence, regions, roi
+from tidemark.plans import bundle, location
 from tidemark.sources import tables
 
+BOUNDARIES = "NUTS_ID:string,LEVL_CODE:string,CNTR_CODE:string,NAME_LATN:string,NUTS_NAME:string"
 #: Exit codes by kind of error.
-CODES = ((roi.RoiError, 2), (CRSError, 2), (hazard.HazardError, 3), (bundle.IndexMissingError, 4), (bundle.ManifestError, 5))
+CODES = ((roi.RoiError, 2), (CRSError, 2), (regions.PlaceError, 2), (hazard.HazardError, 3), (bundle.IndexMissingError, 4), (bundle.ManifestError, 5))
 
 
-def _region(a) -> roi.Roi:
-    return roi.resolve(point=a.point, radius_m=a.radius, bbox=a.bbox, buffer_m=a.buffer, crs=a.crs, shape=a.shape)
+#: Rows that are shown without --out.
+SHOWN = 20
+
+
+def _region(spark, a) -> roi.Roi:
+    boundaries = regions.complete_columns(tables.read_features(spark, a.boundaries, BOUNDARIES)) if a.boundaries else None
+    return location.locate(
+        spark, region=a.region, nuts=a.nuts, vector_file=a.vector_file, point=a.point, bbox=a.bbox, radius_m=a.radius, level=a.level, boundaries=boundaries,
+        buffer_m=a.buffer, crs=a.crs, shape=a.shape,
+    )
 
 
 def _floods(spark, a):
     index, combos, events = bundle.open_index(spark, a.index)
-    return catalog.floods(index, combos, events, _region(a), a.year, a.start, a.end)
+    return catalog.floods(index, combos, events, _region(spark, a), a.year, a.start, a.end)
+
+
+def _footprints(spark, a):
+    index, combos, events = bundle.open_index(spark, a.index)
+    return recurrence.footprints(_region(spark, a).mask(index), combos, events)
+
+
+def _recurrence(spark, a):
+    index, combos, events = bundle.open_index(spark, a.index)
+    return recurrence.recurrence_regions(_region(spark, a).mask(index), combos, events, a.event)
 
 
 def _hazard(spark, a):
-    return hazard.catalogue(tables.read_tiles(spark, a.tiles), _region(a), a.return_period)
+    return hazard.catalogue(tables.read_tiles(spark, a.tiles), _region(spark, a), a.return_period)
+
+
+def _seal(spark, a):
+    files = bundle.seal(spark, a.index)["files"]
+    return spark.createDataFrame([(k, v["size_bytes"], v["sha256"]) for k, v in files.items()], "name string, size_bytes long, sha256 string")
+
+
+def _check(spark, a):
+    bundle.validate_publication(spark, a.index, verify_checksums=True)
+    return spark.createDataFrame([("valid",)], "manifest string")
+
+
+def _verify(spark, a):
+    ledger = spark.read.schema("filename string, size_bytes long, sha256 string").json(a.ledger)
+    return inventory.verify(tables.read_inventory(spark, a.inventory), tables.file_records(spark, a.files), ledger, a.deep)
 
 
 def _nuts(spark, a):
@@ -56,7 +90,12 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--point", type=float, nargs=2)
             c.add_argument("--radius", type=float)
             c.add_argument("--buffer", type=float, default=0.0)
-            c.add_argument("--crs", type=int, default=4326)
+            c.add_argument("--region", help="a place's name")
+            c.add_argument("--nuts", nargs="+", help="codes of statistical regions")
+            c.add_argument("--vector-file", help="GeoJSON polygons")
+            c.add_argument("--boundaries", help="GeoJSON that names and codes are looked up in")
+            c.add_argument("--level", type=int)
+            c.add_argument("--crs", type=int)
             c.add_argument("--shape", default="exact")
         return c
 
@@ -64,6 +103,17 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("--year", "--start", "--end"):
         c.add_argument(name)
     c.add_argument("--index", required=True)
+    command("footprints", _footprints, True).add_argument("--index", required=True)
+    c = command("recurrence", _recurrence, True)
+    c.add_argument("--index", required=True)
+    c.add_argument("--event", type=int)
+    command("seal", _seal).add_argument("--index", required=True)
+    command("check", _check).add_argument("--index", required=True)
+    c = command("verify", _verify)
+    c.add_argument("--inventory", required=True)
+    c.add_argument("--files", required=True)
+    c.add_argument("--ledger", required=True, help="JSON lines of filename, size_bytes and sha256")
+    c.add_argument("--deep", action="store_true", help="compare checksums too")
     c = command("hazard", _hazard, True)
     c.add_argument("--tiles", required=True)
     c.add_argument("--return-period", type=int)
@@ -84,7 +134,9 @@ def main(argv: list[str] | None = None) -> int:
         if a.out:
             tables.write_catalogue(found, a.out)
         else:
-            found.show(20, truncate=False)  # the first rows; --out writes all
+            found.show(SHOWN, truncate=False)  # the first rows; --out writes all
+            if (n := found.count()) > SHOWN:
+                print(f"and {n - SHOWN} more")
         return 0
     except tuple(k for k, _ in CODES) as e:
         print(e, file=sys.stderr)
