@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, html_text, jaccard_join, language_id, licenses, packing, quality, secrets, suffix_dedup
-from tidemark.llm.common import read
+from tidemark.llm import decontaminate, exact_dedup, html_text, jaccard_join, language_id, licenses, merkle, packing, quality, secrets, suffix_dedup
+from tidemark.llm.common import ascii_lower, read
 
 
 def tokenizer_files() -> dict:
@@ -104,6 +104,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(read(spark, sf_dir, "documents"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    found = merkle.leaves(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"text": ascii_lower(F.col("text"))}, tampered)
+    return merkle.manifest(found).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_licenses": op2_licenses,
@@ -115,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secrets": op10_secrets,
+    "op13_merkle": op13_merkle,
 }
 
 #: Words of a text as decontamination sees them, in DuckDB.
