@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, html_text, jaccard_join, language_id, licenses, merkle, packing, quality, secrets, suffix_dedup
+from tidemark.llm import centroids, decontaminate, exact_dedup, html_text, jaccard_join, language_id, licenses, merkle, packing, quality, secrets, suffix_dedup
 from tidemark.llm.common import ascii_lower, read
 
 
@@ -104,6 +104,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(read(spark, sf_dir, "documents"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeded = F.sha2(F.concat(F.lit("3:"), F.col("id").cast("string")), 256)
+    found = centroids.cluster(read(spark, sf_dir, "embeddings"), seeded, k=8, rounds=10, size=64, scale=1024)
+    digest = F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256")
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
@@ -122,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secrets": op10_secrets,
+    "op12_centroids": op12_centroids,
     "op13_merkle": op13_merkle,
 }
 
