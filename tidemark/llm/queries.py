@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import centroids, decontaminate, exact_dedup, html_text, jaccard_join, language_id, licenses, merkle, packing, quality, secrets, suffix_dedup
+from tidemark.llm import centroids, decontaminate, exact_dedup, html_text, jaccard_join, language_id, licenses, merkle, packing, quality, secrets, suffix_dedup, url_rules
 from tidemark.llm.common import ascii_lower, read
 
 
@@ -104,6 +104,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(read(spark, sf_dir, "documents"))
 
 
+#: The rules of op11 as verdict, host and path.
+URL_RULES = (
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
+)
+
+
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(read(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeded = F.sha2(F.concat(F.lit("3:"), F.col("id").cast("string")), 256)
     found = centroids.cluster(read(spark, sf_dir, "embeddings"), seeded, k=8, rounds=10, size=64, scale=1024)
@@ -129,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secrets": op10_secrets,
+    "op11_url_rules": op11_url_rules,
     "op12_centroids": op12_centroids,
     "op13_merkle": op13_merkle,
 }
