@@ -99,7 +99,8 @@ def test_packing_ids_on_the_supplied_documents():
     some += ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(0xA0, 0x2000), r.randrange(0x1F300, 0x1F700), 10, 0x3000])) for _ in range(80)) for _ in range(300)]
     tokenizer = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
     files = Q.tokenizer_files()
-    encode = packing._encoder(files["ranks_path"], files["pattern"], tuple(files["special"].items()))
+    encode = packing._encoder(files["ranks_path"], files["pattern"], files["tokenizer_path"], tuple(files["special"].items()))
+    some += [f"a{c * 1_000_000}b" for c in " \na!"] + [f"a{c * 19_999}" for c in " \n\t1漢"] + ["a" + " \n" * 600_000 + "b<|endoftext|>", "a" + "\n" * 5_000_000, "a" + " " * 5_000_000]
     for t in some:
         assert encode(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 

@@ -9,6 +9,8 @@ tokens, fewer than a sequence, go into sequences of power-of-two lengths, so tha
 
 Token ids are those of the byte-level BPE vocabulary in the given rank file; special strings in a text become
 their special ids, as the tokenizers library does with the same vocabulary. Each document ends with END_ID.
+A text with more than BLANKS white-space characters in a row, on which the rank file's encoder runs out of stack, is
+encoded by the tokenizers library and its file of the same vocabulary, which is slower and gives the same ids.
 
 Cases: a null or empty text is the end id alone; rows with one doc_id are packed one by one; a null doc_id stays null;
 an empty table gives no rows; other columns are not looked at.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +33,7 @@ SEQUENCE = 2048
 END_ID = 1
 BLOCK_TOKENS = 1 << 21
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
+BLANKS = 20_000
 
 _SCHEMA = "id long, start long, length long, token_bytes binary, doc_tokens long, sequence_id long, offset long"
 
@@ -38,6 +42,7 @@ def pack(
     docs: DataFrame,
     ranks_path: str,
     pattern: str,
+    tokenizer_path: str,
     special: dict[str, int] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -54,7 +59,7 @@ def pack(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = _encoder(ranks_path, pattern, tuple(sorted((special or {}).items())))
+        encode = _encoder(ranks_path, pattern, tokenizer_path, tuple(sorted((special or {}).items())))
         end, first = np.array([end_id], dtype="<u4"), TaskContext.get().partitionId() << 32
         held, size = [], 0
 
@@ -146,15 +151,22 @@ def pack_block(sizes: list[int], length: int, linear: float, quadratic: float) -
 
 
 @lru_cache(maxsize=2)
-def _encoder(ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...]):
+def _encoder(ranks_path: str, pattern: str, tokenizer_path: str, special: tuple[tuple[str, int], ...]):
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
     strings = [s for s, _ in special]
+    blank = re.compile(rf"\s{{{BLANKS}}}")
+    slow = []  # read when it is needed
 
     def encode(text: str) -> np.ndarray:
+        if len(text) > BLANKS and blank.search(text):
+            from tokenizers import Tokenizer
+
+            slow or slow.append(Tokenizer.from_file(tokenizer_path))
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
         ids = encoding.encode(text, allowed_special="all") if any(s in text for s in strings) else encoding.encode_ordinary(text)
         return np.array(ids, dtype="<u4")
 

@@ -18,6 +18,7 @@ def tokenizer_files() -> dict:
     return {
         "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"),
         "pattern": public_tokenizers.PATTERN,
+        "tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"),
         "special": {"<|endoftext|>": 50256},
     }
 
