@@ -622,3 +622,20 @@ def test_packing_looks_at_all_sequences():
                 want.append((d, start, piece, k))
                 room[k], cost[k], start, n = room[k] - piece, cost[k] + piece + 0.01 * piece * piece, start + piece, n - piece
         assert [x[:4] for x in rows] == want
+
+
+@pytest.mark.parametrize("page", ["<svg> x " * 20_000, "<svg> x </svg>" + "<object><select> x " * 20_000, "<div>" * 20_000 + "x", "<div>" * 20_000 + "<li>x" * 20_000, "<div>" * 20_000 + "</p>x" * 20_000])
+def test_html_of_odd_pages_takes_time_in_proportion(page):
+    import time
+
+    start = time.perf_counter()
+    found = html_text.blocks(page, html_text.Paths())
+    assert time.perf_counter() - start < 10  # the plain ways take minutes
+    assert sum(t.count("x") for _, t, _ in found) >= 1
+
+
+def test_html_open_and_closed_elements():
+    told = lambda page: [t for _, t, _ in html_text.blocks(page, html_text.Paths())]
+    assert told("<p>a <svg><p>gone</svg > b <SVG> c <svg/> d") == ["a b c d"]
+    assert told('<p>a <select id="x>y"> b') == ["a b"]
+    assert told("<ul><li>a<li>b<ul><li>c</ul>d</ul><table><tr><td>e<td>f<tr><td>g</table>") == ["a", "b", "c", "d", "e", "f", "g"]

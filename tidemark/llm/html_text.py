@@ -52,15 +52,20 @@ WORDS = {
 _GROUP = {w: g for g, words in WORDS.items() for w in words.split()}
 
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<({DROPPED})(?=[\s/>])[^>]*(?<!/)>.*?</\2\s*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[/!?a-zA-Z][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<({DROPPED})(?=[\s/>])[^>]*(?<!/)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[/!?a-zA-Z][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
+_WHOLE = re.compile(r"<[a-zA-Z]+((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>")
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in DROPPED.split("|")}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)?")
 
 
 class Paths:
-    """Paths of open elements, numbered as they come, with the names of their features."""
+    """Paths of open elements, numbered as they come, with the names of their features.
+
+    A path holds what its features need of the one above it, so that a deep page costs no more than a flat one.
+    """
 
     def __init__(self):
         self.clear()
@@ -68,16 +73,20 @@ class Paths:
     def clear(self):
         self.child: dict = {}
         self.features: list[list[str]] = [[]]
-        self.own: list[tuple] = [()]
+        self.own: list[tuple] = [(frozenset(), frozenset(), "none", "none", False)]  # tags and groups around, nearest section and group, hidden
 
     def below(self, parent: int, tag: str, attributes: str) -> int:
         found = self.child.get((parent, tag, attributes))
         if found is None:
-            groups = frozenset(_groups(attributes)) if "=" in attributes else frozenset()
-            hidden = bool(attributes) and bool(re.search(r"display\s*:\s*none|\bhidden\b|aria-hidden\s*=\s*.true", attributes, re.IGNORECASE))
+            own = frozenset(_groups(attributes)) if "=" in attributes else frozenset()
+            tags, groups, near, inner, hidden = self.own[parent]
+            hidden = hidden or (bool(attributes) and bool(re.search(r"display\s*:\s*none|\bhidden\b|aria-hidden\s*=\s*.true", attributes, re.IGNORECASE)))
+            tags, groups = tags | ({tag} & _AROUND), groups | own
+            near, inner = tag if tag in _SECTION else near, min(own) if own else inner
             found = self.child[parent, tag, attributes] = len(self.own)
-            self.own.append((*self.own[parent], (tag, groups, hidden)))
-            self.features.append(_path_features(self.own[-1]))
+            self.own.append((tags, groups, near, inner, hidden))
+            names = [f"in:{t}" for t in sorted(tags)] + [f"class:{g}" for g in sorted(groups)]
+            self.features.append(names + [f"tag:{tag}", f"near:{near}", f"inner:{inner}"] + ["hidden"] * hidden)
         return found
 
 
@@ -90,22 +99,38 @@ def _groups(attributes: str):
 
 
 _SECTION = {"article", "main", "nav", "header", "footer", "aside", "form", "section", "figure", "table", "body", "dialog"}
+_AROUND = _SECTION | {"ul", "ol", "blockquote", "pre", "button", "label", "details"}
+
 
+class Open:
+    """The open elements, with the places of each name, so that none is looked for from the top."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.numbers = [0]
+        self.places: dict[str, list[int]] = {}
 
-def _path_features(path: tuple) -> list[str]:
-    tags = {t for t, _, _ in path}
-    out = [f"in:{t}" for t in sorted(tags & (_SECTION | {"ul", "ol", "blockquote", "pre", "button", "label", "details"}))]
-    out += [f"class:{g}" for g in sorted({g for _, gs, _ in path for g in gs})]
-    near = next((t for t, _, _ in reversed(path) if t in _SECTION), "none")
-    inner = next((sorted(gs)[0] for _, gs, _ in reversed(path) if gs), "none")
-    out += [f"tag:{path[-1][0]}", f"near:{near}", f"inner:{inner}"]
-    return out + ["hidden"] * any(h for _, _, h in path)
+    def push(self, tag: str, number: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+        self.numbers.append(number)
+
+    def cut(self, place: int) -> None:
+        """Closes all elements from this place on."""
+        while len(self.tags) > place:
+            self.places[self.tags.pop()].pop()
+            self.numbers.pop()
+
+    def last(self, names) -> int:
+        return max((found[-1] for name in names if (found := self.places.get(name))), default=-1)
 
 
 def blocks(page: str | None, paths: Paths):
     """(path number, text, share of link text) of the page's leaf blocks, in order."""
     page, at, out = page or "", 0, []
-    stack, numbers, held, size, linked, links = [], [0], [], 0, 0, 0
+    stack, held, size, linked, links = Open(), [], 0, 0, 0
+    low = page.lower() if len(page.lower()) == len(page) else page
+    ends = {name: low.rfind(f"</{name}") for name in _ENDS if f"<{name}" in low}  # where the last end tag can be
 
     def end():
         nonlocal held, size, linked
@@ -113,16 +138,27 @@ def blocks(page: str | None, paths: Paths):
             raw = "".join(held)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append((numbers[-1], text, linked / max(size, 1)))
+                out.append((stack.numbers[-1], text, linked / max(size, 1)))
             held, size, linked = [], 0, 0
 
-    for m in _TAG.finditer(page):
+    start = 0
+    while m := _TAG.search(page, start):
         if m.start() > at:
             piece = page[at : m.start()]
             held.append(piece)
             size += len(piece)
             linked += len(piece) if links else 0
-        at = m.end()
+        at = start = m.end()
+        if m[2]:
+            name = m[2].lower()
+            close = _ENDS[name].search(page, at, len(page)) if ends.get(name, -1) >= at else None
+            if close:
+                at = start = close.end()
+            else:  # left open: a tag like any other
+                ends[name] = -1
+                whole = _WHOLE.match(page, m.start())
+                at = start = max(at, whole.end() if whole else at)
+            continue
         tag = m[4]
         if not tag:
             continue
@@ -134,24 +170,18 @@ def blocks(page: str | None, paths: Paths):
             continue
         end()
         if m[3]:
-            if tag in stack:
-                while stack.pop() != tag:
-                    numbers.pop()
-                numbers.pop()
+            if (place := stack.last((tag,))) >= 0:
+                stack.cut(place)
             links = 0
             continue
         if tag in VOID:
             continue
-        if stack and stack[-1] == "p" and tag != "br":
-            stack.pop()
-            numbers.pop()
+        if stack.tags and stack.tags[-1] == "p" and tag != "br":
+            stack.cut(len(stack.tags) - 1)
         for same, around in GROUPS_OF_ROWS:
-            if tag in same:
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i] in same or stack[i] in around), -1)
-                if k >= 0 and stack[k] in same:
-                    del stack[k:], numbers[k + 1 :]
-        stack.append(tag)
-        numbers.append(paths.below(numbers[-1], tag, m[5].strip()))
+            if tag in same and (place := stack.last(same)) >= 0 and place > stack.last(around - same):
+                stack.cut(place)
+        stack.push(tag, paths.below(stack.numbers[-1], tag, m[5].strip()))
     if at < len(page):
         piece = page[at:]
         held.append(piece)
