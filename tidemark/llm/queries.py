@@ -74,7 +74,7 @@ def _crc_part(parts: int) -> Column:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     rules = quality.fit(docs, labels, learn=_crc_part(5) != 0)
-    scored = quality.score(docs.withColumnRenamed("doc_id", "id"), rules, "id")
+    scored = quality.score(docs.select(F.col("doc_id").alias("id"), "text"), rules, "id")
     return scored.select(
         F.col("id").alias("doc_id"), (_crc_part(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
