@@ -86,7 +86,7 @@ def language_model(docs: DataFrame) -> language_id.Model | None:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    found = language_id.predict(docs.withColumnRenamed("doc_id", "id"), language_model(docs), "id")
+    found = language_id.predict(docs.select(F.col("doc_id").alias("id"), "text"), language_model(docs), "id")
     return found.select(F.col("id").alias("doc_id"), (_crc_part(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
