@@ -409,6 +409,7 @@ def test_exact_dedup(docs, none):
         groups.setdefault(lower(t), []).append(d)
     want = sorted((d, max(g := groups[lower(t)]), len(g), d == max(g), hashlib.sha256(lower(t).encode()).hexdigest()) for d, t in rows)
     assert sorted(map(tuple, exact_dedup.copy_groups(docs).collect())) == want
+    assert sorted(map(tuple, exact_dedup.copy_groups(docs, heavy=1, salts=3).collect())) == want  # every repeated digest salted
     kept = exact_dedup.deduplicate(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(w[0] for w in want if w[3])
     assert exact_dedup.copy_groups(none).count() == 0
@@ -422,6 +423,7 @@ def test_exact_dedup_compares_texts_of_one_digest(docs, monkeypatch):
     for d, t in pairs(docs):
         groups.setdefault(lower(t), []).append(d)
     found = exact_dedup.copy_groups(docs).select("doc_id", "keep_id", "group_size").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, exact_dedup.copy_groups(docs, heavy=1).select("doc_id", "keep_id", "group_size").collect()))
     assert sorted(map(tuple, found)) == sorted((d, max(groups[lower(t)]), len(groups[lower(t)])) for d, t in pairs(docs))
 
 

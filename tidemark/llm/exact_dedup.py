@@ -1,14 +1,15 @@
 """Exact duplicates of whole texts by skew-safe combining, with DataFrame functions only.
 
 Texts are equal when identical after lower-casing A-Z. A first pass over the texts writes (id, SHA-256) and counts the
-digests; only documents whose digest occurs again can have a copy, and only their texts go on. These are combined in
-three stages, each of which compares the full text beside the digest: copies within a task (the partial side of the
-first aggregate), copies within one salt of a digest (its final side), and the winners of all salts (the second
-aggregate). A digest that a third of all rows share so never meets in one task before it has been reduced to one row
-per task and then one row per salt; the join that picks the documents out is salted in the same way.
+digests. The texts are then combined in three stages, each of which compares the full text beside the digest: copies
+within a task, before anything is shuffled (the partial side of the first aggregate, in the scan's tasks), the survivors of
+all tasks within one salt of a digest (its final side), and the winners of a digest's salts (the second aggregate). The
+salt of a digest with more than HEAVY rows is the task's number, so such a digest leaves a task as one row and meets in
+as many tasks as there are salts; all other digests have a single salt and are whole after the first aggregate, so their
+texts travel once and end there.
 
 A document finds its group by the digest alone; only where two different texts had one digest (none is known for
-SHA-256) the text itself is joined as well. No texts travel for that lookup.
+SHA-256), which the rows of a digest and the size of its group tell, the text itself is joined as well.
 
 Cases: a null text counts as empty; empty texts are one group; repeated rows (same doc_id and text) are copies like
 any other, each with a row in the result, and all of them are kept where their doc_id is; a null doc_id loses against
@@ -18,40 +19,40 @@ one row of each group, also of rows repeated with their id and of null ids, and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, lasting, once, without
+from tidemark.llm.common import BROADCAST_BYTES, ascii_lower, lasting, look_up, once, without
 
 SALTS = 16
+#: Rows of a digest from which on it is salted, at least; at most one digest in so many rows is.
+HEAVY = 1000
 
 
-def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, heavy: int = HEAVY) -> DataFrame:
     """One row per document: id, keep_id (the largest id of its group), group_size, kept, text_sha256."""
     rows = _digested(docs, id_col, text_col)
     digests = lasting(rows.select("id", "sha"))
-    total = digests.count()
-    again = lasting(digests.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sha"), total)
-    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = (
-        rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-        .join(again.hint("merge"), ["sha", "salt"], "left_semi")  # one plan at all sizes: no table of digests in memory
-        .groupBy("sha", "salt", "norm")
-        .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    )
-    groups = lasting(
-        salted.groupBy("sha", "norm")
-        .agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-        .withColumn("variants", F.count(F.lit(1)).over(Window.partitionBy("sha")))
-        .withColumn("norm", F.when(F.col("variants") > 1, F.col("norm")))
-    )
-    found = digests.join(groups.where("variants = 1").drop("norm", "variants"), "sha", "left")
-    plain = found.select("id", "sha", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
-    clashing = groups.where("variants > 1")
+    again = lasting(digests.groupBy("sha").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    heavy = max(heavy, digests.count() * 80 // BROADCAST_BYTES)  # so that the hot digests, of 80 bytes, fit a broadcast
+    hot = F.broadcast(lasting(again.where(F.col("rows") > heavy).select("sha", F.lit(True).alias("hot"))))
+    salt = F.when(F.col("hot"), F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(-1)
+    combined = (
+        rows.join(hot, "sha", "left").withColumn("salt", salt).groupBy("sha", "salt", "norm")
+        .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("salt >= 0 OR n > 1")
+    )
+    combined = lasting(combined.withColumn("norm", F.when(F.col("salt") >= 0, F.col("norm"))))
+    whole = combined.where("salt < 0").select("sha", "keep_id", F.col("n").alias("group_size"))
+    salted = combined.where("salt >= 0").groupBy("sha", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size")).drop("norm")
+    groups = lasting(whole.unionByName(salted))
+    clashing = lasting(again.join(groups.groupBy("sha").agg(F.max("group_size").alias("largest")), "sha", "left").where("largest IS NULL OR largest <> rows").select("sha"))
+    plain = look_up(digests, groups, "sha", weight=F.lit(96))
     if not clashing.isEmpty():
-        plain = plain.join(clashing.select("sha"), "sha", "left_anti").unionByName(
-            rows.join(clashing, ["sha", "norm"]).select("id", "sha", "keep_id", "group_size")
-        )
+        apart = rows.join(clashing, "sha", "left_semi")
+        known = apart.groupBy("sha", "norm").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        whole = look_up(digests, groups.join(clashing, "sha", "left_anti"), "sha", weight=F.lit(96)).join(clashing, "sha", "left_anti")
+        plain = whole.unionByName(apart.join(known, ["sha", "norm"]).select("sha", "id", "keep_id", "group_size"))
+    plain = plain.select("id", "sha", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
     return plain.select(
         F.col("id").alias(id_col),
         "keep_id",
