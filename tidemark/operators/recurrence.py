@@ -63,15 +63,14 @@ def runs(index: DataFrame) -> DataFrame:
     return cut.select(grid.pack_cell(F.col("first"), F.col("row")).alias("run"), "combo_id", "row", "first", "last", "cells")
 
 
-def labelled_runs(index: DataFrame) -> DataFrame:
-    """The runs with the region (touching cells, by sides, of one combo) that each belongs to.
+def connected(pieces: DataFrame, by: list[str]) -> DataFrame:
+    """pieces (run: a number of their own, by, row, first, last; written already) with the region that each belongs to.
 
-    Runs of neighbouring rows are linked where they overlap; labels then sink to the least run of a region, by telling
+    Pieces of neighbouring rows are linked where they overlap; labels then sink to the least run of a region, by telling
     them to the runs that labels name and by pointer jumping, in about as many rounds as the logarithm of its size.
     """
-    pieces = lasting(runs(index))
-    below = pieces.select(F.col("run").alias("other"), "combo_id", (F.col("row") - 1).alias("row"), F.col("first").alias("f"), F.col("last").alias("l"))
-    links = pieces.join(below, ["combo_id", "row"]).where("first <= l AND f <= last").select("run", "other")
+    below = pieces.select(F.col("run").alias("other"), *by, (F.col("row") - 1).alias("row"), F.col("first").alias("f"), F.col("last").alias("l"))
+    links = pieces.join(below, [*by, "row"]).where("first <= l AND f <= last").select("run", "other")
     links = lasting(links.union(links.select("other", "run")))
     labels, before = pieces.select("run", F.col("run").alias("label")), links.limit(0)
     while True:
@@ -86,9 +85,15 @@ def labelled_runs(index: DataFrame) -> DataFrame:
         labels, before = done.select("run", "label"), done
         if done.where("before <> label").isEmpty():
             break
+    release(links)
     return pieces.join(labels.withColumnRenamed("label", "region"), "run")
 
 
+def labelled_runs(index: DataFrame) -> DataFrame:
+    """The runs with the region (touching cells, by sides, of one combo) that each belongs to; regions are named by their least run."""
+    return connected(lasting(runs(index)), ["combo_id"])
+
+
 def regions(index: DataFrame) -> DataFrame:
     """Regions of touching cells of one combo: (region, combo_id, cells, rows and columns they span)."""
     return labelled_runs(index).groupBy("region", "combo_id").agg(

@@ -87,15 +87,21 @@ def line_counts(lines: DataFrame, cells: DataFrame) -> DataFrame:
     return lines.join(counted, "shape", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
 
 
+def merged(strips: DataFrame, by: list[str]) -> DataFrame:
+    """Strips (by, row, first, last) with those of a row that overlap or adjoin made one."""
+    before = Window.partitionBy(*by, "row").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(*by, "row").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)
+    opened = strips.withColumn("reach", F.max("last").over(before)).withColumn("new", (F.col("reach").isNull() | (F.col("first") > F.col("reach") + 1)).cast("int"))
+    grouped = opened.withColumn("g", F.sum("new").over(so_far)).groupBy(*by, "row", "g")
+    return grouped.agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("g")
+
+
 def rectangles(strips: DataFrame, by: list[str]) -> DataFrame:
     """Strips (by, row, first, last) as the fewest rectangles of equal strips of neighbouring rows; together they are the polygon.
 
     Overlapping and adjoining strips of a row are one strip before.
     """
-    before = Window.partitionBy(*by, "row").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
-    so_far = Window.partitionBy(*by, "row").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)
-    opened = strips.withColumn("reach", F.max("last").over(before)).withColumn("new", (F.col("reach").isNull() | (F.col("first") > F.col("reach") + 1)).cast("int"))
-    whole = opened.withColumn("g", F.sum("new").over(so_far)).groupBy(*by, "row", "g").agg(F.min("first").alias("min_col"), F.max("last").alias("max_col"))
+    whole = merged(strips, by).select(*by, "row", F.col("first").alias("min_col"), F.col("last").alias("max_col"))
     place = F.col("row") - F.row_number().over(Window.partitionBy(*by, "min_col", "max_col").orderBy("row"))
     return whole.withColumn("island", place).groupBy(*by, "min_col", "max_col", "island").agg(F.min("row").alias("min_row"), F.max("row").alias("max_row")).drop("island")
 
@@ -110,15 +116,16 @@ def outline() -> Column:
     return F.array(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners]))
 
 
-def footprint_parts(index: DataFrame, combos: DataFrame) -> DataFrame:
-    """Each event's footprint as rectangles (event_id, min_col, max_col, min_row, max_row), dissolved over its combos.
-
-    Runs of cells of one combo are expanded to events, not cells. An event's parts stay rows: its polygon has no bound.
-    """
+def event_strips(index: DataFrame, combos: DataFrame) -> DataFrame:
+    """The strips (event_id, row, first, last) of each event's cells. Runs of cells of one combo are expanded to events, not cells."""
     from tidemark.operators.recurrence import runs
 
-    each = runs(index).join(combos, "combo_id").select(F.explode(F.array_distinct("flood_ids")).alias("event_id"), "row", "first", "last")
-    return rectangles(each, ["event_id"])
+    return runs(index).join(combos, "combo_id").select(F.explode(F.array_distinct("flood_ids")).alias("event_id"), "row", "first", "last")
+
+
+def footprint_parts(index: DataFrame, combos: DataFrame) -> DataFrame:
+    """Each event's footprint as rectangles (event_id, min_col, max_col, min_row, max_row), dissolved over its combos."""
+    return rectangles(event_strips(index, combos), ["event_id"])
 
 
 def region_parts(labelled_runs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import grid
 from tidemark.functions import text as T
 from tidemark.functions.projections import PLAIN, to_utm
-from tidemark.operators import catalog, depth, exposure, hazard, inventory, lake, recurrence, roi, shapes
+from tidemark.operators import catalog, depth, exposure, hazard, inventory, lake, outlines, recurrence, roi, shapes
 from tidemark.plans import bundle, download, location, scratch
 from tidemark.sources import tables
 
@@ -450,6 +450,48 @@ def _(spark, sf):
     return shapes.footprint_parts(*_index(spark, sf))
 
 
+def _outline_sql(key: str) -> str:
+    """Corners of labelled cells (key, region, col, row): the points whose four cells are one, three, or two that touch there alone."""
+    return f"""around AS (SELECT {key}, region, col + i AS x, "row" + j AS y, count(*) AS n, CAST(sum(CASE WHEN i = 1 THEN 1 ELSE 2 END * CASE WHEN j = 1 THEN 1 ELSE 4 END) AS INTEGER) AS code
+        FROM wet, range(2) a(i), range(2) b(j) GROUP BY {key}, region, col + i, "row" + j),
+    bends AS (SELECT *, n = 2 AND code IN (6, 9) AS touch FROM around WHERE n IN (1, 3) OR (n = 2 AND code IN (6, 9))),
+    drawn AS (SELECT {key}, region, CAST(1 - (count(*) FILTER (n = 1) - count(*) FILTER (n = 3) - 2 * count(*) FILTER (touch)) / 4 AS BIGINT) AS holes,
+                     CAST(count(*) + count(*) FILTER (touch) AS BIGINT) AS corners, list_sort(list(x || ':' || y)) AS marks FROM bends GROUP BY {key}, region)"""
+
+
+def _corner_digest(rings):
+    """Of the distinct corners of rings, as lines of the grid."""
+    line = lambda v: F.round(v * F.lit(1200.0)).cast("long").cast("string")
+    at = F.transform(F.flatten(rings), lambda p: F.concat(line(p["x"] - F.lit(grid.ORIGIN_X)), F.lit(":"), line(F.lit(grid.ORIGIN_Y) - p["y"])))
+    return F.sha2(F.array_join(F.array_sort(F.array_distinct(at)), ","), 256)
+
+
+@query("region_polygons", f"""{_regions()}, wet AS (SELECT combo_id, region, "row", unnest(range(c0, c1 + 1)) AS col FROM labelled), {_outline_sql("combo_id")},
+    size AS (SELECT region, CAST(count(*) AS BIGINT) AS cells FROM wet GROUP BY 1)
+    SELECT region, combo_id, holes, corners, cells, sha256(array_to_string(marks, ',')) AS corners_sha256 FROM drawn JOIN size USING (region)""")
+def _(spark, sf):
+    found = outlines.region_polygons(_index(spark, sf)[0])
+    return found.select("region", "combo_id", "holes", "corners", "cells", _corner_digest(F.col("rings")).alias("corners_sha256"))
+
+
+_EVENT_REGIONS = f"""{_WITH.replace("WITH", "WITH RECURSIVE", 1)}, single AS (SELECT DISTINCT flood_id AS event_id, col, "row" FROM lake),
+    islands AS (SELECT *, col - row_number() OVER (PARTITION BY event_id, "row" ORDER BY col) AS island FROM single),
+    pieces AS (SELECT row_number() OVER () AS run, event_id, "row", min(col) AS c0, max(col) AS c1 FROM islands GROUP BY event_id, "row", island),
+    touch AS (SELECT a.run AS a, b.run AS b FROM pieces a JOIN pieces b ON a.event_id = b.event_id AND abs(a."row" - b."row") = 1 AND a.c0 <= b.c1 AND b.c0 <= a.c1),
+    reach(run, label) AS (SELECT run, run FROM pieces UNION SELECT b, label FROM reach JOIN touch ON run = a),
+    labelled AS (SELECT * FROM pieces JOIN (SELECT run, min(label) AS region FROM reach GROUP BY 1) USING (run)),
+    wet AS (SELECT event_id, region, "row", unnest(range(c0, c1 + 1)) AS col FROM labelled)"""
+
+
+@query("footprint_polygons", f"""{_EVENT_REGIONS}, {_outline_sql("event_id")}, size AS (SELECT event_id, CAST(count(*) AS BIGINT) AS cells FROM wet GROUP BY 1),
+    spots AS (SELECT DISTINCT event_id, unnest(marks) AS p FROM drawn), digest AS (SELECT event_id, sha256(array_to_string(list_sort(list(p)), ',')) AS corners_sha256 FROM spots GROUP BY 1),
+    whole AS (SELECT event_id, count(*) AS parts, CAST(sum(holes) AS BIGINT) AS holes, CAST(sum(corners) AS BIGINT) AS corners FROM drawn GROUP BY 1)
+    SELECT event_id, parts, holes, corners, cells, corners_sha256 FROM whole JOIN size USING (event_id) JOIN digest USING (event_id)""")
+def _(spark, sf):
+    found = outlines.footprint_polygons(*_index(spark, sf))
+    return found.select("event_id", "parts", "holes", "corners", "cells", _corner_digest(F.flatten("polygons")).alias("corners_sha256"))
+
+
 @query("event_ids", f"{_WITH} SELECT DISTINCT unnest(flood_ids) AS event_id FROM combos")
 def _(spark, sf):
     return recurrence.ids_of(_index(spark, sf)[1])

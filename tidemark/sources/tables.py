@@ -143,7 +143,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 def write_catalogue(catalogue: DataFrame, path: str) -> None:
     """CSV, JSON lines, GeoJSON features (one a line) or Parquet by the path's ending; CSV goes without the geometry."""
-    flat = catalogue.drop("geometry")
+    flat = catalogue.drop("geometry", "polygons")
     if path.endswith(".csv"):
         flat.write.mode("overwrite").csv(path, header=True)
     elif path.endswith(".geojson"):
@@ -155,18 +155,22 @@ def write_catalogue(catalogue: DataFrame, path: str) -> None:
 
 
 def features(catalogue: DataFrame) -> DataFrame:
-    """One GeoJSON feature per row, as text. geometry, if there, holds rings as read_features gives them; else it is null."""
-    shape = F.lit("null")
-    if "geometry" in catalogue.columns:
-        rings = F.to_json(F.transform("geometry", lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"]))))
-        shape = F.coalesce(F.concat(F.lit('{"type":"Polygon","coordinates":'), rings, F.lit("}")), shape)
-    properties = F.to_json(F.struct(*[c for c in catalogue.columns if c != "geometry"]))
+    """One GeoJSON feature per row, as text. geometry, if there, holds rings as read_features gives them, polygons a list of
+    such; without either, or where it is null, the feature's geometry is null."""
+    shape, kept = F.lit("null"), [c for c in catalogue.columns if c not in ("geometry", "polygons")]
+    at = lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"]))
+    drawn = lambda kind, text: F.coalesce(F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), text, F.lit("}")), F.lit("null"))
+    if "polygons" in catalogue.columns:
+        shape = drawn("MultiPolygon", F.to_json(F.transform("polygons", lambda rings: F.transform(rings, at))))
+    elif "geometry" in catalogue.columns:
+        shape = drawn("Polygon", F.to_json(F.transform("geometry", at)))
+    properties = F.to_json(F.struct(*kept))
     return catalogue.select(F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":'), shape, F.lit("}")).alias("value"))
 
 
 def json_records(catalogue: DataFrame) -> DataFrame:
     """One JSON record per row, without the geometry."""
-    return catalogue.drop("geometry").select(F.to_json(F.struct("*")).alias("record"))
+    return catalogue.drop("geometry", "polygons").select(F.to_json(F.struct("*")).alias("record"))
 
 
 def file_records(spark: SparkSession, path: str) -> DataFrame:
