@@ -34,6 +34,16 @@ _ALPHA = (
     13 * _N**2 / 48 - 3 * _N**3 / 5,
     61 * _N**3 / 240,
 )
+_BETA = (
+    _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96,
+    _N**2 / 48 + _N**3 / 15,
+    17 * _N**3 / 480,
+)
+_DELTA = (
+    2 * _N - 2 * _N**2 / 3 - 2 * _N**3,
+    7 * _N**2 / 3 - 8 * _N**3 / 5,
+    56 * _N**3 / 15,
+)
 _SCALE, _EAST, _SOUTH = 0.9996, 500_000.0, 10_000_000.0
 _CONFORMAL = 2 * math.sqrt(_N) / (1 + _N)
 
@@ -43,17 +53,37 @@ def utm_zone(lon: float, lat: float) -> int:
     return (32600 if lat >= 0 else 32700) + min(max(int((lon + 180) // 6) + 1, 1), 60)
 
 
-def to_utm(lon, lat, epsg: int, m=COLUMNS):
-    """(easting, northing) in metres of a position in degrees."""
-    middle = (epsg % 100) * 6 - 183
-    s, away = m.sin(m.radians(lat)), m.radians(lon - m.lit(float(middle)))
+def transverse(lon, lat, middle, m=COLUMNS):
+    """(x, y) in metres of the ellipsoid's transverse Mercator projection around a meridian, unscaled; middle is a number or a Column."""
+    s, away = m.sin(m.radians(lat)), m.radians(lon - (m.lit(float(middle)) if isinstance(middle, int | float) else middle))
     t = m.sinh(m.atanh(s) - m.lit(_CONFORMAL) * m.atanh(m.lit(_CONFORMAL) * s))
     xi, eta = m.atan(t / m.cos(away)), m.atanh(m.sin(away) / m.sqrt(m.lit(1.0) + t * t))
     east, north = eta, xi
     for j, a in enumerate(_ALPHA, 1):
         east = east + m.lit(a) * m.cos(m.lit(2.0 * j) * xi) * m.sinh(m.lit(2.0 * j) * eta)
         north = north + m.lit(a) * m.sin(m.lit(2.0 * j) * xi) * m.cosh(m.lit(2.0 * j) * eta)
-    return m.lit(_EAST) + m.lit(_SCALE * _A) * east, m.lit(_SOUTH if epsg // 100 == 327 else 0.0) + m.lit(_SCALE * _A) * north
+    return m.lit(_A) * east, m.lit(_A) * north
+
+
+def untransverse(x, y, middle, m=COLUMNS):
+    """The position in degrees of a point of `transverse`, by the inverse series."""
+    xi, eta = y / m.lit(_A), x / m.lit(_A)
+    up, along = xi, eta
+    for j, b in enumerate(_BETA, 1):
+        up = up - m.lit(b) * m.sin(m.lit(2.0 * j) * xi) * m.cosh(m.lit(2.0 * j) * eta)
+        along = along - m.lit(b) * m.cos(m.lit(2.0 * j) * xi) * m.sinh(m.lit(2.0 * j) * eta)
+    chi = m.asin(m.sin(up) / m.cosh(along))
+    lat = chi
+    for j, d in enumerate(_DELTA, 1):
+        lat = lat + m.lit(d) * m.sin(m.lit(2.0 * j) * chi)
+    lon = m.degrees(m.atan2(m.sinh(along), m.cos(up)))
+    return lon + (m.lit(float(middle)) if isinstance(middle, int | float) else middle), m.degrees(lat)
+
+
+def to_utm(lon, lat, epsg: int, m=COLUMNS):
+    """(easting, northing) in metres of a position in degrees."""
+    east, north = transverse(lon, lat, (epsg % 100) * 6 - 183, m)
+    return m.lit(_EAST) + m.lit(_SCALE) * east, m.lit(_SOUTH if epsg // 100 == 327 else 0.0) + m.lit(_SCALE) * north
 
 
 def _q(lat, m):

@@ -36,7 +36,7 @@ def floods(
     Events without metadata are dropped. The area takes one cell area for all, that at the region's centroid.
     """
     events = period(events, year, start, end)
-    area = grid.flat_cell_area_km2(roi.centroid_lat)
+    area = grid.flat_cell_area_km2(roi.measured(index.sparkSession)[1])
     found = event_pixels(combo_counts(index, roi), combos).join(events, F.col("event_id") == F.col("global_id"))
     return found.select(
         F.lit("historic").alias("collection"), "event_id", F.col("start_date").alias("date"), "year", "end_date", "cluster_id", "filename", "download_url",

@@ -47,7 +47,7 @@ def catalogue(tiles: DataFrame, roi: Roi, periods: int | list[int] | None = None
     counted = needed_files(tiles, roi, periods).groupBy("return_period").agg(F.count(F.lit(1)).alias("n_tiles"))
     return counted.select(
         F.lit("hazard").alias("collection"), "return_period", F.lit(model_version).alias("model_version"), "n_tiles",
-        F.format_string(f"hazard_RP%d_{roi.key}.tif", F.col("return_period")).alias("filename"), F.lit(round(roi.area_km2, 3)).alias("area_km2"),
+        F.format_string(f"hazard_RP%d_{roi.key}.tif", F.col("return_period")).alias("filename"), F.lit(round(roi.measured(tiles.sparkSession)[0], 3)).alias("area_km2"),
     )
 
 

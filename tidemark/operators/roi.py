@@ -1,24 +1,35 @@
 """Regions of interest: resolved once on the driver, applied as predicates on cell centres.
 
-A predicate is a range on col and row, which prunes files and row groups, and the exact test behind it.
+A predicate is a range on tiles, col and row, which prunes folders, files and row groups, and the exact test behind it: an expression for
+a box, a circle or a few sides, else a join with the intervals of longitude that the region, with the distance around it, holds
+of each row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from dataclasses import dataclass, replace
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import grid
-from tidemark.functions.projections import PLAIN, to_equal_area, to_utm, unproject, utm_zone
+from tidemark.functions import grid, planar
+from tidemark.functions.projections import PLAIN, CRSError, to_equal_area, to_utm, transverse, unproject, untransverse, utm_zone
+from tidemark.operators import shapes as overlay
+from tidemark.plans.scratch import lasting
 
 Ring = tuple[tuple[float, float], ...]
-#: From so many edges on, the exact test is a pandas UDF and no longer one expression.
-EDGES = 200
+#: From so many edges on, the exact test is a join with the region's intervals and no longer one expression.
+EDGES = 48
+#: Bytes of intervals that may be broadcast.
+BROADCAST_BYTES = 8_000_000
+#: Fixed value: sides that a box in a projected system is cut into, so that they stay its sides in degrees.
+BOX_SIDES = 64
+
+
+_SPANS: dict[tuple[str, Roi], DataFrame] = {}
 
 
 class RoiError(ValueError):
@@ -57,30 +68,43 @@ class Roi:
 
     @property
     def centroid_lat(self) -> float:
+        """The latitude of the centroid of all that the shapes hold, in plane degrees, without the distance around them."""
         if not self.rings:
             return self.point[1]
-        area = moment = 0.0
-        for ring in self.rings:
-            for (x0, y0), (x1, y1) in _edges(ring):
-                cross = x0 * y1 - x1 * y0
-                area, moment = area + cross, moment + (y0 + y1) * cross
-        return moment / (3 * area) if area else sum(p[1] for p in self.rings[0]) / len(self.rings[0])
+        area, moment = planar.measures(self.shapes)
+        return moment / area if area else sum(p[1] for p in self.rings[0]) / len(self.rings[0])
 
     @property
     def area_km2(self) -> float:
-        """Of the rings on the equal-area projection, or of the circle around a point."""
+        """Of all that the shapes hold, overlaps once, on the equal-area projection; or of the circle around a point."""
         if not self.rings:
             return math.pi * self.buffer_m**2 / 1e6
-        total = 0.0
-        for ring in self.rings:
-            flat = [to_equal_area(x, y, PLAIN) for x, y in ring]
-            total += sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in _edges(flat)) / 2
-        return abs(total) / 1e6
+        return planar.measures([tuple(tuple(to_equal_area(x, y, PLAIN) for x, y in ring) for ring in rings) for rings in self.shapes])[0] / 1e6
+
+    def measured(self, spark: SparkSession) -> tuple[float, float]:
+        """(area in km², latitude of the centroid) with the distance around the shapes: then by the intervals of the grid's rows."""
+        if not self.rings or not self.buffer_m:
+            return self.area_km2, self.centroid_lat
+        wide, row = F.col("east") - F.col("west"), F.col("row")
+        found = self.spans(spark).agg(F.sum(wide * grid.equal_area_km2(row) / grid.RESOLUTION).alias("km2"), (F.sum(wide * grid.center_lat(row)) / F.sum(wide)).alias("lat")).first()
+        return found.km2 or 0.0, found.lat if found.lat is not None else self.centroid_lat
+
+    def spans(self, spark: SparkSession) -> DataFrame:
+        """Disjoint intervals (shape, row, west, east) of the region, built once per application."""
+        made = spark.sparkContext.applicationId, self
+        if made not in _SPANS:
+            x0, _, x1, _ = planar.box(self.rings)
+            rows = [(k, [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings]) for k, rings in enumerate(self.shapes)]
+            table = spark.createDataFrame(rows, "shape int, rings array<array<struct<x:double,y:double>>>").repartition(spark.sparkContext.defaultParallelism)
+            found = overlay.buffered_spans(table, self.buffer_m, self.mitre, F.lit(_middle((x0 + x1) / 2))) if self.buffer_m else overlay.spans(table)
+            _SPANS[made] = lasting(overlay.union_spans(found.withColumn("shape", F.lit(0))))
+        return _SPANS[made]
 
     @property
     def key(self) -> str:
         """Eight hex digits that name the region."""
-        return hashlib.sha1(repr((self.rings, self.point, self.buffer_m, *([self.parts] if self.parts else []))).encode()).hexdigest()[:8]
+        more = ([self.parts] if self.parts else []) + (["mitre"] if self.mitre and self.buffer_m else [])
+        return hashlib.sha1(repr((self.rings, self.point, self.buffer_m, *more)).encode()).hexdigest()[:8]
 
     def envelope(self) -> Roi:
         x0, y0, x1, y1 = replace(self, buffer_m=0.0).bounds
@@ -119,17 +143,26 @@ class Roi:
         if box and not self.buffer_m:
             x0, y0, x1, y1 = box
             return (lon > x0) & (lon < x1) & (lat > y0) & (lat < y1)
-        few = sum(map(len, self.rings)) < EDGES
+        if self._many():
+            raise RoiError("a region of many sides, or with a distance around it, is no expression; use mask")
         inside = F.lit(False)
-        for rings in self.shapes if few else ():
+        for rings in self.shapes:
             inside = inside | ray_cast(lon, lat, rings)
-        if not few:
-            inside = _ray_cast_udf(self.shapes)(lon, lat)
-        return inside | _edge_within(lon, lat, self.rings, self.buffer_m) if self.buffer_m else inside
+        return inside
+
+    def _many(self) -> bool:
+        return bool(self.rings) and (bool(self.buffer_m) or sum(map(len, self.rings)) >= EDGES)
 
     def mask(self, cells: DataFrame) -> DataFrame:
         """Those of the cells (col, row, ...) that lie in the region. Tiles wholly inside are taken without the exact test."""
         near = cells.where(self.near(F.col("col"), F.col("row")))
+        if "tile_row" in cells.columns:  # the folders of an index
+            _, _, r0, r1 = self.cell_range()
+            near = near.where((F.col("tile_row") >= r0 // grid.TILE) & (F.col("tile_row") <= r1 // grid.TILE))
+        if self._many():
+            held = self.spans(cells.sparkSession)
+            small = held.count() * 40 <= BROADCAST_BYTES
+            return overlay.cells_in_spans(near, F.broadcast(held) if small else held).drop("shape")
         exact = self.contains(F.col("col"), F.col("row"))
         inner = self._inner_tiles()
         if not inner:
@@ -166,21 +199,53 @@ def resolve(*, point=None, radius_m: float | None = None, bbox=None, rings=None,
     if sum(x is not None for x in (point, bbox, rings)) != 1:
         raise RoiError("give exactly one of point, bbox and rings")
     if point is not None:
+        _check([point[1] if crs == 4326 else point[0]], [point[0] if crs == 4326 else point[1]], crs, "point", point)
         lon, lat = (point[1], point[0]) if crs == 4326 else unproject(*point, crs)
         if not (-180 <= lon <= 180 and -90 <= lat <= 90):
-            raise RoiError("the point is outside of the globe; is it (lat, lon)?")
+            raise CRSError(f"point={point!r} is outside of what EPSG:{crs} covers")
         if not radius_m:
             raise RoiError("a point needs radius_m")
-        return Roi(point=(lon, lat), buffer_m=radius_m + buffer_m)
-    roi = from_bbox(bbox, crs) if bbox is not None else from_rings(rings, crs)
+        if shape == "exact":
+            return Roi(point=(lon, lat), buffer_m=radius_m + buffer_m)
+        roi = from_rings([circle((lon, lat), radius_m)])
+    else:
+        roi = from_bbox(bbox, crs) if bbox is not None else from_rings(rings, crs)
     return roi.shaped(shape).buffered(buffer_m) if buffer_m else roi.shaped(shape)
 
 
+def circle(point: tuple[float, float], metres: float) -> Ring:
+    """A ring of corners that many metres around a point, 16 to a quarter."""
+    middle = _middle(point[0])
+    x, y = transverse(*point, middle, PLAIN)
+    turn = [math.pi / 32 * k for k in range(64)]
+    return tuple(untransverse(x + metres / 0.9996 * math.cos(a), y + metres / 0.9996 * math.sin(a), middle, PLAIN) for a in turn)
+
+
+def _middle(lon: float) -> float:
+    return math.floor((lon + 180) / 6) * 6.0 - 177.0
+
+
+def _check(xs, ys, crs: int, what: str, value) -> None:
+    """The two common slips: degrees out of range, and degrees given for a system in metres."""
+    if crs == 4326:
+        if any(abs(y) > 90 for y in ys) or any(abs(x) > 180 for x in xs):
+            order = "(lat, lon)" if what == "point" else "(minx, miny, maxx, maxy)"
+            raise CRSError(f"{what}={value!r} is outside of the globe; it is {order}, and coordinates of another system need crs=")
+    elif all(abs(v) <= 360 for v in (*xs, *ys)):
+        raise CRSError(f"{what}={value!r} looks like degrees, but EPSG:{crs} is in metres")
+
+
 def from_bbox(bbox, crs: int = 4326) -> Roi:
     x0, y0, x1, y1 = bbox
     if not (x0 < x1 and y0 < y1):
         raise RoiError("bbox is (minx, miny, maxx, maxy)")
-    return from_rings([[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]], crs)
+    _check([x0, x1], [y0, y1], crs, "bbox", tuple(bbox))
+    corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    if crs != 4326:  # its sides are curves in degrees
+        step = max(x1 - x0, y1 - y0) / BOX_SIDES
+        cut = lambda p, q: max(math.ceil(max(abs(q[0] - p[0]), abs(q[1] - p[1])) / step), 1)
+        corners = [(p[0] + (q[0] - p[0]) * i / n, p[1] + (q[1] - p[1]) * i / n) for p, q in _edges(corners) for n in [cut(p, q)] for i in range(n)]
+    return from_rings([corners], crs)
 
 
 def from_rings(rings, crs: int = 4326) -> Roi:
@@ -208,7 +273,9 @@ def meets_box(region: Roi, minx: Column, miny: Column, maxx: Column, maxy: Colum
     if not region.rings:
         x, y = (F.lit(float(v)) for v in region.point)
         return (x >= x0) & (x <= x1) & (y >= y0) & (y <= y1)
-    sides = F.array(*[F.struct(*[F.lit(float(v)).alias(k) for k, v in zip("abcd", (*p, *q), strict=True)]) for ring in region.rings for p, q in _edges(ring)])
+    # One constant, however many sides: (a, b) to (c, d), and the shape it is of.
+    listed = [{"a": p[0], "b": p[1], "c": q[0], "d": q[1], "s": k} for k, rings in enumerate(region.shapes) for ring in rings for p, q in _edges(ring)]
+    sides = F.from_json(F.lit(json.dumps(listed)), "array<struct<a:double,b:double,c:double,d:double,s:int>>")
 
     def passes(e):  # the share of the side, from 0 to 1, that lies between the box's lines
         def between(start, step, low, high):
@@ -219,9 +286,8 @@ def meets_box(region: Roi, minx: Column, miny: Column, maxx: Column, maxy: Colum
         (a, b), (c, d) = between(e["a"], e["c"] - e["a"], x0, x1), between(e["b"], e["d"] - e["b"], y0, y1)
         return F.greatest(a, c, F.lit(0.0)) <= F.least(b, d, F.lit(1.0))
 
-    inside = F.lit(False)
-    for rings in region.shapes:
-        inside = inside | ray_cast(minx, miny, rings)
+    crossed = F.transform(F.filter(sides, lambda e: ((e["b"] > miny) != (e["d"] > miny)) & (minx < (e["c"] - e["a"]) * (miny - e["b"]) / (e["d"] - e["b"]) + e["a"])), lambda e: e["s"])
+    inside = F.exists(F.array_distinct(crossed), lambda k: F.size(F.filter(crossed, lambda c: c == k)) % 2 == 1)
     return F.exists(sides, passes) | inside
 
 
@@ -266,40 +332,8 @@ def ray_cast(lon: Column, lat: Column, rings) -> Column:
     return terms[0] % 2 == 1
 
 
-def _ray_cast_udf(shapes):
-    import numpy as np
-
-    sides = [np.array([(*p, *q) for ring in rings for p, q in _edges(ring) if p[1] != q[1]]) for rings in shapes]
-
-    @F.pandas_udf("boolean")
-    def inside(lon: pd.Series, lat: pd.Series) -> pd.Series:
-        x, y, out = lon.to_numpy(), lat.to_numpy(), np.zeros(len(lon), dtype=bool)
-        for edges in sides:
-            odd = np.zeros(len(lon), dtype=bool)
-            for x0, y0, x1, y1 in edges:
-                odd ^= ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
-            out |= odd
-        return pd.Series(out)
-
-    return inside
-
-
 def _within_metres(lon: Column, lat: Column, point: tuple[float, float], metres: float) -> Column:
     zone = utm_zone(*point)
     (x, y), (px, py) = to_utm(lon, lat, zone), to_utm(*point, zone, PLAIN)
     dx, dy = x - F.lit(px), y - F.lit(py)
     return dx * dx + dy * dy <= F.lit(float(metres) ** 2)
-
-
-def _edge_within(lon: Column, lat: Column, rings, metres: float) -> Column:
-    zone = utm_zone(*rings[0][0])
-    x, y = to_utm(lon, lat, zone)
-    out = F.lit(False)
-    for ring in rings:
-        flat = [to_utm(*p, zone, PLAIN) for p in ring]
-        for (x0, y0), (x1, y1) in _edges(flat):
-            dx, dy = x1 - x0, y1 - y0
-            t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x0) * dx + (y - y0) * dy) / F.lit(max(dx * dx + dy * dy, 1e-12))))
-            ex, ey = x - (F.lit(x0) + t * dx), y - (F.lit(y0) + t * dy)
-            out = out | (ex * ex + ey * ey <= F.lit(float(metres) ** 2))
-    return out

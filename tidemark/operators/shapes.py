@@ -6,18 +6,25 @@ it: no test of every cell against every edge, and no geometry is gathered.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import grid
+from tidemark.functions.projections import transverse, untransverse
+
 
+#: Degrees between corners before a distance is laid around a line, sides of a quarter circle, and how far, in distances, a sharp corner goes.
+DENSE, QUADRANT, MITRE = 0.02, 16, 5.0
 
-def edges(shapes: DataFrame) -> DataFrame:
-    """The sides (shape, x0, y0, x1, y1) of shapes (shape, rings: arrays of (x, y)), rings closed. Null and empty rings have none."""
-    ring = shapes.select("shape", F.explode("rings").alias("ring")).where("size(ring) > 0")
+
+def edges(shapes: DataFrame, *kept: str) -> DataFrame:
+    """The sides (shape, kept, x0, y0, x1, y1) of shapes (shape, rings: arrays of (x, y)), rings closed. Null and empty rings have none."""
+    ring = shapes.select("shape", *kept, F.explode("rings").alias("ring")).where("size(ring) > 0")
     ends = F.arrays_zip(F.col("ring").alias("p"), F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1)).alias("q"))
-    side = ring.select("shape", F.explode(ends).alias("e"))
-    return side.select("shape", F.col("e.p.x").alias("x0"), F.col("e.p.y").alias("y0"), F.col("e.q.x").alias("x1"), F.col("e.q.y").alias("y1"))
+    side = ring.select("shape", *kept, F.explode(ends).alias("e"))
+    return side.select("shape", *kept, F.col("e.p.x").alias("x0"), F.col("e.p.y").alias("y0"), F.col("e.q.x").alias("x1"), F.col("e.q.y").alias("y1"))
 
 
 def _rows_between(south: Column, north: Column) -> Column:
@@ -42,14 +49,119 @@ def spans(shapes: DataFrame) -> DataFrame:
     return crossed.withColumn("k", pair).select("shape", "row", F.get("x", F.col("k") * 2).alias("west"), F.get("x", F.col("k") * 2 + 1).alias("east"))
 
 
+def union_spans(spans: DataFrame) -> DataFrame:
+    """Intervals (shape, row, west, east) of each shape with those that overlap made one."""
+    row = Window.partitionBy("shape", "row").orderBy("west", "east")
+    opened = spans.withColumn("reach", F.max("east").over(row.rowsBetween(Window.unboundedPreceding, -1)))
+    opened = opened.withColumn("new", (F.col("reach").isNull() | (F.col("west") > F.col("reach"))).cast("int"))
+    grouped = opened.withColumn("g", F.sum("new").over(row.rowsBetween(Window.unboundedPreceding, 0))).groupBy("shape", "row", "g")
+    return grouped.agg(F.min("west").alias("west"), F.max("east").alias("east")).drop("g")
+
+
+def middle(rings: Column) -> Column:
+    """The middle meridian of the UTM zone around the middle of a shape's longitudes."""
+    x = F.transform(F.flatten(rings), lambda p: p["x"])
+    return F.floor(((F.array_min(x) + F.array_max(x)) / 2 + 180) / 6) * 6.0 - 177.0
+
+
+def _dense(shapes: DataFrame, meridian: Column | None = None) -> DataFrame:
+    """Sides (shape, ring, k, middle, turn, px, py, qx, qy) in metres, of at most DENSE degrees each; turn is positive for a ring that runs counterclockwise."""
+    cross = lambda ring: F.aggregate(F.sequence(F.lit(1), F.size(ring)), F.lit(0.0), lambda a, i: a + _cross(ring, i))
+    ringed = shapes.where("size(rings) > 0").select("shape", (middle(F.col("rings")) if meridian is None else meridian).alias("middle"), F.posexplode("rings").alias("ring", "at")).where("size(at) > 0")
+    single = ringed.select("shape", "middle", "ring", cross(F.col("at")).alias("turn"), F.posexplode("at").alias("k", "p"), "at")
+    nxt = F.get("at", (F.col("k") + 1) % F.size("at"))
+    side = single.select("shape", "middle", "ring", "turn", "k", F.col("p.x").alias("x0"), F.col("p.y").alias("y0"), nxt["x"].alias("x1"), nxt["y"].alias("y1"))
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    parts = F.greatest(F.ceil(F.sqrt(dx * dx + dy * dy) / DENSE), F.lit(1)).cast("int")
+    cut = side.withColumn("n", parts).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at = lambda i: (F.col("x0") + dx * i / F.col("n"), F.col("y0") + dy * i / F.col("n"))
+    (ax, ay), (bx, by) = at(F.col("i")), at(F.col("i") + 1)
+    cut = cut.select("shape", "middle", "ring", "turn", "k", "i", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
+    (px, py), (qx, qy) = (transverse(F.col(x), F.col(y), F.col("middle")) for x, y in (("ax", "ay"), ("bx", "by")))
+    flat = cut.select("shape", "middle", "ring", "turn", "k", "i", px.alias("px"), py.alias("py"), qx.alias("qx"), qy.alias("qy"))
+    return flat.where("px <> qx OR py <> qy")
+
+
+def _cross(ring: Column, i: Column) -> Column:
+    p, q = F.get(ring, i - 1), F.get(ring, i % F.size(ring))
+    return p["x"] * q["y"] - q["x"] * p["y"]
+
+
+def _point(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def _round(side: DataFrame, metres: float) -> DataFrame:
+    """Each side with a half circle at both ends, as one convex ring in metres."""
+    way = F.atan2(F.col("qy") - F.col("py"), F.col("qx") - F.col("px"))
+    step = F.lit(math.pi / 2 / QUADRANT)
+    half = lambda x, y, start: F.transform(F.sequence(F.lit(0), F.lit(2 * QUADRANT)), lambda i: _point(F.col(x) + metres * F.cos(way + start + i * step), F.col(y) + metres * F.sin(way + start + i * step)))
+    return side.select("shape", "middle", F.concat(half("qx", "qy", -math.pi / 2), half("px", "py", math.pi / 2)).alias("ring"))
+
+
+def _mitred(side: DataFrame, metres: float) -> DataFrame:
+    """Each side as a strip to its outside, and at each corner that turns outwards the wedge between two strips up to where their far
+    sides meet; a wedge longer than MITRE distances is cut off. Rings are to be simple, as boxes and hulls are."""
+    long = F.sqrt((F.col("qx") - F.col("px")) ** 2 + (F.col("qy") - F.col("py")) ** 2)
+    out = F.signum("turn")
+    side = side.withColumns({"nx": (F.col("qy") - F.col("py")) / long * out * metres, "ny": -(F.col("qx") - F.col("px")) / long * out * metres})
+    ring = Window.partitionBy("shape", "ring").orderBy("k", "i")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = lambda c: F.coalesce(F.lead(c).over(ring), F.first(c).over(whole))
+    side = side.withColumns({"mx": near("nx"), "my": near("ny")})
+    p, q, n, m = (tuple(F.col(c + v) for v in "xy") for c in "pqnm")
+    add = lambda a, b, by=F.lit(1.0): (a[0] + b[0] * by, a[1] + b[1] * by)
+    strip = F.array(*[_point(*v) for v in (p, q, add(q, n), add(p, n))])
+    same = (n[0] * m[0] + n[1] * m[1]) / metres**2
+    turns = (n[0] * m[1] - n[1] * m[0]) * out > 0
+    far = F.sqrt(F.lit(2.0) / F.greatest(F.lit(1.0) + same, F.lit(1e-12)))  # of the tip, in distances
+    both = add(n, m)
+    tip = add(q, both, F.least(far, F.lit(MITRE)) / far / F.greatest(F.lit(1.0) + same, F.lit(1e-12)))
+    wedge = F.when(turns, F.array(*[_point(*v) for v in (q, add(q, n), tip, add(q, m))]))
+    pieces = side.select("shape", "middle", F.explode(F.array_compact(F.array(strip, wedge))).alias("ring"))
+    return pieces
+
+
+def buffered_spans(shapes: DataFrame, metres: float, mitre: bool = False, meridian: Column | None = None) -> DataFrame:
+    """Disjoint intervals (shape, row, west, east) of what lies in each shape or within a distance of it.
+
+    The distance is laid around each side, in metres of the transverse Mercator projection around the middle of the shape's
+    UTM zone (or the given one), as a convex piece; what the pieces and the shape hold of a row is united. No outline is built, so sides
+    of any number may cross as they like, and nothing of a shape is gathered but one row of it.
+    """
+    side = _dense(shapes, meridian)
+    pieces = (_mitred if mitre else _round)(side, float(metres) / 0.9996)  # a UTM metre is 1 / 0.9996 of an unscaled one
+    drawn = pieces.select("shape", F.transform("ring", lambda p: _point(*untransverse(p["x"], p["y"], F.col("middle")))).alias("ring"))
+    y = F.transform("ring", lambda p: p["y"])
+    at = drawn.select("shape", "ring", F.explode(_rows_between(F.array_min(y), F.array_max(y))).alias("row"))
+    lat = grid.center_lat(F.col("row"))
+    size = F.size("ring")
+
+    def crossing(i):  # where a side of the piece meets the row's line, or null
+        p, q = F.get("ring", i), F.get("ring", (i + 1) % size)
+        return F.when((p["y"] > lat) != (q["y"] > lat), (q["x"] - p["x"]) * (lat - p["y"]) / (q["y"] - p["y"]) + p["x"])
+
+    x = F.array_compact(F.transform(F.sequence(F.lit(0), size - 1), crossing))
+    met = at.select("shape", "row", x.alias("x")).where("size(x) > 0").select("shape", "row", F.array_min("x").alias("west"), F.array_max("x").alias("east"))
+    return union_spans(met.unionByName(spans(shapes)))
+
+
+def _tile(lon: Column) -> Column:
+    return F.floor((lon - F.lit(grid.ORIGIN_X)) / F.lit(grid.RESOLUTION * grid.TILE)).cast("int")
+
+
+def cells_in_spans(cells: DataFrame, spans: DataFrame) -> DataFrame:
+    """cells (col, row, ...) with the shape of each interval that holds their centres."""
+    first, last = F.greatest(_tile(F.col("west")), F.lit(0)), F.least(_tile(F.col("east")), F.lit(grid.WIDTH // grid.TILE))
+    tiled = spans.where((F.col("west") < F.col("east")) & (first <= last)).withColumn("tile_at", F.explode(F.sequence(first, last)))
+    lon = grid.center_lon(F.col("col"))
+    at = cells.withColumn("tile_at", _tile(lon))
+    return at.join(tiled, ["row", "tile_at"]).where((lon >= F.col("west")) & (lon < F.col("east"))).select(*cells.columns, "shape")
+
+
 def cells_within(cells: DataFrame, shapes: DataFrame) -> DataFrame:
     """cells (col, row, ...) with the shapes that hold their centres; a cell in several shapes occurs with each."""
-    tile = lambda x: F.floor((x - F.lit(grid.ORIGIN_X)) / F.lit(grid.RESOLUTION * grid.TILE)).cast("int")
-    first, last = F.greatest(tile(F.col("west")), F.lit(0)), F.least(tile(F.col("east")), F.lit(grid.WIDTH // grid.TILE))
-    tiled = spans(shapes).where((F.col("west") < F.col("east")) & (first <= last)).withColumn("tile_col", F.explode(F.sequence(first, last)))
-    lon = grid.center_lon(F.col("col"))
-    at = cells.withColumn("tile_col", tile(lon))
-    return at.join(tiled, ["row", "tile_col"]).where((lon >= F.col("west")) & (lon < F.col("east"))).select(*cells.columns, "shape")
+    return cells_in_spans(cells, spans(shapes))
 
 
 def area_within(cells: DataFrame, shapes: DataFrame) -> DataFrame:
