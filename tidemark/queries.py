@@ -81,26 +81,45 @@ def _cells(spark: SparkSession, sf: str) -> DataFrame:
 _BUILT: dict[tuple[str, str], str] = {}
 
 
-def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """pixel_combo and the dictionary, read from an index that is built once per application and folder of tables."""
-    key = spark.sparkContext.applicationId, sf
+def _version(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files at a path, so that what is built of them is built anew when they change."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha1(repr(sorted(found)).encode()).hexdigest()
+
+
+def _built(spark: SparkSession, sf: str) -> str:
+    """The path of an index of the lake, built once per application and version of its table."""
+    key = spark.sparkContext.applicationId, _version(spark, f"{sf}/lineitem.parquet")
     if key not in _BUILT:
         path = f"{scratch.folder(spark)}/index-{uuid.uuid4().hex}"
         bundle.build(_lake(spark, sf), path, _events(spark, sf))
         _BUILT[key] = path
-    index, combos, _ = bundle.open_index(spark, _BUILT[key])
-    return index.select("col", "row", "combo_id"), combos
+    return _BUILT[key]
+
+
+def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """pixel_combo and the dictionary, read from a written index."""
+    index, combos, _ = bundle.open_index(spark, _built(spark, sf))
+    return index, combos
 
 
 def _flood_events(spark: SparkSession, sf: str) -> DataFrame:
     """The events that the index holds beside the cells."""
-    _index(spark, sf)
-    return tables.read_events(spark, _BUILT[spark.sparkContext.applicationId, sf])
+    return tables.read_events(spark, _built(spark, sf))
 
 
-def _tiles(spark: SparkSession) -> DataFrame:
-    rows = [(f"T{i}_{j}", f"N{i}E{j}", 6.0 + 0.05 * i, 52.0 + 0.05 * j, 6.05 + 0.05 * i, 52.05 + 0.05 * j) for i in range(12) for j in range(6)]
-    return spark.createDataFrame(rows, "tile_id string, name string, minx double, miny double, maxx double, maxy double")
+def _tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """A tile for each supplier: boxes of five by five minutes side by side, 72 to a layer."""
+    at = _read(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), (F.floor(F.col("s_suppkey") / 6) % 12).alias("i"), (F.col("s_suppkey") % 6).alias("j"))
+    x, y = F.lit(6.1) + F.lit(0.05) * F.col("i"), F.lit(52.0) + F.lit(0.05) * F.col("j")
+    x1, y1 = F.lit(6.15) + F.lit(0.05) * F.col("i"), F.lit(52.05) + F.lit(0.05) * F.col("j")
+    text = lambda c: F.col(c).cast("string")
+    return at.select(F.concat(F.lit("T"), text("k")).alias("tile_id"), F.concat(F.lit("N"), text("i"), F.lit("E"), text("j")).alias("name"), x.alias("minx"), y.alias("miny"), x1.alias("maxx"), y1.alias("maxy"))
 
 
 _WITH = f"""
@@ -126,8 +145,9 @@ placed AS (
     SELECT *, -46.8::DOUBLE + (col + 0.5::DOUBLE) * {grid.RESOLUTION!r}::DOUBLE AS lon,
            85.1::DOUBLE - ("row" + 0.5::DOUBLE) * {grid.RESOLUTION!r}::DOUBLE AS lat FROM pixel_combo),
 tiles AS (
-    SELECT 'T' || i || '_' || j AS tile_id, 'N' || i || 'E' || j AS name, 6.0::DOUBLE + 0.05::DOUBLE * i AS minx, 52.0::DOUBLE + 0.05::DOUBLE * j AS miny,
-           6.05::DOUBLE + 0.05::DOUBLE * i AS maxx, 52.05::DOUBLE + 0.05::DOUBLE * j AS maxy FROM range(12) a(i), range(6) b(j))
+    SELECT 'T' || s_suppkey AS tile_id, 'N' || i || 'E' || j AS name, 6.1::DOUBLE + 0.05::DOUBLE * i AS minx, 52.0::DOUBLE + 0.05::DOUBLE * j AS miny,
+           6.15::DOUBLE + 0.05::DOUBLE * i AS maxx, 52.05::DOUBLE + 0.05::DOUBLE * j AS maxy
+    FROM (SELECT s_suppkey, CAST(floor(s_suppkey / 6) AS BIGINT) % 12 AS i, s_suppkey % 6 AS j FROM supplier))
 """
 _BOX = "lon > 6.12::DOUBLE AND lon < 7.2::DOUBLE AND lat > 52.0::DOUBLE AND lat < 52.2::DOUBLE"
 
@@ -215,7 +235,7 @@ def _(spark, sf):
 
 @query("pixel_combo", f"{_WITH} SELECT * FROM pixel_combo")
 def _(spark, sf):
-    return _index(spark, sf)[0]
+    return _index(spark, sf)[0].select("col", "row", "combo_id")
 
 
 @query("dictionary_lookup", f"{_WITH} SELECT combo_id, array_to_string(flood_ids, ',') AS ids FROM combos WHERE combo_id IN (1, 7, 20, 10000000)")
@@ -304,6 +324,44 @@ def _(spark, sf):
     return _catalogue(spark, sf, CIRCLE)
 
 
+def _ripples(n: int = 5000) -> list[tuple[float, float]]:
+    """A ring of n corners, with bays and headlands."""
+    turn = [2 * math.pi * k / n for k in range(n)]
+    return [(6.9 + (0.5 + 0.02 * math.sin(40 * t)) * math.cos(t), 52.165 + (0.012 + 0.002 * math.sin(40 * t)) * math.sin(t)) for t in turn]
+
+
+def _transverse_sql(source: str, lon: str, lat: str, x: str, y: str) -> str:
+    """source with two more columns: metres of the transverse Mercator projection around 9 degrees east."""
+    from tidemark.functions import projections as P
+
+    c = P._CONFORMAL
+    terms = lambda f, g, first: first + "".join(f" + {a!r}::DOUBLE * {f}({2.0 * j}::DOUBLE * xi_) * {g}({2.0 * j}::DOUBLE * eta_)" for j, a in enumerate(P._ALPHA, 1))
+    return f"""(SELECT * EXCLUDE (t_, away_, xi_, eta_), {P._A!r}::DOUBLE * ({terms('cos', 'sinh', 'eta_')}) AS {x}, {P._A!r}::DOUBLE * ({terms('sin', 'cosh', 'xi_')}) AS {y}
+        FROM (SELECT *, atan(t_ / cos(away_)) AS xi_, atanh(sin(away_) / sqrt(1 + t_ * t_)) AS eta_
+              FROM (SELECT *, sinh(atanh(sin(radians({lat}))) - {c!r}::DOUBLE * atanh({c!r}::DOUBLE * sin(radians({lat})))) AS t_, radians({lon} - 9.0::DOUBLE) AS away_ FROM {source})))"""
+
+
+_RIPPLES = f"""turns AS (SELECT k, 2 * pi() * k / 5000.0::DOUBLE AS t FROM range(5000) r(k)),
+    spots AS (SELECT k, 6.9::DOUBLE + (0.5::DOUBLE + 0.02::DOUBLE * sin(40 * t)) * cos(t) AS x, 52.165::DOUBLE + (0.012::DOUBLE + 0.002::DOUBLE * sin(40 * t)) * sin(t) AS y FROM turns),
+    flat AS (SELECT k, x, y, px, py FROM {_transverse_sql("spots", "x", "y", "px", "py")}),
+    walls AS (SELECT a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, a.px, a.py, b.px AS qx, b.py AS qy FROM flat a JOIN flat b ON b.k = (a.k + 1) % 5000),
+    spread AS (SELECT col, "row", combo_id, lon, lat, cx, cy FROM {_transverse_sql("(SELECT * FROM placed WHERE lon BETWEEN 6.3 AND 7.5)", "lon", "lat", "cx", "cy")}),
+    judged AS (SELECT col, "row", combo_id, CAST(sum(CASE WHEN (y0 > lat) <> (y1 > lat) AND lon < (x1 - x0) * (lat - y0) / (y1 - y0) + x0 THEN 1 ELSE 0 END) AS BIGINT) % 2 = 1 AS within,
+                      min(CASE WHEN abs(cx - px) < 2000 THEN pow(cx - px - w * (qx - px), 2) + pow(cy - py - w * (qy - py), 2) ELSE 1e18 END) AS near
+               FROM (SELECT *, greatest(0, least(1, ((cx - px) * (qx - px) + (cy - py) * (qy - py)) / (pow(qx - px, 2) + pow(qy - py, 2)))) AS w FROM spread, walls)
+               GROUP BY col, "row", combo_id),
+    drawn AS (SELECT * FROM judged WHERE within OR near <= pow(700 / 0.9996::DOUBLE, 2))"""
+
+
+@query("floods_buffer", _floods("true", BOX, "drawn").replace(_WITH, f"{_WITH}, {_RIPPLES}") + """ SELECT event_id, date, year,
+    (SELECT sum(pixels) FROM counts JOIN combos USING (combo_id) WHERE list_contains(flood_ids, event_id)) AS pixels FROM catalogue""")
+def _(spark, sf):
+    region = roi.from_rings([_ripples()]).buffered(700.0)
+    index, combos = _index(spark, sf)
+    pixels = catalog.event_pixels(catalog.combo_counts(index, region), combos)
+    return catalog.floods(index, combos, _flood_events(spark, sf), region).select("event_id", "date", "year").join(pixels, "event_id")
+
+
 @query("floods_topk", f"{_floods(_BOX, BOX)} SELECT event_id, area_km2 FROM catalogue ORDER BY area_km2 DESC, event_id LIMIT 5")
 def _(spark, sf):
     return catalog.largest(_catalogue(spark, sf), 5).select("event_id", "area_km2")
@@ -595,21 +653,21 @@ _NEED = f"""{_WITH}, need AS (SELECT *, 'ID' || tile_id || '_' || name || '_RP'
 @query("hazard_catalogue", f"""{_NEED} SELECT 'hazard' AS collection, CAST(rp AS INTEGER) AS return_period, 'v1' AS model_version, count(*) AS n_tiles,
     'hazard_RP' || rp || '_{BOX.key}.tif' AS filename, {round(BOX.area_km2, 3)!r}::DOUBLE AS area_km2 FROM need GROUP BY rp""")
 def _(spark, sf):
-    return hazard.catalogue(_tiles(spark), BOX, [10, 100, 500])
+    return hazard.catalogue(_tiles(spark, sf), BOX, [10, 100, 500])
 
 
-@query("hazard_gate", f"""{_NEED} SELECT CAST(rp AS INTEGER) AS return_period, count(*) AS expected, count(*) FILTER (NOT (rp = 100 AND tile_id = 'T4_1')) AS available,
-    bool_and(NOT (rp = 100 AND tile_id = 'T4_1')) AS complete FROM need GROUP BY rp""")
+@query("hazard_gate", f"""{_NEED} SELECT CAST(rp AS INTEGER) AS return_period, count(*) AS expected, count(*) FILTER (NOT (rp = 100 AND tile_id = 'T7')) AS available,
+    bool_and(NOT (rp = 100 AND tile_id = 'T7')) AS complete FROM need GROUP BY rp""")
 def _(spark, sf):
-    need = hazard.needed_files(_tiles(spark), BOX, [10, 100, 500])
-    return hazard.gate(need, need.where("NOT (return_period = 100 AND tile_id = 'T4_1')"))
+    need = hazard.needed_files(_tiles(spark, sf), BOX, [10, 100, 500])
+    return hazard.gate(need, need.where("NOT (return_period = 100 AND tile_id = 'T7')"))
 
 
 @query("hazard_tiles", f"""{_WITH}, line AS (SELECT *, least(7.2::DOUBLE, maxx) AS r FROM tiles WHERE minx <= 7.2::DOUBLE AND maxx >= 6.12::DOUBLE AND miny <= 52.2::DOUBLE AND maxy >= 52.0::DOUBLE)
     SELECT tile_id, name, minx, miny, maxx, maxy FROM line WHERE greatest(miny, 52.0::DOUBLE) <= 52.2::DOUBLE - 0.2::DOUBLE * (greatest(minx, 6.12::DOUBLE) - 6.12::DOUBLE) / 1.08::DOUBLE""")
 def _(spark, sf):
     # The triangle is all below its long side, so a tile meets it where its lower left corner within the triangle's box does.
-    return hazard.touching(_tiles(spark), TRIANGLE)
+    return hazard.touching(_tiles(spark, sf), TRIANGLE)
 
 
 @query("raster_outcomes", f"""{_WITH}, read AS (SELECT flood_id, count(DISTINCT CAST(col AS BIGINT) * 1000000 + "row") AS n FROM pixels WHERE flood_id % 3 <> 1 GROUP BY 1)
@@ -641,13 +699,13 @@ def _(spark, sf):
 
 @query("hazard_gated_mosaic", f"{_HAZARD} SELECT return_period, col, \"row\", min_by(value, source) AS value FROM ha WHERE value <> -9999 AND return_period = 10 AND {_BOX} GROUP BY ALL")
 def _(spark, sf):
-    need = hazard.needed_files(_tiles(spark), BOX, [10, 100])
-    return hazard.gated_mosaic(_hazard_pixels(spark, sf), need, need.where("NOT (return_period = 100 AND tile_id = 'T4_1')"), BOX)
+    need = hazard.needed_files(_tiles(spark, sf), BOX, [10, 100])
+    return hazard.gated_mosaic(_hazard_pixels(spark, sf), need, need.where("NOT (return_period = 100 AND tile_id = 'T7')"), BOX)
 
 
 @query("tiles_bounds", f"{_WITH} SELECT min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy FROM tiles")
 def _(spark, sf):
-    return hazard.tiles_bounds(_tiles(spark))
+    return hazard.tiles_bounds(_tiles(spark, sf))
 
 
 # Inventory, ledgers and mirrors.
@@ -917,13 +975,16 @@ def _boundaries(spark, sf) -> DataFrame:
 _TWO = "(lat > 52.0::DOUBLE AND lat < 52.2::DOUBLE AND ((lon > 6.12::DOUBLE AND lon < 6.19::DOUBLE) OR (lon > 6.17::DOUBLE AND lon < 6.24::DOUBLE)))"
 
 
-@query("floods_nuts", f"{_floods(_TWO, roi.from_bbox((6.12, 52.0, 6.24, 52.2)))} SELECT event_id, date, year FROM catalogue")
+_PAIR = roi.union([roi.from_bbox((6.12, 52.0, 6.19, 52.2)), roi.from_bbox((6.17, 52.0, 6.24, 52.2))])
+
+
+@query("floods_nuts", f"{_floods(_TWO, _PAIR)} SELECT event_id, date, year, area_km2 FROM catalogue")
 def _(spark, sf):
-    return _catalogue(spark, sf, location.locate(spark, nuts=["NH1", "NH2"], boundaries=_boundaries(spark, sf))).select("event_id", "date", "year")
+    return _catalogue(spark, sf, location.locate(spark, nuts=["NH1", "NH2"], boundaries=_boundaries(spark, sf))).select("event_id", "date", "year", "area_km2")
 
 
-@query("floods_region", f"{_floods(_TWO.replace('6.12', '0.0').replace('6.19', '0.0'), BOX)} SELECT event_id, date, year FROM catalogue")
+@query("floods_region", f"{_floods(_TWO.replace('6.12', '0.0').replace('6.19', '0.0'), BOX)} SELECT event_id, date, year, area_km2 FROM catalogue")
 def _(spark, sf):
     # A name with a changed letter, of 11 letters and a number: close enough to find NH2.
     name = f"{_NAME} 2"
-    return _catalogue(spark, sf, location.locate(spark, region=name[:4] + "#" + name[5:], boundaries=_boundaries(spark, sf))).select("event_id", "date", "year")
+    return _catalogue(spark, sf, location.locate(spark, region=name[:4] + "#" + name[5:], boundaries=_boundaries(spark, sf))).select("event_id", "date", "year", "area_km2")
