@@ -91,12 +91,15 @@ def _point(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
 
+_PIECE = ["shape", "ring", "k", "i"]
+
+
 def _round(side: DataFrame, metres: float) -> DataFrame:
     """Each side with a half circle at both ends, as one convex ring in metres."""
     way = F.atan2(F.col("qy") - F.col("py"), F.col("qx") - F.col("px"))
     step = F.lit(math.pi / 2 / QUADRANT)
     half = lambda x, y, start: F.transform(F.sequence(F.lit(0), F.lit(2 * QUADRANT)), lambda i: _point(F.col(x) + metres * F.cos(way + start + i * step), F.col(y) + metres * F.sin(way + start + i * step)))
-    return side.select("shape", "middle", F.concat(half("qx", "qy", -math.pi / 2), half("px", "py", math.pi / 2)).alias("ring"))
+    return side.select(*_PIECE, F.lit(0).alias("kind"), "middle", F.concat(half("qx", "qy", -math.pi / 2), half("px", "py", math.pi / 2)).alias("piece"))
 
 
 def _mitred(side: DataFrame, metres: float) -> DataFrame:
@@ -118,8 +121,7 @@ def _mitred(side: DataFrame, metres: float) -> DataFrame:
     both = add(n, m)
     tip = add(q, both, F.least(far, F.lit(MITRE)) / far / F.greatest(F.lit(1.0) + same, F.lit(1e-12)))
     wedge = F.when(turns, F.array(*[_point(*v) for v in (q, add(q, n), tip, add(q, m))]))
-    pieces = side.select("shape", "middle", F.explode(F.array_compact(F.array(strip, wedge))).alias("ring"))
-    return pieces
+    return side.select(*_PIECE, "middle", F.posexplode(F.array_compact(F.array(strip, wedge))).alias("kind", "piece"))
 
 
 def buffered_spans(shapes: DataFrame, metres: float, mitre: bool = False, meridian: Column | None = None) -> DataFrame:
@@ -130,19 +132,17 @@ def buffered_spans(shapes: DataFrame, metres: float, mitre: bool = False, meridi
     of any number may cross as they like, and nothing of a shape is gathered but one row of it.
     """
     side = _dense(shapes, meridian)
+    if not mitre:
+        side = side.repartition(*_PIECE)  # one shape may have most of the sides
     pieces = (_mitred if mitre else _round)(side, float(metres) / 0.9996)  # a UTM metre is 1 / 0.9996 of an unscaled one
-    drawn = pieces.select("shape", F.transform("ring", lambda p: _point(*untransverse(p["x"], p["y"], F.col("middle")))).alias("ring"))
-    y = F.transform("ring", lambda p: p["y"])
-    at = drawn.select("shape", "ring", F.explode(_rows_between(F.array_min(y), F.array_max(y))).alias("row"))
+    key = [*_PIECE, "kind"]
+    drawn = pieces.select(*key, F.transform("piece", lambda p: _point(*untransverse(p["x"], p["y"], F.col("middle")))).alias("p"))
+    ends = F.explode(F.arrays_zip("p", F.concat(F.slice("p", 2, F.size("p")), F.slice("p", 1, 1)).alias("q"))).alias("e")
+    line = drawn.select(*key, ends).select(*key, "e.p.x", "e.p.y", F.col("e.q.x").alias("x1"), F.col("e.q.y").alias("y1"))
+    at = line.where("y <> y1").withColumn("row", F.explode(_rows_between(F.least("y", "y1"), F.greatest("y", "y1"))))
     lat = grid.center_lat(F.col("row"))
-    size = F.size("ring")
-
-    def crossing(i):  # where a side of the piece meets the row's line, or null
-        p, q = F.get("ring", i), F.get("ring", (i + 1) % size)
-        return F.when((p["y"] > lat) != (q["y"] > lat), (q["x"] - p["x"]) * (lat - p["y"]) / (q["y"] - p["y"]) + p["x"])
-
-    x = F.array_compact(F.transform(F.sequence(F.lit(0), size - 1), crossing))
-    met = at.select("shape", "row", x.alias("x")).where("size(x) > 0").select("shape", "row", F.array_min("x").alias("west"), F.array_max("x").alias("east"))
+    at = at.where((F.col("y") > lat) != (F.col("y1") > lat)).select(*key, "row", ((F.col("x1") - F.col("x")) * (lat - F.col("y")) / (F.col("y1") - F.col("y")) + F.col("x")).alias("x"))
+    met = at.groupBy(*key, "row").agg(F.min("x").alias("west"), F.max("x").alias("east")).select("shape", "row", "west", "east")
     return union_spans(met.unionByName(spans(shapes)))
 
 
