@@ -37,7 +37,7 @@ def test_cell_areas_sum_to_the_sphere_band(spark):
     assert band == pytest.approx((top - bottom) * width / 1e6, rel=1e-9)
 
 
-@pytest.mark.parametrize("epsg", [3035, 6933, 32632, 32733])
+@pytest.mark.parametrize("epsg", [3035, 6933, 27704, 32632, 32733])
 def test_projections_invert(epsg):
     lat = -33.0 if epsg == 32733 else 52.3
     lon = 18.0 if epsg == 32733 else 9.5
@@ -202,3 +202,41 @@ def test_slips_in_coordinates():
             roi.resolve(**odd)
     box = roi.resolve(bbox=(4_000_000.0, 3_000_000.0, 4_200_000.0, 3_100_000.0), crs=3035)
     assert len(box.rings[0]) > 100 and len(roi.resolve(rings=[[(4_000_000.0, 3_000_000.0), (4_200_000.0, 3_000_000.0), (4_200_000.0, 3_100_000.0)]], crs=3035).rings[0]) == 3
+
+
+def geodesic(lon, lat, azimuth, metres, steps=4000):
+    """The end of a geodesic by small steps along it (the equations of its course on the ellipsoid, by Runge and Kutta)."""
+    f = 1 / 298.257223563
+    e2 = f * (2 - f)
+
+    def course(state):
+        phi, _, alpha = state
+        w = 1 - e2 * math.sin(phi) ** 2
+        meridian, prime = grid.SEMI_MAJOR * (1 - e2) / w**1.5, grid.SEMI_MAJOR / math.sqrt(w)
+        return math.cos(alpha) / meridian, math.sin(alpha) / (prime * math.cos(phi)), math.tan(phi) * math.sin(alpha) / prime
+
+    at, h = (math.radians(lat), math.radians(lon), azimuth), metres / steps
+    move = lambda s, k, by: tuple(a + b * by for a, b in zip(s, k, strict=True))
+    for _ in range(steps):
+        k1 = course(at)
+        k2 = course(move(at, k1, h / 2))
+        k3 = course(move(at, k2, h / 2))
+        k4 = course(move(at, k3, h))
+        at = tuple(s + h / 6 * (a + 2 * b + 2 * c + d) for s, a, b, c, d in zip(at, k1, k2, k3, k4, strict=True))
+    return math.degrees(at[1]), math.degrees(at[0])
+
+
+def test_equi7_ends_where_its_geodesics_end():
+    from tidemark.functions.projections import ARRAYS, positions
+
+    x0, y0 = 5_837_287.81977, 2_121_415.69617
+    assert positions(x0, y0, 27704, PLAIN) == pytest.approx((24.0, 53.0), abs=1e-9)
+    tile = (7_950_000 + 5.5 * 20, 1_060_000 - 5.5 * 20)
+    for x, y in ((x0 + 1e6, y0 + 1e3), (x0 - 2e6, y0 + 8e5), (x0 - 3e5, y0 - 2.2e6), tile):
+        want = geodesic(24.0, 53.0, math.atan2(x - x0, y - y0), math.hypot(x - x0, y - y0))
+        assert positions(x, y, 27704, PLAIN) == pytest.approx(want, abs=2e-9)
+        import numpy as np
+
+        assert np.allclose(positions(np.array([x]), np.array([y]), 27704, ARRAYS), np.array(want).reshape(2, 1), atol=2e-9)
+    lon, lat = positions(*tile, 27704, PLAIN)
+    assert 0 <= (lon - grid.ORIGIN_X) * 1200 < grid.WIDTH and 0 <= (grid.ORIGIN_Y - lat) * 1200 < grid.HEIGHT
