@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.roi import Roi
@@ -96,3 +96,53 @@ def reproject_bilinear(pixels: DataFrame, targets: DataFrame) -> DataFrame:
     near = at.join(source, ["c", "r"]).withColumn("w", weight)
     mean = F.sum(F.col("w") * F.col("value")) / F.sum("w")
     return near.groupBy("col", "row").agg(F.when(F.sum("w") > 0, mean).alias("value")).where("value IS NOT NULL")
+
+
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, share: float, bins: int = 64, gathered: int = 20_000) -> DataFrame:
+    """(by, n, quantile): the interpolated quantile of each group, as `percentile` gives it, without holding a group's distinct values.
+
+    The two order statistics around the rank are looked for in a histogram of a group's candidates, whose bounds are approximate
+    percentiles, each a range of its own; exact counts tell the range that holds the rank, and a round keeps its candidates, about
+    one in `bins`, until a group has few enough, or one value alone, to sort. Sketches and counts have partial results, so that a
+    group of any size costs a few scans. NaN and null take no part.
+    """
+    from tidemark.plans.scratch import lasting, release
+
+    keys = [F.col(c) for c in by]
+    real = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.col(value).cast("double").alias("v"))
+    group = [f"k{i}" for i in range(len(keys))] or ["k"]
+    real = real if by else real.withColumn("k", F.lit(0))
+    total = real.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    at = (F.col("n") - 1) * F.lit(float(share))
+    wanted = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor(at).alias("rank")), F.struct(F.lit(1).alias("side"), F.ceil(at).alias("rank")))).alias("w")
+    goals = lasting(total.select(*group, "n", wanted).select(*group, "n", "w.side", F.col("w.rank").cast("long").alias("rank")))
+    seek, found, frame = [*group, "side"], [], real
+    # rank counts from the least candidate; low and high bound the candidates.
+    bounds = real.groupBy(*group).agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    state = lasting(goals.join(bounds, group).withColumn("left", F.col("n")))
+    while True:
+        few = lasting(state.where((F.col("left") <= gathered) | (F.col("low") == F.col("high"))))
+        inside = frame.join(few.where("low < high"), group).where("v >= low AND v <= high")
+        sorted_ = inside.groupBy(*seek).agg(F.sort_array(F.collect_list("v")).alias("vs"), F.first("rank").alias("rank"))
+        found.append(lasting(few.where("low = high").select(*seek, F.col("low").alias("q")).unionByName(sorted_.select(*seek, F.get("vs", F.col("rank").cast("int")).alias("q")))))
+        more = state.join(few.select(*seek), seek, "left_anti")
+        if more.isEmpty():
+            break
+        held = frame.join(more, group).where("v >= low AND v <= high")
+        edges = held.groupBy(*seek).agg(F.percentile_approx("v", [k / bins for k in range(bins + 1)], 100 * bins).alias("edges"))
+        held = held.join(F.broadcast(lasting(edges)) if not by else edges, seek)
+        held = held.withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("v"))) * 2 + F.array_contains("edges", F.col("v")).cast("int"))
+        counted = lasting(held.groupBy(*seek, "bin").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"), F.first("rank").alias("rank"), F.first("n").alias("n")))
+        order = Window.partitionBy(*seek).orderBy("bin")  # some rows for each of bins
+        placed = counted.withColumn("before", F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        right = placed.where("rank >= before AND rank < before + c")
+        after = lasting(right.select(*group, "n", "side", (F.col("rank") - F.col("before")).alias("rank"), F.col("least").alias("low"), F.col("most").alias("high"), F.col("c").alias("left")))
+        release(state, counted)
+        state = after
+    values = found[0]
+    for x in found[1:]:
+        values = values.unionByName(x)
+    both = values.groupBy(*group).agg(F.max(F.when(F.col("side") == 0, F.col("q"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("q"))).alias("b"))
+    part = at - F.floor(at)
+    out = total.join(both, group).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(by)], "n", (F.col("a") * (1 - part) + F.col("b") * part).alias("quantile"))
+    return out

@@ -119,3 +119,32 @@ def coarser(grid_cells: DataFrame, factor: int) -> DataFrame:
     """An overview level: the largest count of each block of cells."""
     block = lambda c: F.floor(F.col(c) / factor).cast("int").alias(c)
     return grid_cells.groupBy(block("col"), block("row")).agg(F.max("n_events").alias("n_events"))
+
+
+def zorder(col, row):
+    """The bits of a cell's column and row in turns: cells of one block of 2**k by 2**k share all but the last 2 * k bits."""
+
+    def apart(x):
+        x = x.cast("long")
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+        return x
+
+    return F.shiftleft(apart(row), 1).bitwiseOR(apart(col))
+
+
+def overviews(grid_cells: DataFrame, levels: int = 4) -> DataFrame:
+    """(factor, col, row, n_events): the largest count of each block of 2, 4, ... 2**levels cells a side, from one shuffle.
+
+    Cells are dealt by the block of the last level that holds them, so that every finer block lies in one task; each level is
+    then an aggregate of its own over the same exchange.
+    """
+    last = F.shiftright(zorder(F.col("col"), F.col("row")), 2 * levels)
+    dealt = grid_cells.select("col", "row", "n_events", last.alias("block")).repartition("block")
+    out = None
+    for k in range(1, levels + 1):
+        whole = lambda c: F.shiftright(c, k)  # noqa: B023, E731
+        level = dealt.groupBy("block", whole("col").alias("col"), whole("row").alias("row")).agg(F.max("n_events").alias("n_events"))
+        level = level.select(F.lit(2**k).alias("factor"), "col", "row", "n_events")
+        out = level if out is None else out.unionByName(level)
+    return out

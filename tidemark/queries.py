@@ -19,7 +19,7 @@ from tidemark.functions import text as T
 from tidemark.functions.projections import PLAIN, to_utm
 from tidemark.operators import catalog, depth, exposure, hazard, inventory, lake, outlines, recurrence, roi, shapes
 from tidemark.plans import bundle, download, location, scratch
-from tidemark.sources import tables
+from tidemark.sources import rasters, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -431,6 +431,12 @@ def _(spark, sf):
     return recurrence.coarser(recurrence.recurrence_grid(*_index(spark, sf)), 16)
 
 
+@query("recurrence_overviews", _WITH + " UNION ALL ".join(
+    f'SELECT {k} AS factor, CAST(floor(col / {k}) AS INTEGER) AS col, CAST(floor("row" / {k}) AS INTEGER) AS "row", max(len(flood_ids)) AS n_events FROM cells GROUP BY 2, 3' for k in (2, 4, 8, 16)))
+def _(spark, sf):
+    return recurrence.overviews(recurrence.recurrence_grid(*_index(spark, sf)))
+
+
 @query("event_membership", f"{_WITH} SELECT combo_id FROM combos WHERE list_contains(flood_ids, 19963)")
 def _(spark, sf):
     return recurrence.event_membership(_index(spark, sf)[1], 19963).select("combo_id")
@@ -598,6 +604,11 @@ def _(spark, sf):
     return depth.summary(_depths(spark, sf), PIXEL_M2)
 
 
+@query("depth_quantiles", f"{_WITH} SELECT flood_id AS raster_id, count(*) AS n, round(quantile_cont(value, 0.95), 9) AS quantile FROM pixels GROUP BY 1")
+def _(spark, sf):
+    return depth.exact_quantiles(_depths(spark, sf), ["raster_id"], "value", 0.95, bins=16, gathered=64).withColumn("quantile", F.round("quantile", 9))
+
+
 @query("depth_median", f"""{_WITH}, each AS (SELECT flood_id, {_STATS} FROM (SELECT flood_id, value * 0.01::DOUBLE AS d, value > 0 AS wet FROM pixels) GROUP BY 1)
     SELECT CAST(flood_id // 10 AS VARCHAR) AS year, count(*) AS events, round(median(p95_depth_m), 6) AS median_p95_depth_m FROM each GROUP BY 1""")
 def _(spark, sf):
@@ -681,6 +692,42 @@ def _(spark, sf):
     return lake.outcomes(asked, rows.where("flood_id % 3 <> 1"), cached)
 
 
+def _raster_files(spark, sf) -> DataFrame:
+    """The depth rasters as files."""
+    return rasters.grid_files(_depths(spark, sf).withColumn("raster", F.concat(F.col("raster_id").cast("string"), F.lit(".tif"))).drop("raster_id"))
+
+
+@query("raster_headers", f"""{_WITH} SELECT flood_id || '.tif' AS raster, max(col) - min(col) + 1 AS width, max("row") - min("row") + 1 AS height, 'f4' AS dtype, 4326 AS epsg, 0.0::DOUBLE AS nodata,
+    round(-46.8::DOUBLE + min(col) / 1200.0::DOUBLE, 6) AS west, round(85.1::DOUBLE - min("row") / 1200.0::DOUBLE, 6) AS north FROM pixels GROUP BY flood_id""")
+def _(spark, sf):
+    found = rasters.headers(_raster_files(spark, sf))
+    return found.select("raster", "width", "height", "dtype", "epsg", "nodata", F.round(F.col("affine")[0], 6).alias("west"), F.round(F.col("affine")[3], 6).alias("north"))
+
+
+@query("raster_scan", f"{_WITH} SELECT flood_id || '.tif' AS raster, col, \"row\", max(value) AS value FROM pixels GROUP BY flood_id, col, \"row\"")
+def _(spark, sf):
+    found = rasters.pixels(_raster_files(spark, sf))
+    return found.select("raster", grid.cell_col(F.col("lon"), F.col("lat")).alias("col"), grid.cell_row(F.col("lat"), F.col("lon")).alias("row"), "value")
+
+
+@query("raster_lake", f"{_WITH} SELECT DISTINCT col, \"row\", flood_id FROM pixels WHERE value <= 45 AND flood_id % 2 = 1")
+def _(spark, sf):
+    ids = _events(spark, sf).select(F.concat(F.col("global_id").cast("string"), F.lit(".tif")).alias("raster"), F.col("global_id").alias("flood_id"))
+    # Of a pixel's values a file holds the largest: the deep ones go before.
+    shallow = _depths(spark, sf).where("value <= 45 AND raster_id % 2 = 1").withColumn("raster", F.concat(F.col("raster_id").cast("string"), F.lit(".tif"))).drop("raster_id")
+    return lake.pixels_to_lake(rasters.lake_pixels(rasters.pixels(rasters.grid_files(shallow)), ids), max_depth=45.0)
+
+
+@query("raster_resume", f"""{_WITH}, read AS (SELECT flood_id, count(DISTINCT CAST(col AS BIGINT) * 1000000 + "row") AS n FROM pixels GROUP BY 1)
+    SELECT flood_id, CASE WHEN flood_id % 5 = 2 THEN 'cached' ELSE 'complete' END AS status, n AS points FROM read""")
+def _(spark, sf):
+    rows, path = _pixels(spark, sf), f"{scratch.folder(spark)}/lake-{uuid.uuid4().hex}"
+    done = rows.where("flood_id % 5 = 2").select("col", "row", "flood_id").distinct()
+    tables.write_lake(done.withColumn("year", F.floor(F.col("flood_id") / 10)), path)
+    asked = rows.select("flood_id", F.lit(True).alias("has_crs")).distinct()
+    return lake.outcomes(asked, rows.where("flood_id % 5 <> 2"), tables.cached_points(spark, path))
+
+
 def _hazard_pixels(spark, sf) -> DataFrame:
     value = F.when(F.col("value") > 40, -9999.0).otherwise(F.col("value"))
     rows = _pixels(spark, sf).select(F.when(F.col("flood_id") % 2 == 0, 10).otherwise(100).alias("return_period"), F.col("flood_id").alias("source"), "col", "row", value.alias("value"))

@@ -34,6 +34,45 @@ def write_lake(cells: DataFrame, path: str) -> None:
     placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "event").parquet(path)
 
 
+def file_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(path, rows) of each Parquet file under a path, from the footers alone; rows is null where a file cannot be read.
+
+    A scan without columns reads no more than footers. Files it says nothing about are empty or torn, which their own
+    footers tell; of these, and of no others, the bytes are read.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    scanned = spark.read.schema(LAKE).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("ignoreCorruptFiles", "true").parquet(path)
+    counted = scanned.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+    same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  # the two readers spell local files apart
+    counted = counted.select(same("path").alias("path"), "rows")
+    files = listed.select(same("path").alias("path"), "content")
+    known = files.select("path").join(counted, "path")
+
+    def opened(batches):
+        import io
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            out = []
+            for data in batch.column(1):
+                try:
+                    out.append(pq.ParquetFile(io.BytesIO(data.as_py())).metadata.num_rows)
+                except Exception:  # whatever is wrong with the bytes, the file cannot be read
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["path", "rows"])
+
+    return known.unionByName(files.join(counted.select("path"), "path", "left_anti").mapInArrow(opened, "path string, rows long"))
+
+
+def cached_points(spark: SparkSession, path: str) -> DataFrame:
+    """(flood_id, points) of the events whose files under a lake's path can all be read; an event with a torn file is to be read anew."""
+    event = F.regexp_extract("path", r"/event=([0-9]+)/", 1)
+    found = file_rows(spark, path).where(event != "").groupBy(event.cast("long").alias("flood_id"))
+    return found.agg(F.sum("rows").alias("points"), F.count_if(F.col("rows").isNull()).alias("torn")).where("torn = 0").select("flood_id", "points")
+
+
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INVENTORY).csv(path, header=True)
 
