@@ -181,7 +181,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_catalogue(catalogue: DataFrame, path: str) -> None:
-    """CSV, JSON lines, GeoJSON features (one a line) or Parquet by the path's ending; CSV goes without the geometry."""
+    """CSV, JSON lines, GeoJSON features (one a line) or Parquet by the path's ending; CSV goes without the geometry, Parquet has it as well-known binary."""
     flat = catalogue.drop("geometry", "polygons")
     if path.endswith(".csv"):
         flat.write.mode("overwrite").csv(path, header=True)
@@ -189,6 +189,10 @@ def write_catalogue(catalogue: DataFrame, path: str) -> None:
         features(catalogue).write.mode("overwrite").text(path)
     elif path.endswith(".json"):
         catalogue.write.mode("overwrite").json(path)
+    elif "geometry" in catalogue.columns or "polygons" in catalogue.columns:
+        from tidemark.sources.geometry import write_geoparquet
+
+        write_geoparquet(catalogue, path)
     else:
         catalogue.write.mode("overwrite").parquet(path)
 
