@@ -7,10 +7,12 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from tidemark.functions.projections import CRSError
-from tidemark.operators import catalog, hazard, inventory, recurrence, regions, roi
-from tidemark.plans import bundle, location
-from tidemark.sources import tables
+from tidemark.functions.projections import SUPPORTED, CRSError
+from pyspark.sql import functions as F
+
+from tidemark.operators import catalog, hazard, inventory, outlines, recurrence, regions, roi
+from tidemark.plans import bundle, download, ingest, location, mirror
+from tidemark.sources import rasters, tables
 
 BOUNDARIES = "NUTS_ID:string,LEVL_CODE:string,CNTR_CODE:string,NAME_LATN:string,NUTS_NAME:string"
 #: Exit codes by kind of error.
@@ -44,6 +46,57 @@ def _recurrence(spark, a):
     return recurrence.recurrence_regions(_region(spark, a).mask(index), combos, events, a.event)
 
 
+def _polygons(spark, a):
+    index, combos, events = bundle.open_index(spark, a.index)
+    found = outlines.footprint_polygons(_region(spark, a).mask(index), combos)
+    return events.select(F.col("global_id").alias("event_id"), F.col("start_date").alias("date"), "end_date", "filename").join(found, "event_id")
+
+
+def _rasters(spark, path, inventory_path):
+    """(records, pixels with their event) of the raster files that an inventory names."""
+    records = tables.read_inventory(spark, inventory_path)
+    ids = records.select(F.col("filename").alias("raster"), F.col("global_id").alias("flood_id"))
+    return records, rasters.pixels(rasters.read_files(spark, path)).join(ids, "raster")
+
+
+def _ingest(spark, a):
+    records, pixels = _rasters(spark, a.rasters, a.inventory)
+    try:
+        before = tables.read_ledger(spark, a.ledger)
+        before.schema  # noqa: B018  # an absent ledger is told here
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        before = spark.createDataFrame([], tables.LEDGER + ", line long")
+    due = ingest.plan(records, before, year=a.year, limit=a.limit)
+    known = F.coalesce(F.col("epsg").isin(*SUPPORTED), F.lit(False)) & F.col("affine").isNotNull()
+    heads = rasters.headers(rasters.read_files(spark, a.rasters)).where("error IS NULL").select(F.col("raster").alias("filename"), known.alias("has_crs"))
+    files = heads.join(records.select("filename", F.col("global_id").alias("flood_id")), "filename")
+    cells, lines = ingest.run(due, pixels.where("lon IS NOT NULL").select("lon", "lat", "value", "flood_id"), a.max_depth, files)
+    tables.write_lake(cells, a.lake, due.select(F.col("global_id").alias("flood_id")))
+    tables.append_ledger(lines.withColumn("last_error", F.lit(None).cast("string")), a.ledger)
+    return inventory.outcomes(inventory.latest(tables.read_ledger(spark, a.ledger)))
+
+
+def _download(spark, a):
+    region = _region(spark, a)
+    found = catalog.floods(*bundle.open_index(spark, a.index), region, a.year, a.start, a.end)
+    _, pixels = _rasters(spark, a.rasters, a.inventory)
+    on_grid = rasters.on_grid(pixels.withColumnRenamed("flood_id", "raster_id"))
+    return download.download(found, on_grid, region, a.to, force=a.force)
+
+
+def _mirror(spark, a):
+    wanted = tables.read_inventory(spark, a.inventory).select("filename", "size_bytes", F.lit(None).cast("string").alias("sha256"))
+    return inventory.mirror_plan(wanted, mirror.listing(spark, a.target)) if a.dry_run else mirror.mirror(spark, wanted, a.source, a.target, a.ledger)
+
+
+def _hazard_manifest(spark, a):
+    made = hazard.manifest(tables.read_tiles(spark, a.tiles), a.base_url, a.model_version)
+    bundle.write_json(spark, made, a.to)
+    return spark.createDataFrame([(k, str(v)) for k, v in made.items()], "key string, value string")
+
+
 def _hazard(spark, a):
     return hazard.catalogue(tables.read_tiles(spark, a.tiles), _region(spark, a), a.return_period)
 
@@ -117,6 +170,27 @@ def main(argv: list[str] | None = None) -> int:
     c = command("hazard", _hazard, True)
     c.add_argument("--tiles", required=True)
     c.add_argument("--return-period", type=int)
+    command("polygons", _polygons, True).add_argument("--index", required=True)
+    c = command("ingest", _ingest)
+    for name in ("--rasters", "--inventory", "--lake", "--ledger"):
+        c.add_argument(name, required=True)
+    c.add_argument("--year", type=int)
+    c.add_argument("--limit", type=int)
+    c.add_argument("--max-depth", type=float)
+    c = command("download", _download, True)
+    for name in ("--index", "--rasters", "--inventory", "--to"):
+        c.add_argument(name, required=True)
+    for name in ("--year", "--start", "--end"):
+        c.add_argument(name)
+    c.add_argument("--force", action="store_true")
+    c = command("mirror", _mirror)
+    for name in ("--inventory", "--source", "--target", "--ledger"):
+        c.add_argument(name, required=True)
+    c.add_argument("--dry-run", action="store_true", help="only say what would be copied")
+    c = command("hazard-manifest", _hazard_manifest)
+    for name in ("--tiles", "--base-url", "--to"):
+        c.add_argument(name, required=True)
+    c.add_argument("--model-version", default="v1")
     c = command("nuts", _nuts)
     c.add_argument("query", nargs="?")
     c.add_argument("--table", required=True)

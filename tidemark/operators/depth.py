@@ -30,6 +30,15 @@ def depth_scale(collection: Column) -> Column:
     return F.when(collection == "hazard", HAZARD_SCALE).otherwise(HISTORIC_SCALE)
 
 
+def catalogue_stats(catalogue: DataFrame, pixels: DataFrame, pixel_area_m2: float, scale: float | None = None, **how) -> DataFrame:
+    """stats of the pixels of a catalogue's rasters (raster_id: the event or the return period), in its collection's unit unless told."""
+    from tidemark.operators.catalog import is_hazard
+
+    key = "return_period" if is_hazard(catalogue) else "event_id"
+    mine = pixels.join(catalogue.select(F.col(key).alias("raster_id")).distinct(), "raster_id", "left_semi")
+    return stats(mine, pixel_area_m2, (HAZARD_SCALE if is_hazard(catalogue) else HISTORIC_SCALE) if scale is None else scale, **how)
+
+
 def mask_nodata(value: Column, nodata: Column | None = None) -> Column:
     """Null for NaN, infinite, zero, -9999 and the declared nodata."""
     odd = F.isnan(value) | (F.abs(value) == float("inf")) | (value == 0) | (value == -9999)

@@ -277,6 +277,12 @@ def lake_pixels(pixels: DataFrame, ids: DataFrame) -> DataFrame:
     return pixels.where("lon IS NOT NULL").join(ids, "raster").select("lon", "lat", "value", "flood_id")
 
 
+def on_grid(pixels: DataFrame) -> DataFrame:
+    """Placed pixels with the index's column and row in place of their own."""
+    at = pixels.where("lon IS NOT NULL").withColumns({"col": grid.cell_col(F.col("lon"), F.col("lat")), "row": grid.cell_row(F.col("lat"), F.col("lon"))})
+    return at.where(grid.is_valid(F.col("col"), F.col("row")))
+
+
 def encode(rows: DataFrame, west: float, north: float, step: float, epsg: int = 4326, stripe: int = 64, nodata: float = 0.0) -> DataFrame:
     """(raster, content): a GeoTIFF of 32-bit floats for each raster of rows (raster, col, row, value), over the columns and rows that it has.
 

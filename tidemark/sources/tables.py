@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +26,27 @@ def read_lake(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LAKE).option("recursiveFileLookup", "true").parquet(path)
 
 
-def write_lake(cells: DataFrame, path: str) -> None:
+def write_lake(cells: DataFrame, path: str, asked: DataFrame | None = None) -> None:
     """cells (col, row, flood_id, year) by year and event; the committer makes the write atomic.
 
     A rerun replaces the folders of the events it has, so it leaves no cell twice; other events stay as they are.
+    asked (flood_id): the events of this run. Those that come back empty, or with another year, lose their old folders
+    once the new ones are there.
     """
     placed = cells.withColumn("event", F.col("flood_id")).repartition("event", F.floor(F.col("row") / TILE))  # a large event is many tasks
     placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "event").parquet(path)
+    if asked is None:
+        return
+    spark = cells.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    kept = {(str(r.year), str(r.flood_id)) for r in cells.select("year", "flood_id").distinct().join(asked, "flood_id", "left_semi").collect()}  # a row per event of a run
+    due = {str(r.flood_id) for r in asked.select("flood_id").distinct().collect()}
+    for folder in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "year=*/event=*")) or []:
+        place = folder.getPath()
+        event, year = place.getName().removeprefix("event="), place.getParent().getName().removeprefix("year=")
+        if event in due and (year, event) not in kept:
+            system.delete(place, True)
 
 
 def file_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -134,15 +149,8 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
-    """Adds the lines of one run, numbered after those that are there: files have no order of their own."""
-    spark = rows.sparkSession
-    try:
-        last = spark.read.schema("run long").json(path).agg(F.max("run")).first()[0]
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        last = None
-    rows.withColumn("run", F.lit((last or 0) + 1).cast("long")).write.mode("append").json(path)
+    """Adds the lines of one run, numbered by the time, as files have no order of their own and two runs may write at once."""
+    rows.withColumn("run", F.lit(time.time_ns())).write.mode("append").json(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

@@ -22,6 +22,17 @@ def append_lake(cells: DataFrame, path: str, checkpoint: str):
     return new_cells(cells).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def refresh_cells(cells: DataFrame, write, checkpoint: str):
-    """Calls write(batch of changed cells with their event lists) for every batch of the stream."""
-    return cells.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: write(build_cells(df))).trigger(availableNow=True).start()
+def refresh_cells(cells: DataFrame, write, checkpoint: str, lake=None):
+    """Calls write(changed cells with all their events) for every batch of the stream.
+
+    lake gives the cells that were known before (a function, as they change from batch to batch); without it a batch stands alone.
+    """
+
+    def changed(batch, _):
+        rows = batch.select("col", "row", "flood_id")
+        if lake is not None:
+            known = lake().select("col", "row", "flood_id").join(rows.select("col", "row").distinct(), ["col", "row"], "left_semi")
+            rows = rows.unionByName(known)
+        write(build_cells(rows))
+
+    return cells.writeStream.option("checkpointLocation", checkpoint).foreachBatch(changed).trigger(availableNow=True).start()
