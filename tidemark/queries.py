@@ -265,6 +265,14 @@ def _(spark, sf):
     return combos.select("flood_ids", F.explode("flood_ids").alias("x")).agg(F.count_distinct("flood_ids").alias("n_combos"), F.count_distinct("x").alias("n_events"))
 
 
+@query("build_index", f"{_WITH} SELECT 'combos' AS part, count(*) AS n FROM combos UNION ALL SELECT 'cells', count(*) FROM pixel_combo UNION ALL SELECT 'events', count(*) FROM flood_events")
+def _(spark, sf):
+    """Builds the whole index, which the queries that ask one then share, and tells what it holds."""
+    index, combos = _index(spark, sf)
+    counted = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "n") for part, rows in (("combos", combos), ("cells", index), ("events", _flood_events(spark, sf)))]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
 # Discovery.
 
 
