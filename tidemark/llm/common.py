@@ -55,21 +55,31 @@ def if_few(rows: DataFrame, most: int = BROADCAST_BYTES, weight: Column | None =
     return F.broadcast(rows) if few else rows
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """name, or the next like it that is no column of the frames."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, dropped: DataFrame, row: Column, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs whose id (null is an id, too) and row key are not in dropped (id, key; written already)."""
-    return docs.join(if_few(dropped.toDF("__gone", "__key")), _same_row(row, id_col), "left_anti")
+    gone, key = free("__gone", docs), free("__key", docs)
+    return docs.join(if_few(dropped.toDF(gone, key)), _same_row(row, id_col, gone, key), "left_anti")
 
 
 def once(docs: DataFrame, repeated: DataFrame, row: Column, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs, of those whose id and row key are in repeated (id, key; written already) one each."""
     if repeated.isEmpty():
         return docs
-    several = docs.join(if_few(repeated.toDF("__gone", "__key")), _same_row(row, id_col), "left_semi").withColumn("__key", row)
-    return without(docs, repeated, row, id_col).unionByName(several.dropDuplicates([id_col, "__key"]).drop("__key"))
+    gone, key = free("__gone", docs), free("__key", docs)
+    several = docs.join(if_few(repeated.toDF(gone, key)), _same_row(row, id_col, gone, key), "left_semi").withColumn(key, row)
+    return without(docs, repeated, row, id_col).unionByName(several.dropDuplicates([id_col, key]).drop(key))
 
 
-def _same_row(row: Column, id_col: str) -> Column:
-    return F.col(id_col).eqNullSafe(F.col("__gone")) & (row == F.col("__key"))
+def _same_row(row: Column, id_col: str, gone: str, key: str) -> Column:
+    return F.col(id_col).eqNullSafe(F.col(gone)) & (row == F.col(key))
 
 
 def look_up(rows: DataFrame, table: DataFrame, key: str, heavy: int = 1000, most: int = BROADCAST_BYTES, weight: Column | None = None) -> DataFrame:
@@ -81,7 +91,8 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, heavy: int = 1000, most
     small = if_few(table, most, weight)
     if small is not table:
         return rows.join(small, key, "left")
-    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > heavy).select(key)
+    n = free("__n", rows)
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > heavy).select(key)
     hot = if_few(lasting(hot))
     return (
         rows.join(hot, key, "left_anti").join(table, key, "left")
