@@ -481,7 +481,7 @@ def test_ownership_against_plain_counts(spark):
         owner = r.choice([None, "", "o1", "o2"]) if v in values[:4] else ("o1" if v in values[4:8] else r.choice("xyz"))
         # the hot value in many texts of many owners; some values in the same few texts of one owner again and again
         rows.append((i, f"{'' if v in values[6:8] else make(4)} {v} {v}", owner))
-    rows += [rows[0], rows[1], (900, None, "o1")]
+    rows += [rows[0], rows[1], (900, None, "o1"), (901, f"b {'b' * 40}", "o9"), (902, f"c {'7' * 39}", "o8"), (903, f"d {'7' * 39}", "o9")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     held = {}
     for _, t, owner in rows:
