@@ -175,3 +175,16 @@ def test_encoded_rasters_come_back(spark):
     found = rasters.pixels(made).collect()
     assert {(r.raster, r.col + low[r.raster][0], r.row + low[r.raster][1]): r.value for r in found} == want
     assert all(math.floor((r.lon + 46.8) * 1200) == r.col + low[r.raster][0] for r in found)
+
+
+@pytest.mark.parametrize(("epsg", "west", "north", "step"), [(4326, 6.0, 52.5, 0.01), (3035, 4_000_000.0, 3_300_000.0, 1000.0), (27704, 4_600_000.0, 2_200_000.0, 1000.0), (32632, 300_000.0, 5_800_000.0, 1000.0)])
+def test_bounds_read_their_blocks_only(spark, epsg, west, north, step):
+    values = np.ones((96, 80), dtype=np.uint8)
+    found = files(spark, {"a.tif": plain(values, west, north, step, step, epsg, rows=4), "far.tif": plain(values, 0.0, 10.0, 0.01, 0.01, 4326)})
+    whole = rasters.pixels(found.where("raster = 'a.tif'"))
+    middle = whole.agg(F.avg("lon").alias("x"), F.avg("lat").alias("y")).first()
+    box = (middle.x - 0.05, middle.y - 0.03, middle.x + 0.06, middle.y + 0.02)
+    at = lambda df: sorted((r.raster, r.col, r.row) for r in df.collect())
+    assert at(rasters.pixels(found, within=box)) == at(whole.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3])))
+    assert len(at(rasters.pixels(found, within=box))) > 20
+    assert 0 < rasters.blocks(found, box).count() < 14 < rasters.blocks(found).count()

@@ -52,11 +52,11 @@ def _polygons(spark, a):
     return events.select(F.col("global_id").alias("event_id"), F.col("start_date").alias("date"), "end_date", "filename").join(found, "event_id")
 
 
-def _rasters(spark, path, inventory_path):
-    """(records, pixels with their event) of the raster files that an inventory names."""
+def _rasters(spark, path, inventory_path, within=None):
+    """(records, pixels with their event) of the raster files that an inventory names, of all of them or within bounds in degrees."""
     records = tables.read_inventory(spark, inventory_path)
     ids = records.select(F.col("filename").alias("raster"), F.col("global_id").alias("flood_id"))
-    return records, rasters.pixels(rasters.read_files(spark, path)).join(ids, "raster")
+    return records, rasters.pixels(rasters.read_files(spark, path), within=within).join(ids, "raster")
 
 
 def _ingest(spark, a):
@@ -81,7 +81,7 @@ def _ingest(spark, a):
 def _download(spark, a):
     region = _region(spark, a)
     found = catalog.floods(*bundle.open_index(spark, a.index), region, a.year, a.start, a.end)
-    _, pixels = _rasters(spark, a.rasters, a.inventory)
+    _, pixels = _rasters(spark, a.rasters, a.inventory, region.bounds)
     on_grid = rasters.on_grid(pixels.withColumnRenamed("flood_id", "raster_id"))
     return download.download(found, on_grid, region, a.to, force=a.force)
 

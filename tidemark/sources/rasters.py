@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import grid
-from tidemark.functions.projections import ARRAYS, SUPPORTED, positions
+from tidemark.functions.projections import ARRAYS, PLAIN, SUPPORTED, positions, project
 
 HEADER = (
     "raster string, error string, width int, height int, dtype string, epsg int, nodata double, affine array<double>, "
@@ -196,8 +196,30 @@ _HEADER_TYPES = [
 ]
 
 
-def blocks(files: DataFrame) -> DataFrame:
-    """(raster, band_col, band_row, data, head) of each block of the readable files, dealt out evenly; data are its bytes as they are in the file."""
+def window(head: dict, within: tuple[float, float, float, float]) -> tuple[int, int, int, int] | None:
+    """(first column, first row, last column, last row) of the pixels that bounds in degrees can meet, or None if there are none.
+
+    The bounds' sides are followed in the raster's own system, as they are curves there. A raster that cannot be placed has all of its pixels.
+    """
+    a, width, height = head["affine"], head["width"], head["height"]
+    if not a or head["epsg"] not in SUPPORTED or a[2] or a[4]:
+        return 0, 0, width - 1, height - 1
+    x0, y0, x1, y1 = within
+    share = [k / 32 for k in range(33)]
+    border = [(x0 + (x1 - x0) * t, y) for t in share for y in (y0, y1)] + [(x, y0 + (y1 - y0) * t) for t in share for x in (x0, x1)]
+    flat = [project(lon, lat, head["epsg"], PLAIN) for lon, lat in border]
+    cols, rows = [(x - a[0]) / a[1] for x, _ in flat], [(y - a[3]) / a[5] for _, y in flat]
+    slack = [2 + (max(v) - min(v)) * 1e-3 for v in (cols, rows)]  # what a side bends between two of its points
+    first = max(int(min(cols) - slack[0]), 0), max(int(min(rows) - slack[1]), 0)
+    last = min(int(max(cols) + slack[0]), width - 1), min(int(max(rows) + slack[1]), height - 1)
+    return (*first, *last) if first[0] <= last[0] and first[1] <= last[1] else None
+
+
+def blocks(files: DataFrame, within: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """(raster, band_col, band_row, data, head) of each block of the readable files, dealt out evenly; data are its bytes as they are in the file.
+
+    within: bounds in degrees; blocks that they cannot meet are left out.
+    """
 
     def run(batches):
         import json
@@ -210,6 +232,10 @@ def blocks(files: DataFrame) -> DataFrame:
                 except RasterError:
                     continue
                 text = json.dumps(head)
+                if within is not None:
+                    seen = window(head, within)
+                    c0, r0, c1, r1 = seen or (1, 1, 0, 0)
+                    found = [b for b in found if b[0] <= c1 and b[0] + head["block_width"] > c0 and b[1] <= r1 and b[1] + head["block_height"] > r0]
                 for k in range(0, len(found), 256):
                     some = found[k : k + 256]
                     columns = [pa.array([name] * len(some)), pa.array([b[0] for b in some], pa.int32()), pa.array([b[1] for b in some], pa.int32()), pa.array([content[o : o + n] for _, _, o, n in some], pa.binary()), pa.array([text] * len(some))]
@@ -219,11 +245,12 @@ def blocks(files: DataFrame) -> DataFrame:
     return found.repartition("raster", "band_col", "band_row")
 
 
-def pixels(files: DataFrame, dry: bool = False) -> DataFrame:
+def pixels(files: DataFrame, dry: bool = False, within: tuple[float, float, float, float] | None = None) -> DataFrame:
     """The pixels of files (raster, content): place in the raster, value, the centre's place in the raster's system and in degrees.
 
     Pixels of the declared no-data value, of NaN and, unless `dry`, of zero are left out. Without a known system lon and lat are null,
-    without a transformation x and y too.
+    without a transformation x and y too. within: bounds in degrees, of which blocks are read and pixels kept; those that
+    cannot be placed are then left out.
     """
     names = _fields(PIXELS)
 
@@ -235,7 +262,11 @@ def pixels(files: DataFrame, dry: bool = False) -> DataFrame:
                 h = json.loads(text.as_py())
                 yield from _decoded(name.as_py(), col.as_py(), row.as_py(), data.as_py(), h, dry, names)
 
-    return blocks(files).mapInArrow(run, PIXELS)
+    found = blocks(files, within).mapInArrow(run, PIXELS)
+    if within is None:
+        return found
+    x0, y0, x1, y1 = within
+    return found.where(F.col("lon").between(x0, x1) & F.col("lat").between(y0, y1))
 
 
 def _decoded(name, col, row, data, h, dry, names) -> Iterator[pa.RecordBatch]:
