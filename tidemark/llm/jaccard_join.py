@@ -107,7 +107,7 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), *cols, pa.nulls(len(sizes), pa.int64()), part.column(2)], names=names)
         yield from common()
 
-    both = lasting(_source(docs, id_col, text_col).mapInArrow(run, "id long, n long, class long, other long, token long, row long"))
+    both = lasting(source_rows(docs, id_col, text_col).mapInArrow(run, "id long, n long, class long, other long, token long, row long"))
     rows = both.where("token IS NULL").select("id", F.col("n").alias("n_shingles"), "class", "other", "row")
     clashes = rows.groupBy("class").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b")
     clashing = frozenset(r[0] for r in clashes.select("class").collect())
@@ -246,16 +246,18 @@ def promising(pairs: DataFrame, lists: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id reachable by links, its own included)."""
-    return _labelled(docs, id_col, text_col, k).select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows, of_class = labelled(docs, id_col, text_col, k)
+    return look_up(rows, of_class, "class").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """Rows (id, n_shingles, class, row, label, component_id): label is that of the component, null without shingles."""
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, n_shingles, class, row) of all documents, class null without shingles; and for each class (class, rep,
+    row, label, component_id): the id and row key of one of its documents, its component's label and least id."""
     rows, counted, clashing = shingle_classes(docs, id_col, text_col, k)
     held = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     classes = lasting(rows.where("class IS NOT NULL").groupBy("class").agg(F.min(held).alias("r")).select("class", F.col("r.id").alias("rep"), F.col("r.row").alias("row")), rows.count())
     lists, short = postings(docs, common_shingles(counted), text_col, k, clashing)
-    source = _source(docs, id_col, text_col)
+    source = source_rows(docs, id_col, text_col)
 
     n = lists.count()
     pivots = lasting(lists.groupBy("token").agg(F.min(F.struct("pos", "class", "n")).alias("p")).select("token", "p.*"), n)
@@ -266,24 +268,24 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     found = lasting(linked(first, source, classes, k))
     labels = components(found)
 
-    labelled = look_up(lists, labels, "class").withColumn("label", F.coalesce("label", "class"))
+    named = look_up(lists, labels, "class").withColumn("label", F.coalesce("label", "class"))
     of_pivot = lasting(look_up(pivots, labels, "class").select("token", F.coalesce("label", "class").alias("of_pivot")), n)
-    outside = look_up(labelled, of_pivot, "token").where("label <> of_pivot").drop("of_pivot")
-    second = _possible(_looking(outside).alias("x").join(_blocked(labelled).alias("y"), ["token", "size", "part"]), "x.label <> y.label")
+    outside = look_up(named, of_pivot, "token").where("label <> of_pivot").drop("of_pivot")
+    second = _possible(_looking(outside).alias("x").join(_blocked(named).alias("y"), ["token", "size", "part"]), "x.label <> y.label")
     second = lasting(second.join(first, ["a", "b"], "left_anti"))
     more = lasting(linked(second, source, classes, k))
     labels = components(found.unionByName(more))
     release(first, second, found, more, pivots, of_pivot)
 
-    named = classes.join(labels, "class", "left").select("class", "rep", F.coalesce("label", "class").alias("label"))
+    named = classes.join(labels, "class", "left").select("class", "rep", "row", F.coalesce("label", "class").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = lasting(named.join(least, "label").select("class", "label", "component_id"), classes.count())
-    return look_up(rows, of_class, "class")
+    return rows, lasting(named.join(least, "label").select("class", "rep", "row", "label", "component_id"), classes.count())
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """Of each component one row of docs, all columns: one with the smallest id. Rows without shingles all stay."""
-    found = lasting(_labelled(docs, id_col, text_col, k).where("label IS NOT NULL").select("id", "row", "label"))
+    source, of_class = labelled(docs, id_col, text_col, k)
+    found = lasting(look_up(source, of_class.select("class", "label"), "class").where("label IS NOT NULL").select("id", "row", "label"))
     rows = found.count()
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     groups = lasting(found.groupBy("label").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "best"), rows)
@@ -293,7 +295,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return once(without(docs, of_group.where("NOT kept").select("id", "row"), row, id_col), again, row, id_col)
 
 
-def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def source_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.withColumn("row", F.xxhash64("id", "text"))
 
@@ -327,7 +329,24 @@ def _looking(lists: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, source: DataFrame, classes: DataFrame, k: int = K) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose full sets reach the threshold.
+    """Those of the pairs (a, b) of classes whose full sets reach the threshold."""
+
+    def verify(parts):
+        import pyarrow as pa
+
+        for part in parts:
+            keep = []
+            for left, right in batches(part.column(2), part.column(3)):
+                for x, y in zip(shingle_sets(left, k), shingle_sets(right, k), strict=True):
+                    same = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(SHARE[1] * same >= SHARE[0] * (len(x) + len(y) - same))
+            yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return with_texts(pairs, source, classes).mapInArrow(verify, "a long, b long")
+
+
+def with_texts(pairs: DataFrame, source: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (a, b, text_a, text_b) of pairs (a, b) of classes.
 
     Texts of the classes in question are picked out of source and travel to their pairs. A class in very many pairs
     is copied to as many places as it has HEAVY_PIVOT pairs.
@@ -349,15 +368,4 @@ def linked(pairs: DataFrame, source: DataFrame, classes: DataFrame, k: int = K)
         mine = texts.select(F.col("class").alias(side), F.col("salt").alias(f"salt_{side}"), F.col("text").alias(f"text_{side}"))
         pairs = pairs.join(mine, [side, f"salt_{side}"])
 
-    def verify(parts):
-        import pyarrow as pa
-
-        for part in parts:
-            keep = []
-            for left, right in batches(part.column(2), part.column(3)):
-                for x, y in zip(shingle_sets(left, k), shingle_sets(right, k), strict=True):
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(SHARE[1] * same >= SHARE[0] * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    return pairs.select("a", "b", "text_a", "text_b")

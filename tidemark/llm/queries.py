@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import centroids, decontaminate, exact_dedup, html_text, jaccard_join, language_id, licenses, merkle, packing, quality, secrets, suffix_dedup, url_rules
+from tidemark.llm import centroids, decontaminate, exact_dedup, html_text, jaccard_links, language_id, licenses, merkle, packing, quality, secrets, suffix_dedup, url_rules
 from tidemark.llm.common import ascii_lower, read
 
 
@@ -42,7 +42,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
+    return jaccard_links.similarity_join(read(spark, sf_dir, "documents"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
