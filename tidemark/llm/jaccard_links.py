@@ -6,11 +6,12 @@ differences; then Y takes or drops the shingles that more than half of the sets
 r(X) shingles of Y. Two sets X and Z of n and m shingles that share s differences (both lack, or both have beside Y) share
 |Y| - r(X) - r(Z) + s shingles, so with a weight w(X) = 2p n + 2(p+q) r(X) - (p+q)|Y| they are linked at p/q if and only if
 w(X) + w(Z) <= 2(p+q) s. What is linked whatever s is, is a range of the component's list of weights: each set takes its
-answers from there by a running sum over the distinct weights, as Y's own are. Only sets that share a difference, and are
-far enough from Y that their weights alone do not link them, are met in lists of differences, block by block.
+answers from there by a running sum over the distinct weights, as Y's own are. Sets of equal weight and with the same
+differences, but for those that no other set has, are of one kind and have the same answers. Only kinds that share a
+difference, and are far enough from Y that weights alone do not link them, are met in lists of differences, block by block.
 
-So near copies of one text cost a comparison and a look-up each, however many there are, and a pair is looked at only
-where both sets are far from Y. That, too, is exact: no pair is dropped.
+So near copies of one text cost a comparison and a look-up each, however many there are, and a pair of kinds is looked at
+only where both are far from Y. That, too, is exact: no pair is dropped.
 
 Cases: as in jaccard_join. Documents with equal sets are linked with each other and have the same class_id, the least id
 among them (null if all are null); without shingles a document is a class of its own with no links.
@@ -126,20 +127,42 @@ def derived(apart: DataFrame, sets: DataFrame, ref_sizes: DataFrame, count: int)
     own = F.when(F.col("at.w") <= 0, F.col("size")).otherwise(0)
     found = look_up(weighed, near, "at", weight=F.lit(32)).select("class", (F.col("near") - own).alias("others"))
 
-    far = beyond(apart, weighed, of_weight, count)
+    alike = kinds(apart, weighed, count)
+    far = beyond(apart, alike, of_weight, count)
     out = lasting(found.unionByName(far).groupBy("class").agg(F.sum("others").alias("others")), count)
-    release(weighed, of_weight, near)
+    release(weighed, of_weight, near, alike)
     return out
 
 
-def beyond(apart: DataFrame, weighed: DataFrame, of_weight: DataFrame, count: int) -> DataFrame:
+def kinds(apart: DataFrame, weighed: DataFrame, count: int) -> DataFrame:
+    """Rows (class, size, ref, w, kind, s, first, total) of all sets: those of one component, of equal weight and with the same
+    differences among the s that some other set has, too, are of one kind, and have the same answers outside of it.
+
+    first is the least class of the kind, total the documents of all its classes.
+    """
+    shared = apart.groupBy("ref", "token").agg(F.min("class").alias("one"), F.max("class").alias("two")).where("one < two").select("ref", "token")
+    mine = apart.join(shared, ["ref", "token"]).groupBy("class").agg(
+        F.count(F.lit(1)).alias("s"), F.sum(F.xxhash64("token").cast("decimal(38,0)")).alias("one"), F.bit_xor(F.xxhash64(F.lit(7), "token")).alias("two"),
+    )
+    sets = weighed.select("class", "size", "at.ref", "at.w").join(mine, "class", "left")
+    sets = sets.select("class", "size", F.struct("ref", "w", F.coalesce("s", F.lit(0)).alias("s"), "one", "two").alias("key"))
+    sets = lasting(sets.select("class", "size", "key.ref", "key.w", "key.s", F.xxhash64("key").alias("kind"), F.xxhash64(F.lit(7), "key").alias("other")), count)
+    of_kind = sets.groupBy("kind", "other").agg(F.min("class").alias("first"), F.sum("size").alias("total"))
+    of_kind = lasting(of_kind.select(F.struct("kind", "other").alias("of"), "first", "total"), count)
+    found = look_up(sets.select("class", "size", "ref", "w", "s", F.struct("kind", "other").alias("of")), of_kind, "of", weight=F.lit(40))
+    return lasting(found.drop("of"), count)
+
+
+def beyond(apart: DataFrame, alike: DataFrame, of_weight: DataFrame, count: int) -> DataFrame:
     """Rows (class, others) for links that weights alone do not give: pairs with w(X) + w(Z) > 0 and enough shared differences.
 
-    A list of differences goes into blocks, each of which meets each other one in one place.
+    Kinds of sets are met, each by its first class. A list of differences goes into blocks, each of which meets each other
+    one in one place.
     """
+    enough = 2 * sum(SHARE)
     farthest = lasting(of_weight.groupBy("at.ref").agg(F.max("at.w").alias("most")), count)
-    sets = look_up(weighed.select("class", "size", "at.ref", "at.w"), farthest, "ref").where("w + most > 0").select("class", "size", "w")
-    lists = lasting(look_up(apart.select("class", F.struct("ref", "token").alias("key")), lasting(sets, count), "class").where("w IS NOT NULL").drop("size"))
+    firsts = look_up(alike.where("class = first"), farthest, "ref").where("w + most > 0").select("class", "w")
+    lists = lasting(look_up(apart.select("class", F.struct("ref", "token").alias("key")), lasting(firsts, count), "class").where("w IS NOT NULL"))
     lengths = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = lasting(lengths.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     dealt = look_up(lists, blocks, "key", weight=F.lit(24)).where("blocks IS NOT NULL")
@@ -154,7 +177,9 @@ def beyond(apart: DataFrame, weighed: DataFrame, of_weight: DataFrame, count: in
     both = x.join(z, ["key", "low", "high"]).where("w_x + w_z > 0 AND (low < high OR x < z)")
     pair = [F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b")]
     shared = both.select(*pair, (F.col("w_x") + F.col("w_z")).alias("w")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("s"), F.min("w").alias("w"))
-    links = lasting(shared.where(F.col("w") <= 2 * sum(SHARE) * F.col("s")).select("a", "b"))
-    ends = links.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("class"), F.col("a").alias("other")))
-    sizes = weighed.select(F.col("class").alias("other"), "size")
-    return look_up(ends, sizes, "other").groupBy("class").agg(F.sum("size").alias("others"))
+    links = lasting(shared.where(F.col("w") <= enough * F.col("s")).select("a", "b"))
+    ends = links.select(F.col("a").alias("first"), F.col("b").alias("class")).unionByName(links.select(F.col("b").alias("first"), F.col("a").alias("class")))
+    totals = lasting(alike.where("class = first").select("class", "total"), count)
+    outside = lasting(look_up(ends, totals, "class").groupBy("first").agg(F.sum("total").alias("outside")), count)
+    inside = F.when((F.col("w") > 0) & (2 * F.col("w") <= enough * F.col("s")), F.col("total") - F.col("size")).otherwise(0)
+    return look_up(alike, outside, "first").select("class", (F.coalesce("outside", F.lit(0)) + inside).alias("others"))
