@@ -76,3 +76,60 @@ def test_joined_null_ids_and_no_rows(spark):
     lone = [(r.class_id, r.component_id, r.n_links) for r in jaccard_links.similarity_join(df.where("doc_id IS NULL AND text IS NULL OR text LIKE 'alone%'")).collect()]
     assert lone == [(None, None, 0)] * 2
     assert jaccard_links.similarity_join(df.where("doc_id = 0")).count() == 0
+
+
+def rows_met(spark):
+    """The rows that joins of far sets have made so far, by the counts that Spark keeps of each join."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        counts, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() and "w_x" in node.desc():
+                of = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                made += sum(int(counts.apply(m.accumulatorId()).split()[-1].replace(",", "")) for m in of if m.name() == "number of output rows" and counts.contains(m.accumulatorId()))
+    return made
+
+
+def far_copies(seed, size, n, most):
+    """Copies of one text of `size` words, with up to `most` words replaced by new ones."""
+    r, rows = random.Random(seed), []
+    for i in range(n):
+        w = [f"b{k}" for k in range(size)]
+        for k in range(r.randint(0, most)):
+            w[r.randrange(size)] = f"n{i}x{k}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_far_sets_meet_about_as_often_as_they_are_linked(spark):
+    rows = far_copies(5, 150, 240, 5)
+    before = rows_met(spark)
+    found = sorted((r.doc_id, r.n_shingles, r.class_id, r.n_links) for r in jaccard_links.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == plain(rows)
+    sets = [shingles(t) for _, t in rows]
+    base = frozenset(tuple(f"b{k + j}" for j in range(5)) for k in range(146))
+    weight = [8 * len(s) + 18 * len(base - s) - 9 * len(base) for s in sets]
+    far = [(i, j) for i in range(len(sets)) for j in range(i) if weight[i] + weight[j] > 0]
+    linked = sum(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for i, j in far)
+    met = rows_met(spark) - before
+    assert linked > 100
+    assert linked <= met <= 5 * linked, f"{met} rows for {linked} links of {len(far)} pairs"
+
+
+@pytest.mark.parametrize("words", [1, 4])
+def test_links_of_sets_with_many_shared_differences(spark, monkeypatch, words):
+    monkeypatch.setattr(jaccard_links, "SIGNATURE", words)
+    r, rows = random.Random(6), []
+    for i in range(90):  # passages that many have replaced alike: more shared differences than a signature has bits
+        w = []
+        for part in range(30):
+            other = r.random() < 0.2
+            w += [f"{'other' if other else 'part'}{part}w{k}" for k in range(60)]
+        rows.append((i, " ".join(w + [f"own{i}"] * (i % 3))))
+    rows += far_copies(7, 150, 40, 5)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    found = sorted((x.doc_id, x.n_shingles, x.class_id, x.n_links) for x in jaccard_links.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    expected = plain(rows)
+    assert found == expected
+    assert max(n for *_, n in expected[:90]) > 3

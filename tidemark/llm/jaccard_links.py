@@ -9,9 +9,13 @@ w(X) + w(Z) <= 2(p+q) s. What is linked whatever s is, is a range of the compone
 answers from there by a running sum over the distinct weights, as Y's own are. Sets of equal weight and with the same
 differences, but for those that no other set has, are of one kind and have the same answers. Only kinds that share a
 difference, and are far enough from Y that weights alone do not link them, are met in lists of differences, block by block.
+There a pair is a candidate only if it can share the ceil((w(X) + w(Z)) / 2(p+q)) differences that it needs: by what both
+have from the list's difference on, rare ones first, and by signatures of SIGNATURE words, which bound what both have in
+all. Candidates are verified on the full lists.
 
 So near copies of one text cost a comparison and a look-up each, however many there are, and a pair of kinds is looked at
-only where both are far from Y. That, too, is exact: no pair is dropped.
+only where both are far from Y. That, too, is exact: no pair is dropped. Candidates are about the links between such
+kinds, which are listed; their number can grow with the square of a group of kinds that are all far from Y.
 
 Cases: as in jaccard_join. Documents with equal sets are linked with each other and have the same class_id, the least id
 among them (null if all are null); without shingles a document is a class of its own with no links.
@@ -29,6 +33,8 @@ from tidemark.llm.shingles import batches, shingle_sets
 
 #: Sets of a block of a list of differences.
 BLOCK = 1000
+#: 64-bit words of a signature of a set's differences.
+SIGNATURE = 4
 
 
 def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -156,30 +162,64 @@ def kinds(apart: DataFrame, weighed: DataFrame, count: int) -> DataFrame:
 def beyond(apart: DataFrame, alike: DataFrame, of_weight: DataFrame, count: int) -> DataFrame:
     """Rows (class, others) for links that weights alone do not give: pairs with w(X) + w(Z) > 0 and enough shared differences.
 
-    Kinds of sets are met, each by its first class. A list of differences goes into blocks, each of which meets each other
-    one in one place.
+    Kinds of sets are met, each by its first class.
     """
     enough = 2 * sum(SHARE)
     farthest = lasting(of_weight.groupBy("at.ref").agg(F.max("at.w").alias("most")), count)
     firsts = look_up(alike.where("class = first"), farthest, "ref").where("w + most > 0").select("class", "w")
     lists = lasting(look_up(apart.select("class", F.struct("ref", "token").alias("key")), lasting(firsts, count), "class").where("w IS NOT NULL"))
-    lengths = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = lasting(lengths.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    dealt = look_up(lists, blocks, "key", weight=F.lit(24)).where("blocks IS NOT NULL")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    far = lasting(signed(lists))
+    pairs = met = lasting(candidates(far).distinct())
+    tokens = far.select("class", "keys.token")
+    for side in ("a", "b"):
+        pairs = look_up(pairs, tokens.toDF(side, f"of_{side}"), side, weight=F.expr(f"24 + 8 * size(of_{side})"))
+    links = lasting(pairs.where(F.col("w") <= enough * F.size(F.array_intersect("of_a", "of_b"))).select("a", "b"))
+    ends = links.select(F.col("a").alias("first"), F.col("b").alias("class")).unionByName(links.select(F.col("b").alias("first"), F.col("a").alias("class")))
+    totals = lasting(alike.where("class = first").select("class", "total"), count)
+    outside = lasting(look_up(ends, totals, "class").groupBy("first").agg(F.sum("total").alias("outside")), count)
+    inside = F.when((F.col("w") > 0) & (2 * F.col("w") <= enough * F.col("s")), F.col("total") - F.col("size")).otherwise(0)
+    release(lists, far, met, links)
+    return look_up(alike, outside, "first").select("class", (F.coalesce("outside", F.lit(0)) + inside).alias("others"))
+
+
+def signed(lists: DataFrame) -> DataFrame:
+    """Rows (class, w, ref, keys, s0, s1, ...) of the lists (class, key: ref and token, w): for each class its differences that
+    some other class has, too, as an array (n, token) from rare to common, and the words of their signature."""
+    lengths = lasting(lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = look_up(lists, lengths, "key", weight=F.lit(24)).where("n IS NOT NULL")
+    shared = shared.withColumn("at", F.pmod(F.xxhash64("key.token"), F.lit(64 * SIGNATURE)).cast("int"))
+    bit = F.expr("shiftleft(1L, at % 64)")
+    words = [F.bit_or(F.when(F.expr(f"at div 64 = {i}"), bit).otherwise(0)).alias(f"s{i}") for i in range(SIGNATURE)]
+    keys = F.sort_array(F.collect_list(F.struct("n", "key.token"))).alias("keys")
+    return shared.groupBy("class").agg(F.max("w").alias("w"), F.max("key.ref").alias("ref"), keys, *words)
+
+
+def candidates(far: DataFrame) -> DataFrame:
+    """Rows (a, b, w) of pairs of classes of one component whose sum w of weights is above 0 and that may share enough
+    differences, at least once each.
+
+    The first difference that two sets share has all the others behind it in both arrays, so pairs are met where these are
+    long enough. A list of differences goes into blocks, each of which meets each other one in one place.
+    """
+    enough = 2 * sum(SHARE)
+    words = [f"s{i}" for i in range(SIGNATURE)]
+    dealt = far.select("class", "w", "ref", *words, F.size("keys").alias("have"), F.posexplode("keys").alias("pos", "x"))
+    dealt = dealt.select(
+        F.struct("ref", "x.token").alias("key"), "class", "w", *words, "have", (F.col("have") - F.col("pos")).alias("left"), F.ceil(F.col("x.n") / BLOCK).cast("int").alias("blocks")
+    ).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
 
     def side(low: Column, high: Column, name: str) -> DataFrame:
-        places = dealt.select("key", F.col("class").alias(name), F.col("w").alias(f"w_{name}"), "block", F.explode(F.sequence(low, high)).alias("met"))
+        kept = [F.col(c).alias(f"{c}_{name}") for c in ("w", "have", "left", *words)]
+        places = dealt.select("key", F.col("class").alias(name), *kept, "block", F.explode(F.sequence(low, high)).alias("met"))
         mine = [F.col("block"), F.col("met")] if name == "x" else [F.col("met"), F.col("block")]
-        return places.select("key", name, f"w_{name}", mine[0].alias("low"), mine[1].alias("high"))
+        return places.withColumns({"low": mine[0], "high": mine[1]}).drop("block", "met")
+
+    def most(name: str, other: str) -> Column:
+        """What the set `name` has and the other may have: its bits that the other lacks are one difference each, at least."""
+        return F.col(f"have_{name}") - sum(F.bit_count(F.col(f"{c}_{name}").bitwiseAND(F.bitwise_not(f"{c}_{other}"))) for c in words)
 
     x, z = side(F.col("block"), F.col("blocks") - 1, "x"), side(F.lit(0), F.col("block"), "z")
     both = x.join(z, ["key", "low", "high"]).where("w_x + w_z > 0 AND (low < high OR x < z)")
-    pair = [F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b")]
-    shared = both.select(*pair, (F.col("w_x") + F.col("w_z")).alias("w")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("s"), F.min("w").alias("w"))
-    links = lasting(shared.where(F.col("w") <= enough * F.col("s")).select("a", "b"))
-    ends = links.select(F.col("a").alias("first"), F.col("b").alias("class")).unionByName(links.select(F.col("b").alias("first"), F.col("a").alias("class")))
-    totals = lasting(alike.where("class = first").select("class", "total"), count)
-    outside = lasting(look_up(ends, totals, "class").groupBy("first").agg(F.sum("total").alias("outside")), count)
-    inside = F.when((F.col("w") > 0) & (2 * F.col("w") <= enough * F.col("s")), F.col("total") - F.col("size")).otherwise(0)
-    return look_up(alike, outside, "first").select("class", (F.coalesce("outside", F.lit(0)) + inside).alias("others"))
+    w = F.col("w_x") + F.col("w_z")
+    both = both.where(w <= enough * F.least("left_x", "left_z")).where(w <= enough * F.least(most("x", "z"), most("z", "x")))
+    return both.select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b"), w.alias("w"))
