@@ -1,6 +1,7 @@
 """Rasters written and read as streams of blocks: what a task holds does not grow with the area, and batches may end anywhere."""
 
 import math
+import os
 import tracemalloc
 
 import numpy as np
@@ -8,8 +9,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import queries
 from tidemark.sources import rasters
 
+from .test_queries import DATA
 from .test_rasters import files, plain
 
 PIXEL = "raster string, col int, row int, value double"
@@ -70,3 +73,14 @@ def test_pixels_of_many_rasters_keep_their_names_and_places(spark, small_batches
     found = rasters.pixels(files(spark, {k: plain(v, 10.0, 50.0, 0.5, 0.25, 4326, rows=2) for k, v in made.items()})).collect()
     assert sorted((p.raster, p.col, p.row, p.value) for p in found) == sorted((k, int(c), int(w), float(v[w, c])) for k, v in made.items() for w, c in np.argwhere(v))
     assert all((p.lon, p.lat) == pytest.approx((10 + (p.col + 0.5) * 0.5, 50 - (p.row + 0.5) * 0.25)) for p in found)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_events_of_a_lake_are_looked_up_without_a_shuffle_of_the_pixels(spark):
+    """However large the table that they come from is."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        made = plan(queries.QUERIES["raster_lake"](spark, DATA))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in made and "BroadcastHashJoin [raster#" in made
