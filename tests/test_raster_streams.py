@@ -75,6 +75,13 @@ def test_pixels_of_many_rasters_keep_their_names_and_places(spark, small_batches
     assert all((p.lon, p.lat) == pytest.approx((10 + (p.col + 0.5) * 0.5, 50 - (p.row + 0.5) * 0.25)) for p in found)
 
 
+def test_values_of_nearly_empty_blocks():
+    for shape in ((16, 16), (5, 7), (1, 8)):
+        v = np.zeros(shape, dtype="<f4")
+        v.reshape(-1)[[0, 3, v.size - 1]] = (np.nan, -0.0, 2.0)
+        assert rasters._nonzero(v).tolist() == np.flatnonzero(v).tolist()
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_events_of_a_lake_are_looked_up_without_a_shuffle_of_the_pixels(spark):
     """However large the table that they come from is."""
